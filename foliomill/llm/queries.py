@@ -6,22 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .licenses import license_scan, license_sql
+from .mixing import curriculum, curriculum_sql
 from .repetition import repetition_rule
+from .sharding import shard_documents
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(_docs(spark, sf_dir))
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_docs(spark, sf_dir))
+
+
 def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rule(_docs(spark, sf_dir))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_sharding": op3_sharding,
+        "op4_licenses": op4_licenses,
         "op7_repetition": op7_repetition,
+        "op8_mixing": op8_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_licenses": license_sql(),
+        "op8_mixing": curriculum_sql(),
+    }
