@@ -190,3 +190,98 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     at = np.repeat(start - (np.cumsum(count) - count), count)
     return at + np.arange(total)
+
+
+def groups(batches: Iterator[pa.RecordBatch], key: int = 0, rows: int = 1 << 16, size: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """Re-cut batches that are sorted by an integer key so that no group of equal keys is split.
+
+    Yields batches of whole groups, of about ``rows`` rows or ``size`` bytes, or of one group that is larger.
+    """
+    held: list[pa.RecordBatch] = []
+    n = bytes_ = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        bytes_ += batch.nbytes
+        if n < rows and bytes_ < size:
+            continue
+        keys = np.asarray(batch.column(key))
+        change = np.flatnonzero(keys[1:] != keys[:-1])
+        if len(change):
+            cut = int(change[-1]) + 1
+            yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)]).combine_chunks().to_batches()[0]
+            held = [batch.slice(cut)]
+            n, bytes_ = held[0].num_rows, held[0].nbytes
+        elif len(held) > 1 and held[-2].column(key)[-1].as_py() != keys[0]:
+            yield pa.Table.from_batches(held[:-1]).combine_chunks().to_batches()[0]
+            held = [batch]
+            n, bytes_ = batch.num_rows, batch.nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def group_cuts(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of each run of equal keys."""
+    if not len(keys):
+        return []
+    cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+    return list(zip(cuts[:-1], cuts[1:]))
+
+
+class Sets:
+    """Union-find over 0..n-1; the root of a set is its least member."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+
+    def roots(self) -> np.ndarray:
+        return np.array([self.root(x) for x in range(len(self.parent))], np.int64)
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of edges (a, b); a component is named by its least node.
+
+    Alternating large-star and small-star steps (Kiveris et al., 2014) until nothing changes; each round is a
+    written table, so no lineage grows and no lost executor costs more than its tasks.
+    """
+
+    def mark(e: DataFrame) -> tuple:
+        r = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        return r[0], r[1]
+
+    def star(e: DataFrame, large: bool) -> DataFrame:
+        # large: every node links its greater neighbours to the least of itself and all neighbours;
+        # small: every node links itself and its smaller neighbours to the least of them
+        both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        linked = both.join(least, "a")
+        if large:
+            out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        else:
+            out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).union(linked.select("a", F.col("m").alias("b")))
+        return out.where("a <> b").distinct()
+
+    e = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = mark(e)
+    while now[0]:
+        step = materialise(star(star(e, True), False))
+        release(e)
+        e, before = step, now
+        now = mark(e)
+        if now == before:
+            break
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .licenses import license_scan, license_sql
 from .mixing import curriculum, curriculum_sql
+from .neardup import near_duplicates, near_duplicates_sql
 from .repetition import repetition_rule
 from .sharding import shard_documents
 
@@ -32,12 +33,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum(_docs(spark, sf_dir))
 
 
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_docs(spark, sf_dir)).drop("rid")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_sharding": op3_sharding,
         "op4_licenses": op4_licenses,
         "op7_repetition": op7_repetition,
         "op8_mixing": op8_mixing,
+        "op10_neardup": op10_neardup,
     }
 
 
@@ -45,4 +51,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_licenses": license_sql(),
         "op8_mixing": curriculum_sql(),
+        "op10_neardup": near_duplicates_sql(),
     }
