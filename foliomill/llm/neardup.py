@@ -259,8 +259,8 @@ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= {shingle} THEN list_tr
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (sh) WHERE a.doc_id < b.doc_id GROUP BY ALL),
 e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= {threshold} * (x.n + y.n - c)),
-both AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-r(doc_id, other) AS (SELECT DISTINCT a, a FROM both UNION SELECT r.doc_id, both.b FROM r JOIN both ON both.a = r.other),
+ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(doc_id, other) AS (SELECT DISTINCT a, a FROM ways UNION SELECT r.doc_id, ways.b FROM r JOIN ways ON ways.a = r.other),
 g AS (SELECT doc_id, min(other) AS group_id FROM r GROUP BY doc_id)
 SELECT doc_id, group_id, doc_id = group_id AS keep FROM g
 """

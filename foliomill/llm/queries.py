@@ -11,12 +11,17 @@ from .mixing import curriculum, curriculum_sql
 from .neardup import near_duplicates, near_duplicates_sql
 from .repetition import repetition_rule
 from .sharding import shard_documents
+from .substring import repeated_passages, repeated_passages_sql
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_docs(spark, sf_dir))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_docs(spark, sf_dir))
 
@@ -39,6 +44,7 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring": op1_substring,
         "op3_sharding": op3_sharding,
         "op4_licenses": op4_licenses,
         "op7_repetition": op7_repetition,
@@ -49,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_substring": repeated_passages_sql(),
         "op4_licenses": license_sql(),
         "op8_mixing": curriculum_sql(),
         "op10_neardup": near_duplicates_sql(),
