@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import knn_join, knn_sql
 from .licenses import license_scan, license_sql
 from .mixing import curriculum, curriculum_sql
 from .neardup import near_duplicates, near_duplicates_sql
+from .packing import pack_documents
 from .repetition import repetition_rule
 from .sharding import shard_documents
 from .substring import repeated_passages, repeated_passages_sql
@@ -22,6 +24,10 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_docs(spark, sf_dir))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_join(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_docs(spark, sf_dir))
 
@@ -30,6 +36,10 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_docs(spark, sf_dir))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_docs(spark, sf_dir))
+
+
 def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rule(_docs(spark, sf_dir))
 
@@ -45,8 +55,10 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring": op1_substring,
+        "op2_ann": op2_ann,
         "op3_sharding": op3_sharding,
         "op4_licenses": op4_licenses,
+        "op5_packing": op5_packing,
         "op7_repetition": op7_repetition,
         "op8_mixing": op8_mixing,
         "op10_neardup": op10_neardup,
@@ -56,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring": repeated_passages_sql(),
+        "op2_ann": knn_sql(),
         "op4_licenses": license_sql(),
         "op8_mixing": curriculum_sql(),
         "op10_neardup": near_duplicates_sql(),
