@@ -15,6 +15,8 @@ from .repetition import repetition_rule
 from .sharding import shard_documents
 from .substring import repeated_passages, repeated_passages_sql
 
+from .toxicity import toxicity
+
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -52,6 +54,10 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir)).drop("rid")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring": op1_substring,
@@ -61,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": op5_packing,
         "op7_repetition": op7_repetition,
         "op8_mixing": op8_mixing,
+        "op9_toxicity": op9_toxicity,
         "op10_neardup": op10_neardup,
     }
 
