@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import knn_join, knn_sql
 from .licenses import license_scan, license_sql
+from .lm import score_documents
 from .mixing import curriculum, curriculum_sql
 from .neardup import near_duplicates, near_duplicates_sql
 from .packing import pack_documents
@@ -42,6 +43,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_docs(spark, sf_dir))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_docs(spark, sf_dir))
+
+
 def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rule(_docs(spark, sf_dir))
 
@@ -65,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": op3_sharding,
         "op4_licenses": op4_licenses,
         "op5_packing": op5_packing,
+        "op6_lm": op6_lm,
         "op7_repetition": op7_repetition,
         "op8_mixing": op8_mixing,
         "op9_toxicity": op9_toxicity,
