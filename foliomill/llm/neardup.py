@@ -27,7 +27,7 @@ THRESHOLD = 0.5
 SHINGLE = 3
 SIZE = 128
 TREES = 8
-LEAF = 64
+LEAF = 1024
 DEPTH = 5
 MARGIN = 0.12
 
@@ -81,7 +81,7 @@ def _sign(n: int, size: int):
 
 def alike(sig: np.ndarray, least: float) -> np.ndarray:
     """Root of each row's set, where rows that agree in at least that share of coordinates are joined."""
-    same, inverse = np.unique(sig, axis=0, return_inverse=True) if len(sig) > LEAF else (sig, np.arange(len(sig)))
+    same, inverse = np.unique(sig, axis=0, return_inverse=True) if len(sig) > 64 else (sig, np.arange(len(sig)))
     sets = Sets(len(same))
     need = least * sig.shape[1]
     block = max(1, (1 << 24) // max(1, len(same) * sig.shape[1]))
