@@ -223,7 +223,7 @@ def near_duplicates(
     sigs = materialise(valid.select("rid", "text").mapInArrow(_sign(shingle, size), "rid long, sig array<int>").dropDuplicates(["rid"]))
     parts = connected_components(candidate_edges(sigs, threshold, size, trees, leaf, depth, margin))
     parts = materialise(parts.select(F.col("node").alias("rid"), "component"))
-    texts = valid.select("rid", "text").join(parts, "rid").dropDuplicates(["rid"])
+    texts = valid.select("rid", "text").join(parts.hint("shuffle_hash"), "rid").dropDuplicates(["rid"])
     whole = texts.select("component", "rid", "text").repartition("component").sortWithinPartitions("component")
     sets = materialise(whole.mapInArrow(_verify(shingle, threshold), "rid long, set long"))
     owned = docs.where("doc_id IS NOT NULL AND text RLIKE '[^ \\\\t\\\\n\\\\r\\\\f\\\\x0B]'")

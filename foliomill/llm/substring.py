@@ -4,17 +4,18 @@ A repeat is a run of at least ``min_words`` words that stands in two places. The
 partitioned by a prefix, so that a group's subtree can be built by itself in memory:
 
 1. Every window of min_words words is owned by one of its suffixes, the one whose first ``PREFIX`` words hash
-   lowest (its minimiser; a window equal to it is owned at the same place). Only these suffixes, about one in twelve
-   words, are partitioned by their prefix hash, as rows of a few integers. A prefix that occurs once has a
-   leaf for a subtree, and is dropped before any text moves.
-2. The suffixes of prefixes that repeat get the words around them that their windows span, and go to the task of
-   their prefix. A prefix with more than ``group_rows`` suffixes has its windows split by their full depth
-   instead (the longest variable-length prefix that is ever needed), so no task's memory depends on how often one passage occurs.
+   lowest (its minimiser; a window equal to it is owned at the same place). Only these suffixes, about one in
+   seventeen words, are partitioned by their prefix, as rows of a few integers with a hash of the words that
+   their windows span (the context). A prefix that occurs once has a leaf for a subtree, and is dropped before any text moves.
+2. Suffixes with equal contexts have equal subtrees: the first of them stands for all, and the others
+   are repeats throughout. Only prefixes with several contexts get the words of one suffix per context, in the task of the prefix.
+   A prefix with more than ``group_rows`` contexts has its windows split by their full depth instead (the longest
+   variable-length prefix that is ever needed), so no task's memory depends on how often one passage occurs.
 3. A task builds its subtrees top-down, breadth first: windows that agree so far form a node; each level extends the edge
    by ``EDGE`` words and drops nodes with one leaf. What is left at depth min_words are the deep internal nodes:
    the windows under one node are equal, and maximal repeats are the unions of overlapping such windows.
 
-Of equal windows the first by (doc_id, rid, place) is kept, the others are dropped.
+Words are compared by 64-bit hashes. Of equal windows the first by (doc_id, rid, place) is kept, the others are dropped.
 """
 
 from __future__ import annotations
@@ -26,14 +27,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import Words, grams, group_cuts, groups, materialise, ranges, signed, slices, valid_docs
+from .common import Words, grams, groups, materialise, mix, powers, ranges, signed, slices, valid_docs
 
 MIN_WORDS = 40
-PREFIX = 16
+PREFIX = 8
 EDGE = 8
-GROUP_ROWS = 20_000
+GROUP_ROWS = 5_000
+
+_STEP = 0xD1342543DE82EF95
+_BACK = pow(_STEP, -1, 1 << 64)
 
 
 def owners(w: Words, min_words: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -65,15 +68,25 @@ def owners(w: Words, min_words: int, prefix: int) -> tuple[np.ndarray, np.ndarra
     return key[place[begin]], doc, starts[begin] - base, starts[end] - base
 
 
+def contexts(w: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hash of the words from first to before last (word indices)."""
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(w.hash) + 1, np.uint64)
+        np.cumsum(w.hash * powers(len(w.hash), _STEP)[:-1], out=sums[1:])
+        return mix((sums[last] - sums[first]) * powers(len(w.hash), _BACK)[first] + (last - first).astype(np.uint64))
+
+
 def _suffixes(min_words: int, prefix: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                key, doc, lo, hi = owners(Words(part.column(2)), min_words, prefix)
+                w = Words(part.column(2))
+                key, doc, lo, hi = owners(w, min_words, prefix)
                 at = pa.array(doc)
+                context = contexts(w, w.first[doc] + lo, w.first[doc] + hi + min_words)
                 yield pa.RecordBatch.from_arrays(
-                    [signed(key), part.column(0).take(at), part.column(1).take(at), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))],
-                    ["prefix", "doc_id", "rid", "lo", "hi"],
+                    [signed(key), signed(context), part.column(0).take(at), part.column(1).take(at), pa.array(lo.astype(np.int32)), pa.array((hi - lo + 1).astype(np.int16))],
+                    ["prefix", "context", "doc_id", "rid", "lo", "windows"],
                 )
 
     return run
@@ -90,9 +103,9 @@ def _cut(min_words: int):
                 where = np.asarray(lists.value_lengths())
                 doc = np.repeat(np.arange(len(where)), where)
                 flat = lists.flatten()
-                prefix, lo, hi = (flat.field(k) for k in range(3))
+                prefix, lo, windows = (flat.field(k) for k in range(3))
                 first = w.first[doc] + np.asarray(lo)
-                last = w.first[doc] + np.asarray(hi) + min_words - 1
+                last = first + np.asarray(windows).astype(np.int64) + min_words - 2
                 a, b = w.start[first], w.end[last]
                 # cut the bytes out of the buffer all at once
                 size = b - a
@@ -147,7 +160,7 @@ def _trees(min_words: int):
     """Suffix rows sorted by prefix to spans (doc_id, rid, start, end, dropped) of repeated and of dropped windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in groups(batches, rows=30_000, size=8 << 20):
+        for batch in groups(batches, rows=GROUP_ROWS, size=2 << 20):
             w = Words(batch.column(4))
             at, node = deep_nodes(w, min_words)
             owner = np.searchsorted(w.first, at, side="right") - 1
@@ -194,54 +207,85 @@ def _windows(min_words: int):
     return run
 
 
-_SPANS = "doc_id long, rid long, start long, end long, dropped boolean"
+_SPANS = "doc_id long, rid int, start long, end long, dropped boolean"
+_LIST = "array<struct<start:long,end:long,dropped_words:long>>"
+
+
+def _merge_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, rid, spans (start, end, dropped)) to (doc_id, rid, repeats, drops): unions in order."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("dropped_words", pa.int64())]))
+    for batch in batches:
+        lists = batch.column(2)
+        count = np.asarray(lists.value_lengths()).astype(np.int64)
+        doc = np.repeat(np.arange(len(count)), count)
+        flat = lists.flatten()
+        start, end = (np.asarray(flat.field(k)) for k in range(2))
+        dropped = np.asarray(flat.field(2).to_numpy(zero_copy_only=False), bool)
+        order = np.lexsort((start, doc))
+        doc, start, end, dropped = doc[order], start[order], end[order], dropped[order]
+        d, a, b = merge(doc[dropped], start[dropped], end[dropped])
+        drops = _lists(d, a, b, b - a, len(count), kind)
+        d2, a2, b2 = merge(doc, start, end)
+        # a dropped span lies within one repeated span: the last that begins before it
+        inside = np.searchsorted(d2 * (1 << 40) + a2, d * (1 << 40) + a, side="right") - 1
+        words = np.bincount(inside, weights=b - a, minlength=len(d2)).astype(np.int64) if len(d) else np.zeros(len(d2), np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(d2, a2, b2, words, len(count), kind), drops], ["doc_id", "rid", "repeats", "drops"])
 
 
-def _union_spans(spans: DataFrame) -> DataFrame:
-    """Union of the spans of each (doc_id, rid, dropped)."""
-    of = ["doc_id", "rid", "dropped"]
-    ordered = Window.partitionBy(*of).orderBy("start", "end")
-    reach = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(F.col("start") <= reach, 0).otherwise(1)
-    island = F.sum("fresh").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    marked = spans.withColumn("fresh", fresh).withColumn("island", island)
-    return marked.groupBy(*of, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+def _lists(doc: np.ndarray, start: np.ndarray, end: np.ndarray, words: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
+    offsets = np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)
+    items = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (start, end, words)], fields=list(kind.value_type))
+    return pa.ListArray.from_arrays(pa.array(offsets), items, type=kind)
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, prefix: int = PREFIX, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """doc_id, rid, start, end, dropped: the merged spans of words in repeated windows, and those of dropped ones.
+    """doc_id, rid, repeats, drops of each document that has repeated windows.
 
-    Words are runs of characters other than ASCII white space, counted from 0; end is exclusive. rid is the hash of the text.
-    Rows that agree in doc_id and text are one document; null ids, null texts and texts of fewer than min_words words have
-    no spans. Windows may repeat within one document. Other columns are ignored.
+    repeats and drops are sorted arrays of disjoint spans (start, end, dropped_words): the union of all repeated windows, and
+    of those that are dropped. Words are runs of characters other than ASCII white space, counted from 0; end is exclusive.
+    rid is a hash of the text. Rows that agree in doc_id and text are one document; null ids, null texts and texts of fewer
+    than min_words words have no spans. Windows may repeat within one document. Other columns are ignored.
     """
     if min_words < prefix:
         raise ValueError("min_words must be at least prefix")
-    valid = valid_docs(docs)
-    suffixes = materialise(valid.select("doc_id", "rid", "text").mapInArrow(_suffixes(min_words, prefix), "prefix long, doc_id long, rid long, lo int, hi int"))
-    repeated = suffixes.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = suffixes.join(repeated, "prefix").groupBy("doc_id", "rid").agg(F.collect_list(F.struct("prefix", "lo", "hi", "n")).alias("suffixes"))
-    texts = valid.select("doc_id", "rid", "text").join(wanted, ["doc_id", "rid"])
-    few = F.transform(F.filter("suffixes", lambda s: s["n"] <= group_rows), lambda s: F.struct(s["prefix"], s["lo"], s["hi"]))
-    many = F.transform(F.filter("suffixes", lambda s: s["n"] > group_rows), lambda s: F.struct(s["prefix"], s["lo"], s["hi"]))
-    sides = texts.select("doc_id", "rid", "text", F.explode(F.array(F.struct(F.lit(False).alias("hot"), few.alias("s")), F.struct(F.lit(True).alias("hot"), many.alias("s")))).alias("e"))
-    sides = sides.where(F.size("e.s") > 0)
-    cut = "prefix long, doc_id long, rid long, lo int, words string"
-    cool = sides.where("NOT e.hot").select("doc_id", "rid", "text", "e.s").mapInArrow(_cut(min_words), cut)
-    cool = cool.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_trees(min_words), _SPANS)
-    spans = [cool]
-    if not repeated.where(F.col("n") > group_rows).isEmpty():
-        hot = sides.where("e.hot").select("doc_id", "rid", "text", "e.s").mapInArrow(_cut(min_words), cut)
-        windows = materialise(hot.mapInArrow(_windows(min_words), "window long, doc_id long, rid long, start long").distinct())
-        firsts = windows.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rid", "start")).alias("f")).where("n > 1")
-        places = windows.join(firsts, "window").withColumn("dropped", F.struct("doc_id", "rid", "start") != F.col("f"))
-        end = (F.col("start") + min_words).alias("end")
-        spans.append(places.select("doc_id", "rid", "start", end, F.lit(False).alias("dropped")))
-        spans.append(places.where("dropped").select("doc_id", "rid", "start", end, "dropped"))
-    found = spans[0]
-    for more in spans[1:]:
-        found = found.union(more)
-    return _union_spans(materialise(found))
+    valid = valid_docs(docs).withColumn("rid", F.hash("text"))
+    rows = "prefix long, context long, doc_id long, rid int, lo int, windows short"
+    suffixes = materialise(valid.select("doc_id", "rid", "text").mapInArrow(_suffixes(min_words, prefix), rows))
+    repeated = suffixes.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix")
+    again = suffixes.join(repeated, "prefix", "left_semi")
+    twice = valid.select("doc_id", "rid").groupBy("doc_id", "rid").count().where("count > 1")
+    doubled = not twice.isEmpty()
+    again = materialise(again.distinct() if doubled else again)
+    place = F.struct("doc_id", "rid", "lo")
+    by_context = materialise(again.groupBy("prefix", "context").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max("windows").alias("windows")))
+    # copies of a context: repeats throughout, and dropped but for the first
+    stop = F.col("lo") + F.col("w") + (min_words - 1)
+    copied = by_context.where("n > 1").select("prefix", "context", "first", F.col("windows").cast("long").alias("w"))
+    copies = again.join(copied, ["prefix", "context"])
+    found = copies.select("doc_id", "rid", F.col("lo").cast("long").alias("start"), stop.alias("end"), (place != F.col("first")).alias("dropped"))
+    # prefixes with several contexts: one suffix of each context goes to the tree
+    several = by_context.groupBy("prefix").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    leaves = by_context.join(several, "prefix").select("prefix", "contexts", "first.*", "windows")
+    leaves = materialise(leaves.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("prefix", "lo", "windows", "contexts")).alias("suffixes")))
+    hot = not several.where(F.col("contexts") > group_rows).isEmpty()
+    texts = valid.select("doc_id", "rid", "text")
+
+    def cut(few: bool) -> DataFrame:
+        wanted = F.filter("suffixes", lambda x: (x["contexts"] <= group_rows) if few else (x["contexts"] > group_rows))
+        chosen = leaves.select("doc_id", "rid", F.transform(wanted, lambda x: F.struct(x["prefix"], x["lo"], x["windows"])).alias("s")).where(F.size("s") > 0)
+        cuts = texts.join(chosen.hint("shuffle_hash"), ["doc_id", "rid"])
+        cuts = cuts.dropDuplicates(["doc_id", "rid"]) if doubled else cuts
+        return cuts.select("doc_id", "rid", "text", "s").mapInArrow(_cut(min_words), "prefix long, doc_id long, rid int, lo int, words string")
+
+    found = found.union(cut(True).repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_trees(min_words), _SPANS))
+    if hot:
+        windows = materialise(cut(False).mapInArrow(_windows(min_words), "window long, doc_id long, rid int, start long"))
+        at = F.struct("doc_id", "rid", "start")
+        firsts = windows.groupBy("window").agg(F.count("*").alias("n"), F.min(at).alias("f")).where("n > 1")
+        places = windows.join(firsts, "window")
+        found = found.union(places.select("doc_id", "rid", "start", (F.col("start") + min_words).alias("end"), (at != F.col("f")).alias("dropped")))
+    lists = found.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("start", "end", "dropped")).alias("spans"))
+    return lists.mapInArrow(_merge_lists, f"doc_id long, rid int, repeats {_LIST}, drops {_LIST}")
 
 
 def repeated_passages(docs: DataFrame, **options) -> DataFrame:
@@ -249,14 +293,8 @@ def repeated_passages(docs: DataFrame, **options) -> DataFrame:
 
     dropped_words counts the words of the span that lie in windows of which an earlier copy is kept. See repeated_spans().
     """
-    spans = materialise(repeated_spans(docs, **options))
-    all_, dropped = spans.where("NOT dropped").drop("dropped"), spans.where("dropped")
-    inside = dropped.select("doc_id", "rid", F.col("start").alias("s"), F.col("end").alias("e"))
-    both = all_.join(inside, ["doc_id", "rid"], "left").where("s IS NULL OR (s >= start AND e <= end)")
-    counted = both.groupBy("doc_id", "rid", "start", "end").agg(F.coalesce(F.sum(F.col("e") - F.col("s")), F.lit(0)).alias("dropped_words"))
-    # spans whose document has dropped spans elsewhere only
-    whole = all_.join(counted, ["doc_id", "rid", "start", "end"], "left")
-    return whole.select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.coalesce("dropped_words", F.lit(0)).alias("dropped_words"))
+    spans = repeated_spans(docs, **options).select("doc_id", F.explode("repeats").alias("s"))
+    return spans.select("doc_id", F.col("s.start").alias("start_word"), F.col("s.end").alias("end_word"), F.col("s.dropped_words").alias("dropped_words"))
 
 
 _RUN = re.compile(rb"[^ \t\n\r\f\v]+")
@@ -279,14 +317,14 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
 
     A row whose text loses all its words goes. Rows with a null id or text stay as they are.
     """
-    spans = repeated_spans(docs, **options).where("dropped")
-    lists = materialise(spans.groupBy(F.col("doc_id").alias("_cut_id"), F.col("rid").alias("_cut_rid")).agg(F.collect_list(F.struct("start", "end")).alias("_spans")))
+    lists = repeated_spans(docs, **options).where(F.size("drops") > 0)
+    lists = materialise(lists.select(F.col("doc_id").alias("_cut_id"), F.col("rid").alias("_cut_rid"), F.col("drops").alias("_spans")))
 
     @F.pandas_udf("string")
     def cut(text, where):
         return text.combine(where, lambda t, s: None if t is None or s is None else without_spans(t, [(x["start"], x["end"]) for x in s]))
 
-    marked = docs.withColumn("_rid", F.xxhash64("text"))
+    marked = docs.withColumn("_rid", F.hash("text"))
     joined = marked.join(lists, (marked["doc_id"].cast("long") == lists["_cut_id"]) & (marked["_rid"] == lists["_cut_rid"]), "left")
     joined = joined.withColumn("_new", cut(F.when(F.col("_spans").isNotNull(), F.col("text")), F.col("_spans")))
     changed = F.col("_spans").isNotNull()

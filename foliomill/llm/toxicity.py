@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 from .common import Words, slices
 from .neardup import shingles, signatures
 
-FIT_ROWS = 12_000
+FIT_ROWS = 6_000
 FEATURES = 4_000
 MINED_VOTERS = 6
 THRESHOLD = 0.5
-BEGINNINGS = (4, 5, 6, 7, 8)
+BEGINNINGS = (4, 5, 6, 7)
+LEAST_DOCS = 4
 
 LEXICONS: tuple[frozenset[str], ...] = (
     frozenset("idiot moron imbecile loser clown scum vermin scumbag".split()),
@@ -96,8 +97,9 @@ def copy_weights(texts: pa.Array) -> np.ndarray:
 
     Documents that agree in one of four minwise 3-word shingles are taken to be alike.
     """
-    hashes, count = shingles(texts, 3)
-    rows = signatures(hashes, count, 4)
+    cut = [shingles(part.column(0), 3) for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]))]
+    count = np.concatenate([n for _, n in cut])
+    rows = np.concatenate([signatures(h, n, 4) for h, n in cut])
     alike = np.ones(len(rows))
     for k in range(rows.shape[1]):
         _, code, size = np.unique(rows[:, k], return_inverse=True, return_counts=True)
@@ -193,9 +195,8 @@ def fit(texts: list[str], toxic: list[int | None], features: int = FEATURES, min
         # nothing to learn from: the fixed voters alone
         keys = np.unique(Words(pa.array(sorted(w for lexicon in LEXICONS for w in lexicon)), _SEPARATORS).hash)
         return Model(keys, np.full(len(keys), 6.0), np.zeros(len(keys)), -3.0)
-    f = Features(array)
-    doc, key, count = f.counts()
-    rate = count / np.maximum(f.words[doc], 1)
+    doc, key, count, words = _sample_features(array)
+    rate = count / np.maximum(words[doc], 1)
     weight = copy_weights(array)
     own = weight * known
     keys, bound = contrast(doc, key, own * label, own * (1 - label))
@@ -219,11 +220,29 @@ def fit(texts: list[str], toxic: list[int | None], features: int = FEATURES, min
     best = np.union1d(keys[order[bound[order] > 0.2]], lexicon)
     presence = np.where(_find(lexicon, best)[0], 4.0, 0.0)
     model = Model(best, presence, np.zeros(len(best)), float(np.log(prior / (1 - prior))))
-    d, a, one, r = model.design(f)
+    of, a = _find(best, key)
+    of = np.flatnonzero(of)
+    d, a, one, r = doc[of], a[of], np.ones(len(of)), np.minimum(30 * rate[of], 3.0)
     train(model, d, a, one, r, posterior, weight)
     return model
 
 
+def _sample_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """doc, key, count of the features that occur in LEAST_DOCS texts or more, and the words of each text."""
+    found, words, base = [], [], 0
+    for part in slices(pa.RecordBatch.from_arrays([texts], ["text"])):
+        f = Features(part.column(0))
+        doc, key, count = f.counts()
+        found.append(((doc + base).astype(np.int32), key, count.astype(np.int32)))
+        words.append(f.words)
+        base += part.num_rows
+    key = np.concatenate([k for _, k, _ in found])
+    distinct, docs = np.unique(key, return_counts=True)
+    wanted = distinct[docs >= LEAST_DOCS]
+    kept = [[x[_find(wanted, k)[0]] for x in (d, k, c)] for d, k, c in found]
+    return *(np.concatenate([part[i] for part in kept]) for i in range(3)), np.concatenate(words)
+
+
 def _find(keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each is among the sorted keys, and where."""
     if not len(keys):
