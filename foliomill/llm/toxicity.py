@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, slices
+from .common import Words, signed, slices
 from .neardup import shingles, signatures
 
 FIT_ROWS = 6_000
@@ -275,8 +275,19 @@ def fit_on(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Mode
     known = known.agg(F.min("toxic").alias("_toxic"), F.max("toxic").alias("_most")).where("_toxic = _most").drop("_most")
     some = known.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
     rows = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "_id")
-    rows = sorted(((r["_id"], r["text"], r["_toxic"]) for r in rows.collect()), key=lambda r: (r[0], r[1]))
-    return fit([r[1] for r in rows], [int(r[2] > 0) for r in rows])
+
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("_id", "ascending"), ("text", "ascending")])
+        model = fit(table.column("text").to_pylist(), [int(t > 0) for t in table.column("_toxic").to_pylist()])
+        return pa.table({"key": signed(model.keys), "presence": pa.array(model.presence), "rate": pa.array(model.rate), "bias": pa.array(np.full(len(model.keys), model.bias))})
+
+    # one task holds the bounded sample; the driver gets the weights alone
+    found = rows.groupBy(F.lit(0).alias("_all")).applyInArrow(one, "key long, presence double, rate double, bias double").collect()
+    if not found:
+        return fit([], [])
+    keys = np.array([r["key"] for r in found], np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return Model(keys[order], np.array([r["presence"] for r in found])[order], np.array([r["rate"] for r in found])[order], found[0]["bias"])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
