@@ -4,12 +4,544 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import lexicon as L
+from ..functions import metrics, text as T
+from ..operators import batch, canary, graphics, pages, products, quality, raster, structure
+from ..sources import readers
+from . import lenses as V
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+c = F.col
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _has(column: str, pattern: str) -> str:
+    return f"regexp_matches({column}, {_q(pattern)})"
+
+
+def _n(column: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({column}, {_q(pattern)}))"
+
+
+def _all(*cases: tuple[str, str]) -> str:
+    """List of the texts whose condition holds."""
+    return "list_filter([" + ", ".join(f"CASE WHEN {k} THEN {_q(v)} END" for k, v in cases) + "]::VARCHAR[], lambda x: x IS NOT NULL)"
+
+
+def _squeeze(t: str) -> str:
+    return f"trim(regexp_replace({t}, '[\\s\u00a0]+', ' ', 'g'))"
+
+
+# --- text
+
+_CLEAN = "replace(translate(text, '\u00a0\u200b\u200c\u200d\u2060\ufeff', ' '), chr(13), '')"
+_STRIPPED = "regexp_replace(regexp_replace({0}, '^[\\s\u00a0\u0085\u2000-\u200a\u2028\u2029]+', ''), '[\\s\u00a0\u0085\u2000-\u200a\u2028\u2029]+$', '')"
+
+
+@query(f"""
+WITH d AS (SELECT lang, {_STRIPPED.format("text")} AS t FROM documents),
+m AS (SELECT lang, length(t) AS n, {_n("t", "[A-Za-zÀ-ÖØ-öø-ÿ0-9]+")} AS w, length(regexp_replace(t, '[\\s\u00a0]', '', 'g')) AS s, length(regexp_replace(t, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS a FROM d),
+q AS (SELECT lang, (n < 80 OR w < 15 OR CASE WHEN s > 0 THEN a / s ELSE 0 END < 0.6) AS low FROM m)
+SELECT lang, CASE WHEN low THEN 'low' ELSE 'high' END AS quality, low AS requires_review, count(*) AS documents FROM q GROUP BY ALL
+""")
+def document_quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = V.view(spark, sf_dir, "documents").select("lang", quality.ocr_quality(c("text")).alias("q"))
+    return d.groupBy("lang", c("q.quality").alias("quality"), c("q.requires_review").alias("requires_review")).agg(F.count("*").alias("documents"))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, replace(text, '. ', '.   ') || chr(10) || chr(10) || chr(10) || '  x' AS text FROM documents),
+l AS (SELECT doc_id, list_transform(string_split({_CLEAN}, chr(10)), lambda x: regexp_replace({_STRIPPED.format("x")}, '[ \\t]{{2,}}', ' ', 'g')) AS ls FROM d)
+SELECT doc_id, md5(regexp_replace({_STRIPPED.format("array_to_string(ls, chr(10))")}, '\\n{{3,}}', chr(10) || chr(10), 'g')) AS prose_md5 FROM l
+""")
+def prose_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = V.view(spark, sf_dir, "documents")
+    wide = F.concat(F.replace("text", F.lit(". "), F.lit(".   ")), F.lit("\n\n\n  x"))
+    return d.select("doc_id", F.md5(T.prose(wide)).alias("prose_md5"))
+
+
+@query(f"""
+WITH p AS ({V.LAW_PAGES}), g AS (SELECT doc_id, length(text) AS n, length(text) - length(replace(text, ' ', '')) AS s, length(text) - length(regexp_replace(text, ' {{8,}}', '', 'g')) AS long, {_n("text", " {8,}")} AS gaps FROM p)
+SELECT doc_id, n >= 120 AND gaps >= 3 AND (s / greatest(n, 1) >= 0.22 OR long / greatest(n, 1) >= 0.08) AS excessive FROM g
+""")
+def layout_spacing_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.law_pages(spark, sf_dir).select("doc_id", T.excessive_spacing(c("text")).alias("excessive"))
+
+
+@query()
+def native_mode_arbitration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = V.law_pages(spark, sf_dir)
+    said = F.when(c("doc_id") % 5 == 0, F.array(F.lit("Rotated text discovered"))).otherwise(F.array().cast("array<string>"))
+    d = quality.native_mode(p.select("doc_id", c("text").alias("layout_text"), T.squeeze(c("text")).alias("simple_text"), said.alias("messages")))
+    return d.select("doc_id", "selected_mode", "layout_character_count", "simple_character_count", "rotated_text", "warnings", F.md5("text").alias("text_md5"))
+
+
+@query("SELECT n.p_partkey, round(1.0::DOUBLE * levenshtein(m.p_name, n.p_name) / length(m.p_name), 9) AS cer FROM part n JOIN part m ON m.p_partkey = n.p_partkey - 1")
+def char_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = V.view(spark, sf_dir, "part")
+    before = p.select((c("p_partkey") + 1).alias("p_partkey"), c("p_name").alias("reference"))
+    return p.join(before, "p_partkey").select("p_partkey", F.round(metrics.char_error_rate(c("reference"), c("p_name")), 9).alias("cer"))
+
+
+@query("""WITH p AS (SELECT n.p_partkey, string_split(m.p_name, ' ') AS a, string_split(n.p_name, ' ') AS b FROM part n JOIN part m ON m.p_partkey = n.p_partkey - 1)
+SELECT p_partkey, round(1.0::DOUBLE * ((a[1] <> b[1])::INT + (a[2] <> b[2])::INT) / 2, 9) AS wer FROM p""")
+def word_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = V.view(spark, sf_dir, "part")
+    before = p.select((c("p_partkey") + 1).alias("p_partkey"), c("p_name").alias("reference"))
+    return p.join(before, "p_partkey").select("p_partkey", F.round(metrics.word_error_rate(c("reference"), c("p_name")), 9).alias("wer"))
+
+
+# --- archives
+
+_ORDER = "ORDER BY lower(path), ordinal"
+_PLAN = f"""
+WITH m AS ({V.MEMBERS}),
+a AS (SELECT *, (member LIKE '../%' OR member LIKE 'C:%' OR member LIKE '/%') AS unsafe, regexp_replace(member, '^/', '') AS path, sha256(text) AS sha FROM m),
+f AS (SELECT *, NOT unsafe AND lower(path) LIKE '%.pdf' AS pdf FROM a),
+r AS (SELECT archive, count(DISTINCT lower(split_part(path, '/', 1))) = 1 AND bool_and(contains(path, '/')) AS one FROM f WHERE pdf GROUP BY archive),
+o AS (SELECT f.*, CASE WHEN pdf THEN CASE WHEN one THEN substr(path, strpos(path, '/') + 1) ELSE path END END AS output_path, CASE WHEN pdf THEN row_number() OVER (PARTITION BY f.archive, pdf {_ORDER}) END AS position FROM f LEFT JOIN r USING (archive)),
+t AS (SELECT *, row_number() OVER (PARTITION BY archive, pdf, lower(output_path) ORDER BY position) > 1 AS taken FROM o),
+e AS (SELECT *, CASE WHEN unsafe THEN 'rejected' WHEN NOT pdf THEN 'ignored' WHEN taken THEN 'failed' WHEN attributes <> 0 THEN 'rejected' WHEN ordinal % 5 = 0 THEN 'resumed' END AS early FROM t),
+h AS (SELECT *, first_value(path) OVER (PARTITION BY archive, early IS NULL, sha ORDER BY position) AS owner FROM e),
+plan AS (SELECT archive, member, output_path, coalesce(early, CASE WHEN owner <> path THEN 'duplicate' ELSE 'to_convert' END) AS status, CASE WHEN early IS NULL AND owner <> path THEN owner END AS duplicate_of, position::INTEGER AS position FROM h)
+"""
+
+
+@query(_PLAN + "SELECT * FROM plan")
+def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = V.lens(spark, sf_dir, V.MEMBERS, "documents").withColumn("sha256", F.sha2("text", 256)).drop("text")
+    old = m.where("ordinal % 5 = 0").select("archive", batch.clean_path(c("member")).alias("member"), F.lit("success").alias("status"), "sha256", F.lit(300).alias("dpi"), F.lit("1").alias("version"))
+    return batch.plan_batch(m, old.dropDuplicates(["archive", "member"]))
+
+
+@query(_PLAN + """SELECT archive, count(position) AS pdf_count, count_if(status IN ('to_convert', 'resumed')) AS success_count, count_if(status IN ('rejected', 'failed')) AS failure_count, count_if(status = 'ignored') AS skipped_count,
+count_if(status = 'duplicate') AS duplicate_count, count_if(status = 'pending') AS pending_count, CASE WHEN count_if(status IN ('rejected', 'failed')) > 0 THEN 'completed_with_failures' ELSE 'completed' END AS final_status FROM plan GROUP BY archive""")
+def batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch.batch_counts(batch_plan(spark, sf_dir))
+
+
+@query("SELECT sha256(text) AS sha256, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY ALL HAVING count(*) > 1")
+def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = V.view(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    return d.groupBy("sha256").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1")
+
+
+@query(f"SELECT ordinal, (member LIKE '../%' OR member LIKE 'C:%' OR member LIKE '/%') AS unsafe FROM ({V.MEMBERS})")
+def path_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.lens(spark, sf_dir, V.MEMBERS, "documents").select("ordinal", batch.is_unsafe(c("member")).alias("unsafe"))
+
+
+@query(f"SELECT ordinal, member AS path FROM ({V.MEMBERS}) WHERE member LIKE '%.txt'")
+def analysis_package_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = V.lens(spark, sf_dir, V.MEMBERS, "documents")
+    return d.where(batch.is_packed(c("member"))).select("ordinal", c("member").alias("path"))
+
+
+@query(f"SELECT ordinal FROM ({V.MEMBERS}) WHERE ordinal % 5 <> 0")
+def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = V.lens(spark, sf_dir, V.MEMBERS, "documents")
+    return d.select("ordinal").join(d.where("ordinal % 5 = 0").select("ordinal"), "ordinal", "left_anti")
+
+
+# --- tokens
+
+_TYPE = "CASE " + " ".join(f"WHEN {_has('u', p)} THEN '{k}'" for k, p in L.LINE_TYPES) + " ELSE 'texto' END"
+_TOKENS = f"tk AS (SELECT *, CASE WHEN confidence::DOUBLE >= 0 THEN confidence::DOUBLE END AS conf FROM ({V.TOKENS}) WHERE trim(txt) <> '')"
+_LINES = f"""{_TOKENS},
+g AS (SELECT doc_id, page_number, block_number, paragraph_number, line_number, list_transform(list_sort(list({{'a': lft, 'b': word_number, 'c': txt}})), lambda x: x.c) AS items, round(avg(conf), 3) AS confidence, count(*)::INTEGER AS tokens,
+  min(lft) AS x_left, min(tp) AS y_top, max(lft + wd) AS x_right, max(tp + ht) AS y_bottom FROM tk GROUP BY ALL),
+j AS (SELECT * EXCLUDE (items), list_reduce(list_prepend('', items), lambda a, t: CASE WHEN a = '' THEN t WHEN t <> '-' AND (contains('{L.NO_SPACE_BEFORE}', left(t, 1)) OR contains('{L.NO_SPACE_AFTER}/', right(a, 1))) THEN a || t ELSE a || ' ' || t END) AS text FROM g),
+lines AS (SELECT * EXCLUDE (u), {_TYPE} AS line_type FROM (SELECT *, upper(translate(trim(text), 'º', 'o')) AS u FROM j))"""
+_BOX = {"left": "x_left", "top": "y_top", "right": "x_right", "bottom": "y_bottom"}
+
+
+@query(f"WITH {_LINES} SELECT * FROM lines")
+def token_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.token_lines(structure.read_tokens(V.tokens(spark, sf_dir))).withColumnsRenamed(_BOX)
+
+
+_COLUMNS = f"""{_LINES},
+w AS (SELECT *, max(x_right) OVER p - min(x_left) OVER p AS w, count(*) OVER p AS n, (x_left + x_right) / 2 AS centre FROM lines WINDOW p AS (PARTITION BY doc_id, page_number)),
+nw AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY centre, y_top, x_left, block_number, paragraph_number, line_number) - 1 AS i, count(*) OVER (PARTITION BY doc_id, page_number) AS m,
+  centre - lag(centre) OVER (PARTITION BY doc_id, page_number ORDER BY centre, y_top, x_left, block_number, paragraph_number, line_number) AS gap FROM w WHERE x_right - x_left <= w * 0.72::DOUBLE),
+b AS (SELECT doc_id, page_number, i, gap, centre - gap / 2 AS cut FROM nw WHERE i >= 2 AND i < m - 2 QUALIFY row_number() OVER (PARTITION BY doc_id, page_number ORDER BY gap DESC, i) = 1),
+s AS (SELECT nw.doc_id, nw.page_number, any_value(b.cut) AS cut, any_value(nw.n) AS n, any_value(nw.w) AS w, any_value(m) AS m, any_value(b.i) AS i, any_value(b.gap) AS gap, min(y_top) FILTER (nw.i < b.i) AS lt, max(y_bottom) FILTER (nw.i < b.i) AS lb,
+  min(y_top) FILTER (nw.i >= b.i) AS rt, max(y_bottom) FILTER (nw.i >= b.i) AS rb FROM nw JOIN b USING (doc_id, page_number) GROUP BY nw.doc_id, nw.page_number),
+k AS (SELECT doc_id, page_number, cut FROM s WHERE n >= 6 AND w > 0 AND m >= 6 AND gap >= w * 0.18::DOUBLE AND i >= 3 AND m - i >= 3 AND least(lb, rb) > greatest(lt, rt) AND (least(lb, rb) - greatest(lt, rt)) / least(lb - lt, rb - rt) >= 0.35),
+cols AS (SELECT w.* EXCLUDE (w, n, centre), CASE WHEN k.cut IS NULL THEN 1 WHEN x_right - x_left > w.w * 0.72::DOUBLE THEN 0 WHEN centre <= k.cut THEN 1 ELSE 2 END AS column_number FROM w LEFT JOIN k USING (doc_id, page_number)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY y_top, column_number, x_left, block_number, paragraph_number, line_number)::INTEGER AS line_order FROM cols)"""
+
+
+@query(f"WITH {_COLUMNS} SELECT doc_id, page_number, block_number, line_number, column_number, line_order FROM placed")
+def line_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = structure.token_lines(structure.read_tokens(V.tokens(spark, sf_dir)))
+    return structure.assign_columns(lines).select("doc_id", "page_number", "block_number", "line_number", "column_number", "line_order")
+
+
+@query(f"""WITH {_COLUMNS},
+bl AS (SELECT doc_id, page_number, column_number, block_number, paragraph_number, string_agg(text, chr(10) ORDER BY y_top, x_left, line_order) AS text, coalesce(first(line_type ORDER BY y_top, x_left, line_order) FILTER (line_type <> 'texto'), 'texto') AS block_type,
+  round(avg(confidence), 3) AS confidence, count(*)::INTEGER AS line_count, min(x_left) AS x_left, min(y_top) AS y_top, max(x_right) AS x_right, max(y_bottom) AS y_bottom FROM placed GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY y_top, column_number, x_left, block_number, paragraph_number)::INTEGER AS block_order FROM bl""")
+def token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = structure.assign_columns(structure.token_lines(structure.read_tokens(V.tokens(spark, sf_dir))))
+    return structure.blocks(lines).drop("lines").withColumnsRenamed(_BOX)
+
+
+@query(f"WITH {_TOKENS} SELECT doc_id, page_number, count(*) AS tokens, count(conf) AS confident FROM tk GROUP BY ALL")
+def ocr_token_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.read_tokens(V.tokens(spark, sf_dir)).groupBy("doc_id", "page_number").agg(F.count("*").alias("tokens"), F.count("confidence").alias("confident"))
+
+
+@query(f"""WITH {_LINES}, pg AS (SELECT doc_id, page_number, string_agg(text, ' ' ORDER BY line_number, block_number) AS t, list(confidence) FILTER (confidence IS NOT NULL) AS cs FROM lines GROUP BY ALL),
+q AS (SELECT doc_id, page_number, length(t) AS n, {_n("t", "[A-Za-zÀ-ÖØ-öø-ÿ0-9]+")} AS w, length(replace(t, ' ', '')) AS s, length(regexp_replace(t, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS a, round(list_avg(cs), 3) AS mc FROM pg),
+z AS (SELECT *, n < 80 OR w < 15 OR (CASE WHEN s > 0 THEN a / s ELSE 0 END) < 0.6 OR coalesce(mc < 55, false) AS low FROM q)
+SELECT doc_id, page_number, w::INTEGER AS word_count, mc AS mean_confidence, CASE WHEN low THEN 'low' WHEN mc < 75 THEN 'medium' ELSE 'high' END AS quality FROM z""")
+def ocr_page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = structure.token_lines(structure.read_tokens(V.tokens(spark, sf_dir)))
+    ordered = F.array_sort(F.collect_list(F.struct("line_number", "block_number", "text")))
+    p = lines.groupBy("doc_id", "page_number").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("text"), F.collect_list("confidence").alias("confidences"))
+    return p.select("doc_id", "page_number", quality.ocr_quality(c("text"), c("confidences")).alias("q")).select("doc_id", "page_number", "q.word_count", "q.mean_confidence", "q.quality")
+
+
+_MARKS = ["TITULO I ", "Capítulo 2 ", "SUBSEÇÃO IV ", "Seção 1 ", "Art. 5º ", "§ 1º ", "IV - ", "b) ", "3. ", ""]
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+m AS (SELECT ([{", ".join(_q(m) for m in _MARKS)}])[pos % 10 + 1] || line AS line FROM l), f AS (SELECT upper(translate(strip_accents(trim(line)), 'ºª', 'oa')) AS u FROM m)
+SELECT {_TYPE} AS line_type, count(*) AS lines FROM f GROUP BY ALL""")
+def line_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = V.view(spark, sf_dir, "documents").select(F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    marked = F.concat(F.get(F.array(*[F.lit(m) for m in _MARKS]), c("pos") % 10), c("line"))
+    return l.select(structure.line_type(marked).alias("line_type")).groupBy("line_type").agg(F.count("*").alias("lines"))
+
+
+# --- graphics
+
+_POS = "CASE WHEN y1 <= {0} THEN 'bottom' WHEN y0 >= 1.0::DOUBLE - {0} THEN 'top' WHEN x1 <= {0} THEN 'left' WHEN x0 >= 1.0::DOUBLE - {0} THEN 'right' ELSE 'interior' END"
+_GRAPHICS = f"gr AS (SELECT *, {_POS.format('0.12::DOUBLE')} AS position, {_POS.format('0.15::DOUBLE')} AS wide, (x1 - x0) * (y1 - y0) AS area_ratio FROM ({V.GRAPHICS}))"
+_RULES = f"""{_GRAPHICS},
+core AS (SELECT * FROM gr WHERE page_number > 1 AND page_number < page_count),
+pc AS (SELECT doc_id, fingerprint, position, count(*) AS n, min(page_number::BIGINT * 100000000000 + ordinal) AS f FROM core GROUP BY ALL),
+mp AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, fingerprint) AS core FROM pc QUALIFY row_number() OVER (PARTITION BY doc_id, fingerprint ORDER BY n DESC, f) = 1),
+el AS (SELECT c.*, mp.core FROM core c JOIN mp USING (doc_id, fingerprint, position) WHERE position <> 'interior' AND mp.n / mp.core >= 0.95 AND area_ratio <= 0.05),
+md AS (SELECT doc_id, fingerprint, position, count(*) AS ok, any_value(core) AS core, median(x0) AS a, median(y0) AS b, median(x1) AS c, median(y1) AS d FROM el GROUP BY ALL),
+st AS (SELECT el.doc_id, el.fingerprint, count(*) AS stable FROM el JOIN md USING (doc_id, fingerprint) WHERE abs(x0 - a) <= 0.025 AND abs(y0 - b) <= 0.025 AND abs(x1 - c) <= 0.025 AND abs(y1 - d) <= 0.025 GROUP BY ALL),
+al AS (SELECT doc_id, fingerprint, count(*) AS occurrences, count(DISTINCT page_number) AS pages, any_value(page_count) AS page_count FROM gr GROUP BY ALL),
+cp AS (SELECT doc_id, fingerprint, count(DISTINCT page_number) AS core_pages FROM core GROUP BY ALL),
+rules AS (SELECT md.doc_id, md.fingerprint, 'graphic-' || left(md.fingerprint, 12) AS graphic_id, occurrences, pages AS pages_with_it, round(pages / greatest(page_count, 1), 6) AS page_ratio, position, round(a, 6) AS m_x0, round(b, 6) AS m_y0, round(c, 6) AS m_x1, round(d, 6) AS m_y1
+  FROM md JOIN st USING (doc_id, fingerprint) JOIN al USING (doc_id, fingerprint) JOIN cp USING (doc_id, fingerprint) WHERE core_pages >= greatest(5, ceil(0.7 * greatest(page_count - 2, 1))) AND ok / core >= 0.95 AND stable / core >= 0.95)"""
+_PAGE_GRAPHICS = f"""{_RULES},
+pf AS (SELECT doc_id, page_number, fingerprint, max(image_weight) AS w, bool_or(coalesce(gr.position = r.position AND area_ratio <= 0.05 AND abs(x0 - m_x0) <= 0.025 AND abs(y0 - m_y0) <= 0.025 AND abs(x1 - m_x1) <= 0.025 AND abs(y1 - m_y1) <= 0.025, false)) AS d,
+  bool_or(r.fingerprint IS NOT NULL AND wide <> 'interior' AND area_ratio <= 0.05) AS e FROM gr LEFT JOIN rules r USING (doc_id, fingerprint) GROUP BY ALL),
+pg AS (SELECT doc_id, page_number, sum(w)::BIGINT AS raw_images, coalesce(sum(w) FILTER (d), 0)::BIGINT AS decorative_images, coalesce(sum(w) FILTER (e), 0)::BIGINT AS more FROM pf GROUP BY ALL)"""
+
+
+def _graphics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphics.distinct_occurrences(graphics.with_geometry(V.lens(spark, sf_dir, V.GRAPHICS, "events")))
+
+
+@query(f"WITH {_GRAPHICS} SELECT position, count(*) AS n FROM gr GROUP BY ALL")
+def graphic_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphics.with_geometry(V.lens(spark, sf_dir, V.GRAPHICS, "events")).groupBy("position").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_RULES} SELECT * FROM rules")
+def repeated_graphics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphics.repeated_graphics(_graphics(spark, sf_dir))
+
+
+@query(f"WITH {_PAGE_GRAPHICS} SELECT doc_id, page_number, raw_images, decorative_images, greatest(raw_images - decorative_images, 0) AS content_images FROM pg")
+def page_graphics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _graphics(spark, sf_dir)
+    return graphics.page_graphics(g, graphics.repeated_graphics(g))
+
+
+@query(f"WITH {_PAGE_GRAPHICS} SELECT doc_id, page_number, raw_images, least(greatest(decorative_images, more), raw_images) AS decorative_images, greatest(raw_images - greatest(decorative_images, more), 0) AS content_images FROM pg")
+def graphics_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _graphics(spark, sf_dir)
+    rules = graphics.repeated_graphics(g)
+    return graphics.refined_graphics(g, rules, graphics.page_graphics(g, rules))
+
+
+# --- classifiers
+
+_GRID = f"""vg AS (SELECT doc_id, count(*)::INTEGER AS rectangle_count, count_if(abs(height) <= 2.5 AND abs(width) >= 20)::INTEGER AS horizontal_lines, count_if(abs(width) <= 2.5 AND abs(height) >= 8)::INTEGER AS vertical_lines FROM ({V.VECTORS}) GROUP BY ALL),
+grid AS (SELECT *, rectangle_count >= 10 AND horizontal_lines >= 4 AND vertical_lines >= 3 AS detected, rectangle_count >= 16 AND horizontal_lines >= 8 AND vertical_lines >= 6 AS strong FROM vg)"""
+
+
+@query(f"WITH {_GRID} SELECT *, (detected::INT * 3 + strong::INT * 3 + least(horizontal_lines, 20) // 4 + least(vertical_lines, 20) // 3)::INTEGER AS score, {_all(('detected', L.REASONS['grid']), ('strong', L.REASONS['strong_grid']))} AS reasons FROM grid")
+def vector_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.vector_grids(V.lens(spark, sf_dir, V.VECTORS, "lineitem"), "doc_id")
+
+
+@query(f"""WITH l AS (SELECT doc_id, rtrim(line) AS line, upper(line) AS u, {_n("trim(line)", " {2,}")} + 1 AS cells, {_n("line", L.NUMBER)} AS numbers FROM ({V.LAW}) WHERE trim(line) <> '')
+SELECT doc_id, count(*) AS lines, count_if(cells >= 3) AS multi_column, count_if(cells >= 3 AND numbers >= 2) AS numeric_aligned, count_if({_has("u", L.ZONE_CODE)}) AS zone_lines, count_if({_has("line", L.COORDINATE_LINE)}) AS coordinate_lines,
+count_if({_has("trim(u)", L.LEGAL_PREFIX)} OR trim(u) LIKE '%;') AS legal_lines FROM l GROUP BY doc_id""")
+def table_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = V.lens(spark, sf_dir, V.LAW, "part").where(F.trim("line") != "").select("doc_id", pages._line(T.rstrip(c("line"))).alias("x"))
+    many = F.size("x.starts") >= 3
+    return l.groupBy("doc_id").agg(
+        F.count("*").alias("lines"), F.count_if(many).alias("multi_column"), F.count_if(many & (c("x.numbers") >= 2)).alias("numeric_aligned"), F.count_if("x.zone").alias("zone_lines"),
+        F.count_if("x.coordinate").alias("coordinate_lines"), F.count_if("x.legal").alias("legal_lines"),
+    )
+
+
+@query()
+def table_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.assess_tables(V.law_pages(spark, sf_dir)).select("doc_id", "table.*")
+
+
+@query()
+def table_vector_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grids = pages.vector_grids(V.lens(spark, sf_dir, V.VECTORS, "lineitem"), "doc_id")
+    p = pages.assess_tables(V.law_pages(spark, sf_dir)).join(grids.select("doc_id", F.struct("detected", "strong", "score", "rectangle_count", "horizontal_lines", "vertical_lines", "reasons").alias("grid")), "doc_id", "left")
+    merged = p.withColumn("merged", pages.merge_grid(c("table"), c("grid"), c("text")))
+    return merged.select("doc_id", "merged.classification", "merged.score", "merged.content_profile", "merged.reasons", pages.legal_false_positive(c("text"), c("merged")).alias("false_positive"))
+
+
+_COORD = f"""lp AS (SELECT doc_id, upper(text) AS u FROM ({V.LAW_PAGES})),
+co AS (SELECT doc_id, {_n("u", L.XY_PAIR)} + {_n("u", L.LAT_LONG_PAIR)} AS pairs, len(list_filter(regexp_extract_all(u, '-?[0-9]+(?:[,.][0-9]+)?'), lambda x: regexp_full_match(x, '-?[0-9]{{4,7}}(?:[,.][0-9]{{2,}})?'))) AS nums,
+  {_all(*[(_has("u", p), k) for k, p in L.COORDINATE_WORDS.items()])} AS keyword_hits FROM lp),
+cd AS (SELECT *, pairs >= 4 OR (nums >= 12 AND len(keyword_hits) >= 2) OR (pairs >= 2 AND nums >= 8 AND len(keyword_hits) >= 1) AS detected FROM co)"""
+
+
+@query(f"""WITH {_COORD} SELECT doc_id, detected, (least(pairs, 10) * 2 + CASE WHEN nums >= 8 THEN least(nums // 4, 8) ELSE 0 END + least(len(keyword_hits), 5))::INTEGER AS score, pairs::INTEGER AS pair_count, nums::INTEGER AS numeric_coordinate_count, keyword_hits FROM cd""")
+def coordinate_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.law_pages(spark, sf_dir).select("doc_id", pages.coordinates(c("text")).alias("x")).select("doc_id", "x.detected", "x.score", "x.pair_count", "x.numeric_coordinate_count", "x.keyword_hits")
+
+
+@query()
+def coordinate_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pages.assess_tables(V.law_pages(spark, sf_dir)).withColumn("x", pages.coordinates(c("text")))
+    return p.select("doc_id", "x.detected", pages.is_coordinate_register(c("x"), c("table"), c("doc_id") % 9 == 0).alias("coordinate_register"))
+
+
+_MAP = f"""mt AS (SELECT doc_id, {_squeeze("text")} AS t, doc_id % 3 AS images, doc_id % 5 = 0 AS complex FROM ({V.LAW_PAGES})),
+me AS (SELECT *, {_has("t", "(?i)" + L.MAP_WORD)} AS w, {_has("t", "(?i)" + L.SPATIAL)} AS s, {_has("t", "(?i)" + L.CARTOGRAPHIC)} AS g, {_has("t", "(?i)" + L.COVER)} AS cv, {_has("t", "(?i)" + L.COVER_LAYOUT)} AS cl FROM mt)"""
+
+
+@query(f"""WITH {_MAP} SELECT doc_id, CASE WHEN images < 1 OR length(t) > 700 OR NOT (w OR s) THEN 'none' WHEN (cv OR (length(t) <= 180 AND cl AND NOT g)) AND NOT complex THEN 'map_cover'
+WHEN w::INT + s::INT + g::INT + complex::INT >= 2 AND (g OR complex) THEN 'map_confirmed' ELSE 'map_candidate' END AS map_class FROM me""")
+def map_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.law_pages(spark, sf_dir).select("doc_id", pages.map_class(c("text"), c("doc_id") % 3, c("doc_id") % 5 == 0).alias("map_class"))
+
+
+@query()
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.law_pages(spark, sf_dir).select("doc_id", pages.map_title(c("text"), c("doc_id")).alias("map_title"), pages.table_title(c("text"), c("doc_id")).alias("table_title"))
+
+
+_RASTER = f"""rp AS (SELECT *, (crossings / greatest(h + v, 1) >= 1.15 AND crossings >= 8) AS regular, priority LIKE '1%' AS tt, priority LIKE '2%' AS dt, priority LIKE '3%' AS cx FROM ({V.PAGES})),
+rd AS (SELECT *, h >= 4 AND v >= 3 AND crossings >= 6 AND area >= 0.04 AND (regular OR tt) AS whole, h >= 3 AND v >= 2 AND crossings >= 4 AND regions >= 2 AND area >= 0.02 AND NOT dt AS partial, h >= 8 AND v >= 6 AND crossings >= 20 AND area >= 0.08 AND regular AS strong FROM rp),
+rt AS (SELECT *, whole OR (partial AND cx) AS tbl, boxes >= 2 AND h + v >= 4 AND area >= 0.008 AND area <= 0.6 AND (dt OR (NOT partial AND (NOT regular OR crossings < greatest(12, 4 * boxes)))) AND NOT strong AS dia FROM rd),
+raster AS (SELECT doc_id, page_number, CASE WHEN dia AND (dt OR NOT tbl) THEN 'diagram_candidate' WHEN tbl THEN 'raster_table_candidate' ELSE 'none' END AS classification, tbl AND NOT (dia AND (dt OR NOT tbl)) AS detected, strong AND tbl AND NOT (dia AND (dt OR NOT tbl)) AS strong, partial AS partial_grid_detected, regular FROM rt)"""
+
+
+def _raster_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = V.lens(spark, sf_dir, V.PAGES, "orders")
+    flag = lambda d: c("priority").startswith(d)
+    return p.withColumn("r", pages.raster_decision(c("h"), c("v"), c("crossings"), c("regions"), c("boxes"), c("area"), flag("1"), flag("2"), flag("3")))
+
+
+@query(f"WITH {_RASTER} SELECT * FROM raster")
+def raster_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _raster_pages(spark, sf_dir).select("doc_id", "page_number", "r.*")
+
+
+_MV = f"""mv AS (SELECT doc_id, page_number, h / 100e0 AS ink, v / 300e0 AS edges, crossings AS parts FROM ({V.PAGES})),
+mw AS (SELECT *, ink >= 0.045 AND edges >= 0.025 AS dense, (ink >= 0.055 AND edges >= 0.012 AND parts >= 18) OR (ink >= 0.09 AND parts >= 12) AS varied FROM mv)"""
+
+
+@query(f"WITH {_MV} SELECT doc_id, page_number, dense OR varied AS visual_complexity, NOT (dense OR varied) AND (ink <= 0.035 OR (parts <= 8 AND edges <= 0.012) OR (ink <= 0.05 AND edges <= 0.01)) AS cover_like FROM mw")
+def map_visual_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = V.lens(spark, sf_dir, V.PAGES, "orders")
+    m = pages.map_visual(c("h") / F.lit(100.0), c("v") / F.lit(300.0), c("crossings"))
+    return p.select("doc_id", "page_number", m.alias("m")).select("doc_id", "page_number", "m.visual_complexity", "m.cover_like")
+
+
+@query()
+def raster_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ruled pages, drawn from nation rows: as many lines as the key says."""
+    @F.arrow_udf("binary")
+    def draw(keys: pa.Array) -> pa.Array:
+        out = []
+        for k in keys.to_pylist():
+            page = np.full((300, 240, 3), 255, np.uint8)
+            for i in range(3 + k % 6):
+                page[40 + 30 * i : 42 + 30 * i, 20:220] = 0
+                page[40 : 42 + 30 * (2 + k % 6), 20 + 24 * i : 22 + 24 * i] = 0
+            out.append(page.tobytes())
+        return pa.array(out, pa.binary())
+
+    n = V.view(spark, sf_dir, "nation")
+    return n.select("n_nationkey", raster.metrics(F.lit(300), F.lit(240), draw("n_nationkey")).alias("m")).select("n_nationkey", "m.*")
+
+
+@query(f"""WITH RECURSIVE pg AS (SELECT doc_id, page_number, priority LIKE '1%' OR priority LIKE '2%' AS latent, priority LIKE '5%' AS seed FROM ({V.PAGES})),
+nx AS (SELECT *, coalesce(lead(seed) OVER (PARTITION BY doc_id ORDER BY page_number), false) AS ahead FROM pg),
+run(doc_id, page_number, latent, promoted, state) AS (SELECT doc_id, page_number, latent, latent AND ahead, seed OR (latent AND ahead) FROM nx WHERE page_number = 1
+  UNION ALL SELECT n.doc_id, n.page_number, n.latent, n.latent AND (r.state OR n.ahead), n.seed OR (n.latent AND (r.state OR n.ahead)) FROM run r JOIN nx n ON n.doc_id = r.doc_id AND n.page_number = r.page_number + 1)
+SELECT doc_id, page_number, latent, promoted FROM run""")
+def context_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = V.lens(spark, sf_dir, V.PAGES, "orders")
+    p = p.select("doc_id", "page_number", (c("priority").startswith("1") | c("priority").startswith("2")).alias("latent"), c("priority").startswith("5").alias("seed"))
+    return pages.promote_by_context(p).drop("seed")
+
+
+_W = L.WARNINGS
+_ROUTED = f"""ro AS (SELECT *, characters >= 40 AS native, NOT coordinate_register AND table_class = 'confirmed' AS conf, NOT coordinate_register AND table_class IN ('candidate', 'mixed_candidate', 'visual_candidate') AS cand,
+  map_class <> 'none' AS mapped, characters = 0 AND raw_images > 0 AND content_images = 0 AND raw_images = decorative_images AS orn FROM ({V.PAGES})),
+routed AS (SELECT *, CASE WHEN mapped THEN 'map' WHEN orn THEN 'decorative' WHEN coordinate_register AND native THEN 'native' WHEN conf THEN 'structured' WHEN native THEN 'native' ELSE 'ocr' END AS route,
+  CASE WHEN mapped THEN map_class WHEN orn THEN CASE WHEN page_number = page_count THEN 'back_cover' ELSE 'decorative_only' END WHEN coordinate_register AND native THEN 'coordinate_register' WHEN conf THEN 'table' WHEN native THEN CASE WHEN cand THEN 'table_candidate' ELSE 'text' END ELSE 'unknown' END AS page_type FROM ro)"""
+
+
+def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = V.lens(spark, sf_dir, V.PAGES, "orders")
+    extra = {"mode": F.lit("layout"), "messages": F.array().cast("array<string>"), "is_last": c("page_number") == c("page_count")}
+    return pages.route_pages(p.withColumns(extra))
+
+
+@query(f"WITH {_ROUTED} SELECT doc_id, page_number, route, page_type FROM routed")
+def page_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _routed(spark, sf_dir).select("doc_id", "page_number", "route", "page_type")
+
+
+_FIRST = f"""CASE WHEN map_class = 'map_confirmed' THEN {_q(_W["map_confirmed"])} WHEN map_class = 'map_candidate' THEN {_q(_W["map_candidate"])} WHEN map_class = 'map_cover' THEN {_q(_W["map_cover"])} WHEN orn THEN {_q(_W["decorative"])}
+WHEN coordinate_register THEN {_q(_W["coordinates"])} WHEN conf THEN {_q(_W["table"])} WHEN cand THEN replace(table_class, '_', ' ') || {_q(_W["candidate"])} WHEN characters > 0 AND NOT native THEN {_q(_W["thin"])} END"""
+
+
+@query(f"""WITH {_ROUTED} SELECT doc_id, page_number, list_filter([{_FIRST}, CASE WHEN grid_detected THEN {_q(_W["vector"])} END, CASE WHEN coordinates_detected AND NOT coordinate_register THEN {_q(_W["subordinate"])} END,
+CASE WHEN content_images > 0 AND native AND NOT mapped THEN {_q(_W["hybrid"])} END, CASE WHEN characters = 0 AND raw_images = 0 THEN {_q(_W["blank"])} END, CASE WHEN rotated THEN {_q(_W["rotated"] + "layout")} END], lambda x: x IS NOT NULL) AS warnings FROM routed""")
+def page_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _routed(spark, sf_dir).select("doc_id", "page_number", "warnings")
+
+
+@query(f"WITH {_ROUTED} SELECT page_type, route, count(*) AS pages FROM routed GROUP BY ROLLUP (page_type, route)")
+def page_type_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _routed(spark, sf_dir).rollup("page_type", "route").agg(F.count("*").alias("pages"))
+
+
+@query(f"""WITH {_ROUTED} SELECT doc_id, max(page_number) AS page_count, list_sort(coalesce(list(DISTINCT page_number) FILTER (page_type = 'map_confirmed'), [])) AS map_pages, list_sort(coalesce(list(DISTINCT page_number) FILTER (route = 'ocr'), [])) AS used_ocr_pages,
+list_sort(coalesce(list(DISTINCT page_number) FILTER (page_type = 'table'), [])) AS table_pages, list_sort(coalesce(list(DISTINCT page_number) FILTER (page_type = 'table_candidate'), [])) AS table_candidate_pages, list_sort(coalesce(list(DISTINCT page_number) FILTER (route = 'decorative'), [])) AS decorative_pages,
+list_sort(coalesce(list(DISTINCT page_number) FILTER (page_type = 'coordinate_register'), [])) AS coordinate_register_pages, list_sort(coalesce(list(DISTINCT page_number) FILTER (rotated), [])) AS rotated_text_pages FROM routed GROUP BY doc_id""")
+def manifest_page_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = lambda x: c("page_type") == x
+    lists = {
+        "map_pages": kind("map_confirmed"), "used_ocr_pages": c("route") == "ocr", "table_pages": kind("table"), "table_candidate_pages": kind("table_candidate"),
+        "decorative_pages": c("route") == "decorative", "coordinate_register_pages": kind("coordinate_register"), "rotated_text_pages": c("rotated"),
+    }
+    return products.manifest_lists(_routed(spark, sf_dir), lists)
+
+
+def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _routed(spark, sf_dir).withColumns({
+        "false_positive": c("k") % 29 == 0, "raster_class": F.when(c("k") % 7 == 0, "diagram_candidate").when(c("k") % 7 == 1, "raster_table_candidate").otherwise("none"), "ocr_map": c("k") % 31 == 0,
+        "quality": F.when(c("k") % 2 == 0, "high").otherwise("low"), "text": F.concat(F.lit("Texto  da  pagina "), c("priority")), "title": F.concat(F.lit("Mapa ["), c("k").cast("string"), F.lit("]")),
+        "image": products.image_name(c("page_number"), "pagina"), "notice": F.lit("Conteudo visual."),
+    })
+    return products.render(products.product_kind(p))
+
+
+_PRODUCT = f"""{_ROUTED},
+pk AS (SELECT *, CASE WHEN route = 'map' THEN 'visual' WHEN route = 'decorative' THEN 'decorative' WHEN page_type = 'coordinate_register' THEN 'coordinates' WHEN page_type = 'table_candidate' AND k % 29 <> 0 THEN 'table_candidate' WHEN route = 'structured' THEN 'table'
+WHEN route = 'ocr' AND k % 7 = 0 THEN 'visual' WHEN route = 'ocr' AND k % 7 = 1 THEN 'raster_table' WHEN route = 'ocr' AND coordinate_register THEN 'coordinates' WHEN route = 'ocr' AND k % 31 = 0 THEN 'visual' WHEN route = 'ocr' AND k % 2 = 1 THEN 'ocr_review' WHEN route = 'ocr' THEN 'ocr' WHEN rotated THEN 'visual' ELSE 'native' END AS product FROM routed)"""
+
+
+@query(f"WITH {_PRODUCT} SELECT doc_id, page_number, product FROM pk")
+def page_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _products(spark, sf_dir).select("doc_id", "page_number", "product")
+
+
+@query()
+def document_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return products.assemble(_products(spark, sf_dir)).select("doc_id", "page_count", "markdown_sha256", "markdown_size_bytes")
+
+
+# --- legal text
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = V.view(spark, sf_dir, "conversations")
+    n = (c("turn") + 1).cast("string")
+    piece = F.concat(F.lit("Art. "), n, F.lit("º "), c("text"), F.lit(" nos termos do art. "), (c("turn") + 40).cast("string"), F.lit(", 10 % ao ano.\n"))
+    g = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", piece.alias("p"), n.alias("n"), c("text").alias("t")))).alias("all"))
+    return g.select(
+        c("conv_id").cast("string").alias("case_id"), F.concat(F.transform("all", lambda x: F.concat(F.lit("Artigo "), x["n"])), F.when(c("conv_id") % 10 == 0, F.array(F.lit("999"))).otherwise(F.array().cast("array<string>"))).alias("expected"),
+        F.array(F.lit("10%"), F.lit("Art. 1º"), c("all")[0]["t"]).alias("terms"), F.array(F.lit("40")).alias("references"), F.array().cast("array<string>").alias("altered"), F.array_join(F.transform("all", lambda x: x["p"]), "").alias("observed"),
+    )
+
+
+@query()
+def article_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cases(spark, sf_dir).select("case_id", F.explode(canary.occurrences(c("observed"))).alias("o")).select("case_id", "o.*")
+
+
+@query()
+def canary_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canary.evaluate(_cases(spark, sf_dir))
+
+
+@query()
+def canary_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canary.summary(canary_cases(spark, sf_dir))
+
+
+@query("SELECT conv_id, turn, (turn + 1) || CASE WHEN turn % 3 = 0 THEN '-B' ELSE '' END AS article FROM conversations")
+def article_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.lit(" Art. "), (c("turn") + 1).cast("string"), F.when(c("turn") % 2 == 0, "º").otherwise(""), F.when(c("turn") % 3 == 0, "-b").otherwise(""))
+    return V.view(spark, sf_dir, "conversations").select("conv_id", "turn", T.article_id(raw).alias("article"))
+
+
+@query("SELECT conv_id, turn, 'conforme art.' || (turn + 1) || ' da lei nº ' || conv_id || '/2020, 10% de 250m2' AS legal FROM conversations")
+def legal_text_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.lit("Conforme  ARTIGO "), (c("turn") + 1).cast("string"), F.lit("º da Lei n° "), c("conv_id").cast("string"), F.lit(" / 2020, 10 % de 250 m²"))
+    return V.view(spark, sf_dir, "conversations").select("conv_id", "turn", T.legal_text(raw).alias("legal"))
+
+
+@query("SELECT conv_id::VARCHAR AS case_id, list(text ORDER BY turn) AS terms, count(*)::INTEGER AS turns FROM conversations GROUP BY conv_id")
+def variant_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = V.view(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("a"))
+    body = F.to_json(F.struct(F.array(F.struct(c("conv_id").cast("string").alias("case_id"), F.transform("a", lambda x: F.struct(x["text"].alias("valor"))).alias("termos_criticos"))).alias("cases")))
+    return readers.parse_cases(t.select(body.alias("value"))).select("case_id", "terms", F.size("terms").alias("turns"))
+
+
+# --- other sources
+
+
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages)
+SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))) AS text_md5 FROM a""")
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.view(spark, sf_dir, "pages").select("page_id", F.md5(readers.html_text(c("html"))).alias("text_md5"))
+
+
+@query("SELECT event_type, count(*) AS events, sum((props->>'$.k')::BIGINT)::BIGINT AS k_total FROM events GROUP BY ALL")
+def events_props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = V.view(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return e.groupBy("event_type").agg(F.count("*").alias("events"), F.sum("k").alias("k_total"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
