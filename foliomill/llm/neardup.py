@@ -3,10 +3,10 @@
 Every distinct text has a signature of ``SIZE`` minwise tokens of its word shingles. A tree starts with all
 texts in its root; a node picks ``ceil(1 / threshold)`` coordinates of the signature at random (fixed by the
 node's name) and sends each text to the children named by its minwise tokens there. Nodes with a single text
-end; nodes of at most ``leaf`` texts are compared exhaustively; larger nodes branch again. A node that is as
+end (from the second level on); nodes of at most ``leaf`` texts are compared exhaustively; larger nodes branch again. A node that is as
 large after ``depth`` levels holds texts that are alike nearly everywhere and is compared exhaustively too. A pair at the
 threshold survives a level with probability 1 - (1 - threshold) ** branches; ``trees`` independent trees bring the
-recall to its target. Comparisons in nodes use the signatures with a margin below the threshold;
+recall to its target. Comparisons in nodes use sketches of the signatures with a margin below the threshold;
 clusters that they connect are then verified on exact Jaccard similarities of the shingle sets.
 """
 
@@ -65,6 +65,16 @@ def signatures(hashes: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def sketches(rows: np.ndarray) -> np.ndarray:
+    """The two lowest bits of every coordinate, packed in 64-bit words."""
+    bits = np.stack([rows & 1, (rows >> 1) & 1], axis=2).astype(np.uint8).reshape(len(rows), -1)
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def _words(size: int) -> list[str]:
+    return [f"s{k}" for k in range(size // 32)]
+
+
 def _sign(n: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,44 +84,76 @@ def _sign(n: int, size: int):
                 rid = pc.filter(part.column(0), pa.array(count > 0))
                 values = pa.array(rows.view(np.int32).reshape(-1))
                 offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * size)
-                yield pa.RecordBatch.from_arrays([rid, pa.ListArray.from_arrays(offsets, values)], ["rid", "sig"])
+                packed = sketches(rows)
+                yield pa.RecordBatch.from_arrays([rid, pa.ListArray.from_arrays(offsets, values), *[signed(packed[:, k]) for k in range(size // 32)]], ["rid", "sig", *_words(size)])
 
     return run
 
 
-def alike(sig: np.ndarray, least: float) -> np.ndarray:
-    """Root of each row's set, where rows that agree in at least that share of coordinates are joined."""
-    same, inverse = np.unique(sig, axis=0, return_inverse=True) if len(sig) > 64 else (sig, np.arange(len(sig)))
+_EVEN = np.uint64(0x5555555555555555)
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many coordinates two words of sketches differ."""
+    x = a ^ b
+    return np.bitwise_count((x | (x >> np.uint64(1))) & _EVEN)
+
+
+def alike(packed: np.ndarray, most: float) -> np.ndarray:
+    """Root of each row's set, where rows that differ in at most that many coordinates are joined."""
+    same, inverse = np.unique(packed, axis=0, return_inverse=True)
     sets = Sets(len(same))
-    need = least * sig.shape[1]
-    block = max(1, (1 << 24) // max(1, len(same) * sig.shape[1]))
+    block = max(1, (1 << 20) // max(1, len(same)))
     for a in range(0, len(same), block):
-        agree = (same[a : a + block, None, :] == same[None, a:, :]).sum(axis=2)
-        for i, j in zip(*np.nonzero(agree >= need)):
+        apart = np.zeros((len(same[a : a + block]), len(same) - a), np.uint16)
+        for k in range(same.shape[1]):
+            apart += differing(same[a : a + block, None, k], same[None, a:, k])
+        for i, j in zip(*np.nonzero(apart <= most)):
             if j > i:
                 sets.join(a + int(i), a + int(j))
     return sets.roots()[inverse.reshape(-1)]
 
 
-def _compare(size: int, least: float):
-    """(node, rid, sig) sorted by node to star edges (a, b) between alike texts."""
+def _nodes(size: int, least: float, leaf: float):
+    """(node, rid, words of the sketch) sorted by node to edges (a, b) between alike texts, and (rid, null, node) of larger nodes."""
+    most = size * (1 - least) * 0.75  # two bits agree by chance in a quarter of the coordinates that differ
+    pairs_of = 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in groups(batches):
-            rid = np.asarray(batch.column(1))
-            sig = np.asarray(batch.column(2).flatten()).reshape(len(rid), size)
-            left, right = [], []
-            for a, b in group_cuts(np.asarray(batch.column(0))):
-                roots = alike(sig[a:b], least)
+        for batch in groups(batches, rows=1 << 15, size=2 << 20):
+            node, rid = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            packed = np.stack([np.asarray(batch.column(2 + k)).view(np.uint64) for k in range(size // 32)], axis=1)
+            left, right, onward = [], [], []
+            for d in range(1, min(pairs_of, len(node))):
+                at = np.flatnonzero(node[d:] == node[:-d])
+                if not len(at):
+                    break
+                apart = np.zeros(len(at), np.uint16)
+                for k in range(packed.shape[1]):
+                    apart += differing(packed[at, k], packed[at + d, k])
+                near = at[(apart <= most) & (rid[at] != rid[at + d])]
+                left.append(rid[near])
+                right.append(rid[near + d])
+            # nodes beyond what the shifts above reach
+            far = np.flatnonzero(node[pairs_of:] == node[:-pairs_of]) if len(node) > pairs_of else np.zeros(0, np.int64)
+            for name in np.unique(node[far]):
+                a, b = np.searchsorted(node, name, "left"), np.searchsorted(node, name, "right")
+                if b - a > leaf:
+                    onward.append((a, b))
+                    continue
+                roots = alike(packed[a:b], most)
                 own = rid[a:b]
-                first: dict[int, int] = {}
-                for k, root in enumerate(roots.tolist()):
-                    if root in first:
-                        left.append(first[root])
-                        right.append(int(own[k]))
-                    else:
-                        first[root] = int(own[k])
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+                _, first, inverse = np.unique(roots, return_index=True, return_inverse=True)
+                left.append(own[first[inverse]])
+                right.append(own)
+            a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
+            low, high = np.minimum(a, b), np.maximum(a, b)
+            edges = np.unique(np.stack([low, high], axis=1)[low != high], axis=0)
+            at = np.concatenate([np.zeros(0, np.int64), *[np.arange(x, y) for x, y in onward]])
+            none = pa.nulls(len(at), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1]), pa.nulls(len(edges), pa.int64())], ["a", "b", "node"])
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(rid[at]), none, pa.array(node[at])], ["a", "b", "node"])
 
     return run
 
@@ -159,9 +201,10 @@ def _verify(n: int, threshold: float):
     """(component, rid, text) sorted by component to (rid, set): set is the least rid of those that belong together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in groups(batches):
+        for batch in groups(batches, size=2 << 20):
             rid = np.asarray(batch.column(1))
-            hashes, count = shingles(batch.column(2), n)
+            cut = [shingles(part.column(0), n) for part in slices(pa.RecordBatch.from_arrays([batch.column(2)], ["text"]))]
+            hashes, count = np.concatenate([x for x, _ in cut]), np.concatenate([x for _, x in cut])
             ends = np.cumsum(count)
             out = rid.copy()
             for a, b in group_cuts(np.asarray(batch.column(0))):
@@ -176,37 +219,36 @@ def _verify(n: int, threshold: float):
 
 
 def candidate_edges(sigs: DataFrame, threshold: float, size: int, trees: int, leaf: int, depth: int, margin: float) -> DataFrame:
-    """Edges (a, b) between texts of sigs (rid, sig) that some leaf of some tree found alike."""
+    """Edges (a, b) between texts of sigs (rid, sig, words of the sketch) that some leaf of some tree found alike.
+
+    A text goes to a node with its sketch (two bits a coordinate), so a node is compared where it is gathered, and only
+    what lies in nodes of more than ``leaf`` texts moves again. The first two levels are taken in one step.
+    """
     branches = math.ceil(1 / threshold)
     rng = np.random.Generator(np.random.PCG64(11))
     roots = [(t, int(i)) for t in range(trees) for i in rng.choice(size, branches, replace=False)]
     child = lambda *of: F.xxhash64(*of)
-    first = F.array(*[child(F.lit(t), F.lit(i), F.col("sig")[i]) for t, i in roots])
-    members = sigs.select("rid", F.explode(first).alias("node"))
-    leaves = []
-    for level in range(1, depth + 1):
-        members = materialise(members.distinct() if level > 1 else members)
-        sizes = members.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor("rid").alias("x"), F.bit_xor(F.xxhash64("rid")).alias("y")).where("n > 1")
-        if level < depth:
-            small, large = sizes.where(F.col("n") <= leaf), sizes.where(F.col("n") > leaf)
-        else:
-            small, large = sizes, None
-        # the same texts meet in many nodes; of nodes with the same members one is compared
-        once = small.groupBy("n", "x", "y").agg(F.min("node").alias("node"))
-        leaves.append(materialise(members.join(once.select("node"), "node", "left_semi")))
-        if large is None:
-            break
-        large = materialise(large.groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node"))
-        if large.isEmpty():
+    pick = lambda node, k: F.pmod(F.xxhash64(node, F.lit(k)), F.lit(size)).cast("int")
+    below = lambda node: [child(node, pick(node, k), F.col("sig")[pick(node, k)]) for k in range(branches)]
+    words = _words(size)
+    tops = sigs.select("rid", "sig", *words, F.array(*[child(F.lit(t), F.lit(i), F.col("sig")[i]) for t, i in roots]).alias("tops"))
+    paths = F.flatten(F.transform("tops", lambda node: F.array(*below(node))))
+    members = tops.select("rid", *words, F.explode(F.array_distinct(paths)).alias("node"))
+    found = []
+    for level in range(2, depth + 1):
+        gathered = members.select("node", "rid", *words).repartition("node").sortWithinPartitions("node")
+        compared = materialise(gathered.mapInArrow(_nodes(size, threshold - margin, leaf if level < depth else math.inf), "a long, b long, node long"))
+        found.append(compared.where("node IS NULL").select("a", "b"))
+        large = compared.where("node IS NOT NULL").select(F.col("a").alias("rid"), F.col("node").alias("parent"))
+        if level == depth or large.isEmpty():
             break
-        picks = [F.pmod(F.xxhash64("node", F.lit(k)), F.lit(size)).cast("int") for k in range(branches)]
-        grown = members.join(large, "node", "left_semi").join(sigs, "rid")
-        members = grown.select("rid", F.explode(F.array(*[child("node", p, F.col("sig")[p]) for p in picks])).alias("node"))
-    found = leaves[0]
-    for more in leaves[1:]:
-        found = found.union(more)
-    compared = found.join(sigs, "rid").select("node", "rid", "sig").repartition("node").sortWithinPartitions("node")
-    return compared.mapInArrow(_compare(size, threshold - margin), "a long, b long").distinct()
+        # texts that meet in many nodes go on under each of them, once
+        grown = large.join(sigs, "rid").select("rid", *words, F.explode(F.array_distinct(F.array(*below(F.col("parent"))))).alias("node"))
+        members = grown
+    edges = found[0]
+    for more in found[1:]:
+        edges = edges.union(more)
+    return edges.distinct()
 
 
 def near_duplicates(
@@ -220,7 +262,7 @@ def near_duplicates(
     Other columns are ignored; an empty table gives an empty result.
     """
     valid = valid_docs(docs)
-    sigs = materialise(valid.select("rid", "text").mapInArrow(_sign(shingle, size), "rid long, sig array<int>").dropDuplicates(["rid"]))
+    sigs = materialise(valid.select("rid", "text").mapInArrow(_sign(shingle, size), "rid long, sig array<int>, " + ", ".join(f"{w} long" for w in _words(size))).dropDuplicates(["rid"]))
     parts = connected_components(candidate_edges(sigs, threshold, size, trees, leaf, depth, margin))
     parts = materialise(parts.select(F.col("node").alias("rid"), "component"))
     texts = valid.select("rid", "text").join(parts.hint("shuffle_hash"), "rid").dropDuplicates(["rid"])
