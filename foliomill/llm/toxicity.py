@@ -109,15 +109,14 @@ def copy_weights(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def contrast(doc: np.ndarray, key: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per key, how surely it marks toxic documents: lower bound (3 standard errors) of its log ratio.
+def contrast(doc: np.ndarray, code: np.ndarray, size: int, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+    """Per feature, how surely it marks toxic documents: lower bound (3 standard errors) of its log ratio.
 
-    toxic, clean: what each document weighs in either class.
+    doc, code: one entry per feature of a document; toxic, clean: what each document weighs in either class.
     """
-    keys, code = np.unique(key, return_inverse=True)
-    t, c = np.bincount(code, weights=toxic[doc]), np.bincount(code, weights=clean[doc])
+    t, c = np.bincount(code, weights=toxic[doc], minlength=size), np.bincount(code, weights=clean[doc], minlength=size)
     ratio = np.log((t + 0.5) / (toxic.sum() + 1)) - np.log((c + 0.5) / (clean.sum() + 1))
-    return keys, ratio - 3 * np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+    return ratio - 3 * np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
 
 
 class LabelModel:
@@ -195,52 +194,55 @@ def fit(texts: list[str], toxic: list[int | None], features: int = FEATURES, min
         # nothing to learn from: the fixed voters alone
         keys = np.unique(Words(pa.array(sorted(w for lexicon in LEXICONS for w in lexicon)), _SEPARATORS).hash)
         return Model(keys, np.full(len(keys), 6.0), np.zeros(len(keys)), -3.0)
-    doc, key, count, words = _sample_features(array)
-    rate = count / np.maximum(words[doc], 1)
+    keys, doc, code, count, words = _sample_features(array)
+    rate = (count / np.maximum(words[doc], 1)).astype(np.float32)
     weight = copy_weights(array)
     own = weight * known
-    keys, bound = contrast(doc, key, own * label, own * (1 - label))
-    mined_keys = np.sort(keys[bound > 0.5])
-    hit, at = _find(mined_keys, key)
+    telling = contrast(doc, code, len(keys), own * label, own * (1 - label)) > 0.5
     # a mined word speaks at a quarter of the rate that it has in toxic rows
-    of_toxic = hit & known[doc] & (label[doc] > 0)
-    usual = np.bincount(at[of_toxic], weights=rate[of_toxic], minlength=len(mined_keys)) / np.maximum(np.bincount(at[of_toxic], minlength=len(mined_keys)), 1)
-    speaks = np.flatnonzero(hit)
-    speaks = speaks[rate[speaks] >= usual[at[speaks]] / 4]
+    speaks = np.flatnonzero(telling[code])
+    d, x, r = doc[speaks], code[speaks], rate[speaks]
+    of_toxic = known[d] & (label[d] > 0)
+    usual = np.bincount(x[of_toxic], weights=r[of_toxic], minlength=len(keys)) / np.maximum(np.bincount(x[of_toxic], minlength=len(keys)), 1)
+    loud = r >= usual[x] / 4
     votes = np.zeros((n, mined), np.int64)
-    votes[doc[speaks], (key[speaks] >> np.uint64(7)).astype(np.int64) % mined] = 1
+    votes[d[loud], (keys[x[loud]] >> np.uint64(7)).astype(np.int64) % mined] = 1
     fixed = np.array([fixed_votes(t) for t in texts], np.int64)
     votes = np.hstack([fixed, np.where(votes > 0, 1, -1)])
     prior = (own * label).sum() / own.sum()
     posterior = LabelModel(prior).fit(votes, weight).posterior(votes)
     # the classifier's features: the lexicons, and what the posterior finds telling
-    keys, bound = contrast(doc, key, weight * posterior, weight * (1 - posterior))
+    bound = contrast(doc, code, len(keys), weight * posterior, weight * (1 - posterior))
     order = np.argsort(-bound, kind="stable")[:features]
     lexicon = np.unique(Words(pa.array(sorted(w for words in LEXICONS for w in words)), _SEPARATORS).hash)
     best = np.union1d(keys[order[bound[order] > 0.2]], lexicon)
     presence = np.where(_find(lexicon, best)[0], 4.0, 0.0)
     model = Model(best, presence, np.zeros(len(best)), float(np.log(prior / (1 - prior))))
-    of, a = _find(best, key)
-    of = np.flatnonzero(of)
-    d, a, one, r = doc[of], a[of], np.ones(len(of)), np.minimum(30 * rate[of], 3.0)
+    chosen, place = _find(best, keys)
+    of = np.flatnonzero(chosen[code])
+    d, a, one, r = doc[of], place[code[of]], np.ones(len(of)), np.minimum(30 * rate[of].astype(float), 3.0)
     train(model, d, a, one, r, posterior, weight)
     return model
 
 
-def _sample_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """doc, key, count of the features that occur in LEAST_DOCS texts or more, and the words of each text."""
+def _sample_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys of the features that occur in LEAST_DOCS texts or more; doc, place in keys and count of each that a text has; words of each text."""
     found, words, base = [], [], 0
+    distinct, docs = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for part in slices(pa.RecordBatch.from_arrays([texts], ["text"])):
         f = Features(part.column(0))
         doc, key, count = f.counts()
         found.append(((doc + base).astype(np.int32), key, count.astype(np.int32)))
+        more, n = np.unique(key, return_counts=True)
+        distinct, place = np.unique(np.concatenate([distinct, more]), return_inverse=True)
+        docs = np.bincount(place, weights=np.concatenate([docs, n]), minlength=len(distinct)).astype(np.int64)
         words.append(f.words)
         base += part.num_rows
-    key = np.concatenate([k for _, k, _ in found])
-    distinct, docs = np.unique(key, return_counts=True)
-    wanted = distinct[docs >= LEAST_DOCS]
-    kept = [[x[_find(wanted, k)[0]] for x in (d, k, c)] for d, k, c in found]
-    return *(np.concatenate([part[i] for part in kept]) for i in range(3)), np.concatenate(words)
+    keys = distinct[docs >= LEAST_DOCS]
+    for i, (doc, key, count) in enumerate(found):
+        hit, at = _find(keys, key)
+        found[i] = (doc[hit], at[hit].astype(np.int32), count[hit])
+    return keys, *(np.concatenate([part[i] for part in found]) for i in range(3)), np.concatenate(words)
 
 
 def _find(keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
