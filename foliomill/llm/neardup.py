@@ -67,7 +67,7 @@ def signatures(hashes: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
 
 def sketches(rows: np.ndarray) -> np.ndarray:
     """The two lowest bits of every coordinate, packed in 64-bit words."""
-    bits = np.stack([rows & 1, (rows >> 1) & 1], axis=2).astype(np.uint8).reshape(len(rows), -1)
+    bits = np.stack([rows & 1, (rows >> 1) & 1], axis=2).astype(np.uint8).reshape(len(rows), 2 * rows.shape[1])
     return np.packbits(bits, axis=1).view(np.uint64)
 
 
