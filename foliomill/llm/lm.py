@@ -1,7 +1,9 @@
 """Language-model scoring with a gated recurrent network trained here, in numpy.
 
-Tokens are words: the most frequent ones of the corpus by themselves, the others by their length, and an end mark. The output
-softmax is factored: a class of tokens first, then the token within its class. Training is truncated
+Tokens are words and an end mark. The most frequent words of the corpus, more of them the larger it is, are tokens by
+themselves. Any other word is a token of its length to the network, and its bytes are scored by a model of
+spelling counted over all such words, so that its probability is that of the very word. The output
+softmax is factored: a class of tokens first, then the token within its class; there are about as many classes as tokens in a class. Training is truncated
 backpropagation: documents run through lanes in windows, each lane's state carried from window to window and
 reset where a document begins. Every document is trained on once: documents fall by hash into rounds and shards (their
 number follows the corpus); the shards of a round train apart from the same weights, and the weights
@@ -11,18 +13,20 @@ so its log-likelihood is of the complete text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, materialise, signed, slices
+from .common import Words, materialise, ranges, release, signed, slices
 
-CLASSES, CLASS_SIZE = 64, 32
-VOCABULARY = CLASSES * CLASS_SIZE
-LENGTHS = 32  # tokens for other words, by length in bytes
+VOCABULARY = 2048  # tokens of a small corpus
+GROWTH = 2  # tokens of a larger one: so many times the square root of its words
+LENGTHS = 32  # tokens for other words, by length in bytes; the last one is for all longer words too
+ORDER = 3  # bytes before that a byte's spelling depends on
 EMBEDDING, HIDDEN = 16, 24
 LANES, WINDOW = 512, 20
 ROUNDS = 2
@@ -30,11 +34,37 @@ SHARD_TOKENS = 2_000_000
 RATE = 0.01
 RARE = 1 << 16  # a word counts where it is at least one of so many of a partition
 BLOCK = 4096
+CHUNK = 512  # rows whose class probabilities are held at once, to fit the cache
+HELD = 2_000_000  # words or bytes whose counts a task sends on at once
 
 
 # --- tokens
 
 
+def _sums(docs: DataFrame, keys: Callable[[pa.Array], np.ndarray], name: str) -> DataFrame:
+    """(name, n): how often each of the keys of the texts occurs; a task sends counts on piece by piece and drops none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def counted() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([signed(found), pa.array(n.astype(np.int64))], [name, "n"])
+
+        for batch in batches:
+            for part in slices(batch):
+                held.append(keys(part.column(0)))
+                size += len(held[-1])
+                if size > HELD:
+                    yield counted()
+                    held, size = [], 0
+        if held:
+            yield counted()
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, f"{name} long, n long").groupBy(name).agg(F.sum("n").alias("n"))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n): counts of word hashes over all texts; a task leaves out words that are rarer in it than 1 in RARE."""
 
@@ -70,45 +100,150 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def vocabulary_size(words: int) -> int:
+    """Number of tokens, lengths and end mark among them, for a corpus of so many words."""
+    return max(VOCABULARY, math.ceil(GROWTH * math.sqrt(words)))
+
+
 def vocabulary(docs: DataFrame) -> np.ndarray:
     """Hashes of the most frequent words, most frequent first."""
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(VOCABULARY - LENGTHS - 1).collect()
-    return np.array([r["word"] for r in top], np.int64).view(np.uint64)
+    counts = materialise(word_counts(docs))
+    size = vocabulary_size(counts.agg(F.sum("n")).first()[0] or 0)
+    top = counts.orderBy(F.desc("n"), "word").limit(size - LENGTHS - 1).select("word").toArrow()
+    release(counts)
+    return np.asarray(top.column(0), np.int64).view(np.uint64)
 
 
 END = 0
 FIRST_WORD = 1 + LENGTHS
 
 
+def token_type(tokens: int) -> np.dtype:
+    return np.dtype("<u2" if tokens <= 1 << 16 else "<i4")
+
+
+def _known(w: Words, words: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Token id of each word, the length for words that are none of the vocabulary's; order sorts the vocabulary."""
+    ids = np.minimum(w.end - w.start, LENGTHS)
+    if not len(words):
+        return ids
+    at = order[np.minimum(np.searchsorted(words, w.hash, sorter=order), len(words) - 1)]
+    return np.where(words[at] == w.hash, FIRST_WORD + at, ids)
+
+
 def encode(texts: pa.Array, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of the texts, each with the end mark, and the number of tokens of each."""
     w = Words(texts)
-    ids = np.minimum(w.end - w.start, LENGTHS)
-    if len(words):
-        order = np.argsort(words)
-        at = np.minimum(np.searchsorted(words, w.hash, sorter=order), len(words) - 1)
-        hit = words[order[at]] == w.hash
-        ids = np.where(hit, FIRST_WORD + order[at], ids)
+    return _laid(w, _known(w, words, np.argsort(words)), token_type(FIRST_WORD + len(words)))
+
+
+def _laid(w: Words, ids: np.ndarray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     count = np.diff(w.first) + 1
-    out = np.full(int(count.sum()), END, np.int16)
+    out = np.full(int(count.sum()), END, kind)
     out[np.arange(len(ids)) + w.doc()] = ids
     return out, count
 
 
-def encoded(docs: DataFrame, words: np.ndarray) -> DataFrame:
-    """(doc_id, h, n, ids): the tokens of each row as little-endian int16."""
+def _strings(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each byte of the words, the byte and the ORDER before it in its word (0 before the first), as one number."""
+    at = ranges(start, end - start)
+    within = at - np.repeat(start, end - start)
+    out = raw[at].astype(np.int64)
+    for k in range(1, ORDER + 1):
+        out |= np.where(within >= k, raw[np.maximum(at - k, 0)], 0).astype(np.int64) << (8 * k)
+    return out
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of wanted in sorted keys, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+LONG, EXCESS = -1, -2  # keys of spelling counts: words of LENGTHS bytes or more, and their bytes beyond LENGTHS
+
+
+class Spelling:
+    """Probability of a word's bytes, given its length token: each byte after the ORDER before it.
+
+    Orders are interpolated (Witten-Bell) down to even odds for all bytes, so no word has probability 0. The bytes of a word
+    longer than LENGTHS are as many as a geometric distribution says.
+    """
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        extra = {int(k): int(c) for k, c in zip(keys[keys < 0], n[keys < 0])}
+        long, excess = extra.get(LONG, 0), extra.get(EXCESS, 0)
+        self.more = math.log((excess + 1) / (excess + long + 2))
+        self.last = math.log((long + 1) / (excess + long + 2))
+        keys, n = keys[keys >= 0], n[keys >= 0].astype(np.float64)
+        self.tables: list[tuple[np.ndarray, ...]] = []  # by order: strings, their log probabilities, contexts, log weights of the order below
+        before = None
+        for k in range(ORDER + 1):
+            strings, code = np.unique(keys & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            seen = np.bincount(code, weights=n, minlength=len(strings))
+            contexts, of = np.unique(strings >> 8, return_inverse=True)
+            kinds = np.bincount(of, minlength=len(contexts))
+            total = np.bincount(of, weights=seen, minlength=len(contexts)) + kinds
+            below = np.full(len(strings), 1 / 256) if before is None else before[1][_find(before[0], strings & ((1 << 8 * k) - 1))[0]]
+            p = (seen + kinds[of] * below) / total[of]
+            self.tables.append((strings, np.log(p), contexts, np.log(kinds / total)))
+            before = strings, p
+
+    def log_probabilities(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of each word (byte ranges of raw)."""
+        strings = _strings(raw, start, end)
+        out = np.zeros(len(strings))
+        left = np.arange(len(strings))
+        for k in range(ORDER, -1, -1):
+            known, p, contexts, weight = self.tables[k]
+            now = strings[left] & ((1 << 8 * (k + 1)) - 1)
+            at, hit = _find(known, now)
+            out[left[hit]] += p[at[hit]]
+            left, now = left[~hit], now[~hit]
+            at, hit = _find(contexts, now >> 8)
+            out[left[hit]] += weight[at[hit]]
+        out[left] -= math.log(256)
+        length = end - start
+        total = np.bincount(np.repeat(np.arange(len(start)), length), weights=out, minlength=len(start))
+        return total + np.where(length >= LENGTHS, self.last + np.maximum(length - LENGTHS, 0) * self.more, 0.0)
+
+
+def spelling_model(docs: DataFrame, words: np.ndarray) -> Spelling:
+    """Counted over every word of docs that isn't in the vocabulary."""
+    by_hash = np.argsort(words)
+
+    def keys(texts: pa.Array) -> np.ndarray:
+        w = Words(texts)
+        other = np.flatnonzero(_known(w, words, by_hash) < FIRST_WORD)
+        start, end = w.start[other], w.end[other]
+        beyond = (end - start - LENGTHS)[end - start >= LENGTHS]
+        return np.concatenate([_strings(w.raw, start, end), np.full(len(beyond), LONG), np.full(int(beyond.sum()), EXCESS)])
+
+    found = _sums(docs, keys, "string").toArrow()
+    return Spelling(np.asarray(found.column(0), np.int64), np.asarray(found.column(1), np.int64))
+
+
+def encoded(docs: DataFrame, words: np.ndarray, spelling: Spelling) -> DataFrame:
+    """(doc_id, h, n, spelled, ids): the tokens of each row (see token_type), and the log probability of the spelling of its other words."""
+    kind, by_hash = token_type(FIRST_WORD + len(words)), np.argsort(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                ids, count = encode(part.column(2), words)
+                w = Words(part.column(2))
+                known = _known(w, words, by_hash)
+                ids, count = _laid(w, known, kind)
+                other = np.flatnonzero(known < FIRST_WORD)
+                spelled = np.bincount(w.doc()[other], weights=spelling.log_probabilities(w.raw, w.start[other], w.end[other]), minlength=len(count)).astype(np.float64)  # of no words it would be whole numbers
                 offsets = np.zeros(len(count) + 1, np.int32)
-                np.cumsum(count * 2, out=offsets[1:])
+                np.cumsum(count * kind.itemsize, out=offsets[1:])
                 binary = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(count), binary], ["doc_id", "h", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(count), pa.array(spelled), binary], ["doc_id", "h", "n", "spelled", "ids"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("h"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, h long, n long, ids binary")
+    return narrow.mapInArrow(run, "doc_id long, h long, n long, spelled double, ids binary")
 
 
 # --- the network
@@ -117,16 +252,20 @@ def encoded(docs: DataFrame, words: np.ndarray) -> DataFrame:
 def fresh(counts: np.ndarray) -> dict[str, np.ndarray]:
     """Weights before training; output biases are the log frequencies of counts."""
     rng = np.random.Generator(np.random.PCG64(5))
-    p = (counts + 1.0) / (counts.sum() + len(counts))
-    by_class = p.reshape(CLASSES, CLASS_SIZE)
+    size = math.ceil(math.sqrt(len(counts)))
+    classes = math.ceil(len(counts) / size)
+    # places after the last token are never used: next to no probability
+    p = np.full(classes * size, 1e-9)
+    p[: len(counts)] = (counts + 1.0) / (counts.sum() + len(counts))
+    by_class = p.reshape(classes, size)
 
     def normal(*shape: int, scale: float) -> np.ndarray:
         return (rng.standard_normal(shape) * scale).astype(np.float32)
 
     return {
-        "emb": normal(VOCABULARY, EMBEDDING, scale=0.3), "w": normal(EMBEDDING, 3 * HIDDEN, scale=EMBEDDING**-0.5), "u": normal(HIDDEN, 3 * HIDDEN, scale=HIDDEN**-0.5),
-        "b": np.zeros(3 * HIDDEN, np.float32), "wc": normal(HIDDEN, CLASSES, scale=0.05), "bc": np.log(by_class.sum(axis=1)).astype(np.float32),
-        "ww": normal(CLASSES, HIDDEN, CLASS_SIZE, scale=0.05), "bw": np.log(by_class / by_class.sum(axis=1, keepdims=True)).astype(np.float32),
+        "emb": normal(len(counts), EMBEDDING, scale=0.3), "w": normal(EMBEDDING, 3 * HIDDEN, scale=EMBEDDING**-0.5), "u": normal(HIDDEN, 3 * HIDDEN, scale=HIDDEN**-0.5),
+        "b": np.zeros(3 * HIDDEN, np.float32), "wc": normal(HIDDEN, classes, scale=0.05), "bc": np.log(by_class.sum(axis=1)).astype(np.float32),
+        "ww": normal(classes, HIDDEN, size, scale=0.05), "bw": np.log(by_class / by_class.sum(axis=1, keepdims=True)).astype(np.float32),
     }
 
 
@@ -163,20 +302,22 @@ def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return e, total
 
 
-def _by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+def _by_class(cls: np.ndarray, classes: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """Order of targets by class, and (class, start, end) of each class in that order."""
-    cls = target // CLASS_SIZE
     order = np.argsort(cls, kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    return order, [(c, int(edges[c]), int(edges[c + 1])) for c in range(CLASSES) if edges[c + 1] > edges[c]]
+    edges = np.searchsorted(cls[order], np.arange(classes + 1))
+    return order, [(c, int(edges[c]), int(edges[c + 1])) for c in range(classes) if edges[c + 1] > edges[c]]
 
 
 def log_probabilities(p: dict, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log probability of each target token after the state h."""
-    cls, within = target // CLASS_SIZE, target % CLASS_SIZE
-    e, total = _softmax(h @ p["wc"] + p["bc"])
-    out = np.log(np.maximum(e[np.arange(len(h)), cls] / total, 1e-30))
-    order, spans = _by_class(target)
+    cls, within = np.divmod(target, p["bw"].shape[1])
+    out = np.empty(len(h), h.dtype)
+    for a in range(0, len(h), CHUNK):
+        cut = slice(a, a + CHUNK)
+        e, total = _softmax(h[cut] @ p["wc"] + p["bc"])
+        out[cut] = np.log(np.maximum(e[np.arange(len(e)), cls[cut]] / total, 1e-30))
+    order, spans = _by_class(cls, len(p["bw"]))
     sorted_h, sorted_within = h[order], within[order]
     part = np.empty(len(h), np.float32)
     for c, a, b in spans:
@@ -205,15 +346,19 @@ def gradients(p: dict, x: np.ndarray, y: np.ndarray, starts: np.ndarray, real: n
     at = np.flatnonzero(real.reshape(-1))
     total = max(len(at), 1)
     hs, target = states.reshape(-1, HIDDEN)[at], y.reshape(-1)[at]
-    cls, within = target // CLASS_SIZE, target % CLASS_SIZE
+    cls, within = np.divmod(target, p["bw"].shape[1])
     g = {k: np.zeros_like(v) for k, v in p.items()}
-    prob, norm = _softmax(hs @ p["wc"] + p["bc"])
-    loss = -float(np.log(np.maximum(prob[np.arange(len(at)), cls] / norm, 1e-30)).sum())
-    prob *= (1 / (norm * total))[:, None]
-    prob[np.arange(len(at)), cls] -= np.float32(1 / total)
-    g["wc"], g["bc"] = hs.T @ prob, prob.sum(axis=0)
-    dh = prob @ p["wc"].T
-    order, spans = _by_class(target)
+    loss, dh = 0.0, np.empty_like(hs)
+    for a in range(0, len(at), CHUNK):
+        cut, rows = slice(a, a + CHUNK), np.arange(len(at[a : a + CHUNK]))
+        prob, norm = _softmax(hs[cut] @ p["wc"] + p["bc"])
+        loss -= float(np.log(np.maximum(prob[rows, cls[cut]] / norm, 1e-30)).sum())
+        prob *= (1 / (norm * total))[:, None]
+        prob[rows, cls[cut]] -= np.float32(1 / total)
+        g["wc"] += hs[cut].T @ prob
+        g["bc"] += np.ones(len(rows), prob.dtype) @ prob
+        dh[cut] = prob @ p["wc"].T
+    order, spans = _by_class(cls, len(p["bw"]))
     sorted_h, sorted_within, part = hs[order], within[order], np.empty_like(dh)
     for c, a, b in spans:
         q, norm = _softmax(sorted_h[a:b] @ p["ww"][c] + p["bw"][c])
@@ -265,7 +410,7 @@ def lanes(ids: np.ndarray, count: np.ndarray, width: int) -> tuple[np.ndarray, n
         place[k].append(i)
         fill[k] += count[i]
     steps = int(fill.max())
-    out, begins, real = np.zeros((steps, width), np.int16), np.zeros((steps, width), bool), np.zeros((steps, width), bool)
+    out, begins, real = np.zeros((steps, width), ids.dtype), np.zeros((steps, width), bool), np.zeros((steps, width), bool)
     for k, docs in enumerate(place):
         at = 0
         for i in docs:
@@ -336,34 +481,34 @@ def _settle(p: dict, hs: list, ys: list, docs: list, out: np.ndarray) -> None:
 # --- over tables
 
 
-def _ids(column: pa.Array) -> np.ndarray:
+def _ids(column: pa.Array, kind: np.dtype) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
         column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
     _, offsets, data = column.buffers()
-    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
-    o = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(data, np.int16, count=(o[-1] - o[0]) // 2, offset=int(o[0])) if len(column) else np.zeros(0, np.int16)
+    o = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, kind, count=(o[-1] - o[0]) // kind.itemsize, offset=int(o[0])) if len(column) else np.zeros(0, kind)
 
 
-def token_counts(table: DataFrame) -> np.ndarray:
+def token_counts(table: DataFrame, tokens: int) -> np.ndarray:
     """How often each token occurs in an encoded table."""
+    kind = token_type(tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(VOCABULARY, np.int64)
+        total = np.zeros(tokens, np.int64)
         for batch in batches:
-            total += np.bincount(_ids(batch.column(0)), minlength=VOCABULARY)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(VOCABULARY)), pa.array(total)], ["token", "n"])
+            total += np.bincount(_ids(batch.column(0), kind), minlength=tokens)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(tokens)), pa.array(total)], ["token", "n"])
 
-    out = np.zeros(VOCABULARY)
-    for r in table.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
-        out[r["token"]] = r["n"]
+    out = np.zeros(tokens)
+    found = table.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+    out[np.asarray(found.column(0))] = np.asarray(found.column(1))
     return out
 
 
-def fit(table: DataFrame, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS, rate: float = RATE) -> dict[str, np.ndarray]:
+def fit(table: DataFrame, tokens: int, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS, rate: float = RATE) -> dict[str, np.ndarray]:
     """Train on every document of an encoded table once."""
-    counts = token_counts(table)
+    counts, kind = token_counts(table, tokens), token_type(tokens)
     params = fresh(counts)
     shards = max(1, round(counts.sum() / rounds / shard_tokens))
     rows = "block int, tokens long, weights array<float>"
@@ -375,7 +520,7 @@ def fit(table: DataFrame, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS
             order = np.argsort(np.asarray(part.column("h").combine_chunks()), kind="stable")
             part = part.take(pa.array(order))
             count = np.asarray(part.column("n").combine_chunks())
-            train(p, _ids(part.column("ids")), count, pace)
+            train(p, _ids(part.column("ids"), kind), count, pace)
             flat = flatten(p)
             blocks = [flat[i : i + BLOCK] for i in range(0, len(flat), BLOCK)]
             return pa.table({"block": pa.array(range(len(blocks)), pa.int32()), "tokens": pa.array([int(count.sum())] * len(blocks)), "weights": pa.array(blocks, pa.list_(pa.float32()))})
@@ -390,23 +535,23 @@ def fit(table: DataFrame, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS
 
         mine = table.where(F.pmod("h", F.lit(rounds)) == k)
         trained = mine.groupBy(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).applyInArrow(one, rows)
-        merged = trained.groupBy("block").applyInArrow(mean, rows).collect()
-        if merged:
-            flat = np.concatenate([np.array(r["weights"], np.float32) for r in sorted(merged, key=lambda r: r["block"])])
-            params = unflatten(flat, params)
+        merged = trained.groupBy("block").applyInArrow(mean, rows).toArrow().sort_by("block")
+        if len(merged):
+            params = unflatten(np.concatenate([np.asarray(c.flatten(), np.float32) for c in merged.column("weights").chunks]), params)
     return params
 
 
 def score(table: DataFrame, params: dict[str, np.ndarray]) -> DataFrame:
     """doc_id, n_tokens, log_likelihood and perplexity of the rows of an encoded table."""
+    kind = token_type(len(params["emb"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             count = np.asarray(batch.column(1))
-            found = log_likelihoods(params, _ids(batch.column(2)), count)
+            found = log_likelihoods(params, _ids(batch.column(3), kind), count) + np.asarray(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found), pa.array(np.exp(-found / count))], ["doc_id", "n_tokens", "log_likelihood", "perplexity"])
 
-    return table.select("doc_id", "n", "ids").mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, perplexity double")
+    return table.select("doc_id", "n", "spelled", "ids").mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, perplexity double")
 
 
 def score_documents(docs: DataFrame, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -415,5 +560,6 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, shard_tokens: int = S
     n_tokens counts the end mark. Null, empty and blank texts hold the end mark alone. A null doc_id stays null; repeated rows
     give repeated rows; other columns are ignored; an empty table gives an empty result.
     """
-    table = materialise(encoded(docs, vocabulary(docs)))
-    return score(table, fit(table, rounds, shard_tokens))
+    words = vocabulary(docs)
+    table = materialise(encoded(docs, words, spelling_model(docs, words)))
+    return score(table, fit(table, FIRST_WORD + len(words), rounds, shard_tokens))

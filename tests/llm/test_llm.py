@@ -222,3 +222,45 @@ def test_toxicity_on_held_out_labels(spark):
     found = toxicity.toxicity(docs, lab.join(held, "doc_id", "left_anti")).join(held, "doc_id").groupBy("toxic", "truth").count().collect()
     n = {(r["toxic"], r["truth"]): r["count"] for r in found}
     assert n.get((True, 1), 0) >= 0.75 * (n.get((True, 1), 0) + n.get((False, 1), 0)) and n.get((True, 0), 0) <= 5
+
+
+def test_language_model_grows_with_the_corpus(spark):
+    docs = [(i, " ".join(f"w{(i * 7919 + k * k) % 20011}" for k in range(1000)), None) for i in range(2500)]
+    few = spark.createDataFrame(docs[:1000], "doc_id long, text string, source string")
+    many = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    small, large = lm.vocabulary(few), lm.vocabulary(many)
+    assert len(small) + lm.FIRST_WORD == lm.VOCABULARY and len(large) + lm.FIRST_WORD == lm.vocabulary_size(2_500_000) > 3000
+    assert len(lm.fresh(np.ones(lm.FIRST_WORD + len(large)))["emb"]) == lm.FIRST_WORD + len(large)
+
+
+def test_other_words_are_scored_by_their_bytes(spark):
+    rng = random.Random(11)
+    frequent = [f"f{i}" for i in range(2100)]
+    syllables = ["ba", "ne", "lo", "ti", "ru", "sha", "mo", "ki"]
+    texts = [" ".join([*frequent, *frequent, *("".join(rng.choice(syllables) for _ in range(5)) for _ in range(200))]) for _ in range(8)]
+    words = ["".join(rng.choice(syllables) for _ in range(6)) for _ in range(40)]
+    noise = ["".join(rng.choice("qxzjvwkyQXZ0123456789") for _ in w) for w in words]
+    docs = spark.createDataFrame(list(enumerate([*texts, " ".join(words), " ".join(noise)])), "doc_id long, text string")
+    found = {r["doc_id"]: r["log_likelihood"] for r in lm.score_documents(docs).collect()}
+    assert abs(found[8] - found[9]) > 1
+    clean = docs.where("doc_id < 8")
+    model, scores = lm.spelling_model(clean, lm.vocabulary(clean)), []
+    for text in (words, noise):
+        w = lm.Words(pa.array([" ".join(text)]))
+        scores.append(model.log_probabilities(w.raw, w.start, w.end))
+    assert (scores[0] > scores[1]).all()
+
+
+def test_spelling_is_a_distribution(spark):
+    docs = spark.createDataFrame([("ab abc b é",), ("ab " + "x" * 40 + " " + "y" * 33,)], "text string")
+    model = lm.spelling_model(docs, np.zeros(0, np.uint64))
+    pairs = np.array([[a, b] for a in range(256) for b in range(256)], np.uint8).reshape(-1)
+    at = np.arange(0, len(pairs), 2)
+    assert abs(np.exp(model.log_probabilities(pairs, at, at + 2)).sum() - 1) < 1e-9
+    for text in ("a", "ab", "abc", "zz"):
+        raw, p = np.frombuffer(text.encode(), np.uint8), 1.0
+        for i in range(len(raw)):
+            p *= np.exp(model.log_probabilities(raw, np.array([0]), np.array([i + 1])) - (model.log_probabilities(raw, np.array([0]), np.array([i])) if i else 0))[0]
+        assert abs(np.log(p) - model.log_probabilities(raw, np.array([0]), np.array([len(raw)]))[0]) < 1e-9
+    assert abs(np.exp(model.last) + np.exp(model.more) - 1) < 1e-9
+    assert len(lm.Spelling(np.zeros(0, np.int64), np.zeros(0, np.int64)).log_probabilities(raw, np.array([0]), np.array([2]))) == 1
