@@ -32,7 +32,6 @@ LANES, WINDOW = 512, 20
 ROUNDS = 2
 SHARD_TOKENS = 2_000_000
 RATE = 0.01
-RARE = 1 << 16  # a word counts where it is at least one of so many of a partition
 BLOCK = 4096
 CHUNK = 512  # rows whose class probabilities are held at once, to fit the cache
 HELD = 2_000_000  # words or bytes whose counts a task sends on at once
@@ -66,38 +65,8 @@ def _sums(docs: DataFrame, keys: Callable[[pa.Array], np.ndarray], name: str) ->
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): counts of word hashes over all texts; a task leaves out words that are rarer in it than 1 in RARE."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-        held: list[np.ndarray] = []
-        size = 0
-
-        def fold():
-            nonlocal keys, counts
-            more, n = np.unique(np.concatenate(held), return_counts=True)
-            both = np.concatenate([keys, more])
-            keys, code = np.unique(both, return_inverse=True)
-            counts = np.bincount(code, weights=np.concatenate([counts, n])).astype(np.int64)
-            # what cannot reach the threshold in the whole partition is not known yet; only single words of long runs go
-            if len(keys) > 4_000_000:
-                keys, counts = keys[counts > 1], counts[counts > 1]
-
-        for batch in batches:
-            for part in slices(batch):
-                h = Words(part.column(0)).hash
-                held.append(h)
-                size += len(h)
-                total += len(h)
-                if size > 2_000_000:
-                    fold()
-                    held, size = [], 0
-        if held:
-            fold()
-        often = counts * RARE >= total
-        yield pa.RecordBatch.from_arrays([signed(keys[often]), pa.array(counts[often])], ["word", "n"])
-
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    """(word, n): counts of word hashes over all texts."""
+    return _sums(docs, lambda texts: Words(texts).hash, "word")
 
 
 def vocabulary_size(words: int) -> int:

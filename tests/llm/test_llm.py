@@ -233,6 +233,13 @@ def test_language_model_grows_with_the_corpus(spark):
     assert len(lm.fresh(np.ones(lm.FIRST_WORD + len(large)))["emb"]) == lm.FIRST_WORD + len(large)
 
 
+def test_word_counts_drop_nothing(spark):
+    rare = [f"rare{i}" for i in range(50)]
+    docs = spark.createDataFrame([(" ".join(["often"] * 70_000 + rare),), (" ".join(rare),), (None,)], "text string").coalesce(1)
+    counts = sorted(r["n"] for r in lm.word_counts(docs).collect())
+    assert counts == [2] * 50 + [70_000]
+
+
 def test_other_words_are_scored_by_their_bytes(spark):
     rng = random.Random(11)
     frequent = [f"f{i}" for i in range(2100)]
