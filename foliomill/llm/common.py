@@ -12,25 +12,28 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _local_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a local one only where none is set, as in tests."""
+    """The folder that the cluster names for checkpoints. Only a local master, as in tests, has one of its own where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     key = spark.sparkContext.applicationId
     if key not in _local_dirs:
         _local_dirs[key] = tempfile.mkdtemp(prefix="foliomill-")
@@ -38,21 +41,32 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _local_dirs[key]
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Within, the shuffle files of a query go when it ends, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage: write df as a Parquet table in the shared folder and read it back.
 
-    The table survives the loss of any executor, and its schema is kept as it is.
+    The table survives the loss of any executor, and its schema is kept as it is. The query's shuffle files are deleted.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _tidy(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table_path(df: DataFrame) -> str:
-    return df.inputFiles()[0].rsplit("/", 1)[0]
-
-
 def release(df: DataFrame) -> None:
     """Delete a table made by materialise() that nothing will read again."""
     spark = df.sparkSession
@@ -62,6 +76,49 @@ def release(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def packed_row(df: DataFrame) -> DataFrame:
+    """df as one struct column ``row``, so that helper columns beside it can clash with none of its names."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def numbered(df: DataFrame, times: Column, name: str, block: int = 4096) -> DataFrame:
+    """Each row of df ``times`` times, with name from 0 to times - 1; no array is longer than block, however large times is."""
+    last = F.greatest(times.cast("long"), F.lit(0).cast("long")) - 1
+    out = df.select("*", last.alias("_last")).where("_last >= 0").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"_last div {block}"))))
+    within = F.sequence(F.col("_block") * block, F.least(F.col("_last"), F.col("_block") * block + (block - 1)))
+    return out.withColumn(name, F.explode(within)).drop("_last", "_block")
+
+
+SIEVE_BITS = 1 << 25
+
+
+def sieve(keys: DataFrame, most_bits: int = SIEVE_BITS) -> Callable[[Column], Column]:
+    """A test that is true of every key (a long column ``key``) of keys, and of few other longs: a Bloom filter.
+
+    It spares rows that surely have no partner a shuffle. Its size follows the number of keys up to most_bits (4 MB), which
+    bounds what the driver and each task hold; with more keys than the filter could tell apart every row passes.
+    """
+    n = keys.count()
+    if 2 * n > most_bits:
+        return lambda key: F.lit(True)
+    bits = min(most_bits, max(1 << 10, 1 << (16 * n).bit_length()))
+    places = F.array(*[F.shiftrightunsigned(F.xxhash64("key", F.lit(k)), 64 - (bits.bit_length() - 1)) for k in range(2)])
+    word = F.shiftright("at", 6).cast("int")
+    mask = keys.select(F.explode(places).alias("at")).groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("mask")).toArrow()
+    words = np.zeros(bits >> 6, np.uint64)
+    words[np.asarray(mask.column("word"))] = np.asarray(mask.column("mask"), np.int64).view(np.uint64)
+
+    @F.arrow_udf("boolean")
+    def passes(first: pa.Array, second: pa.Array) -> pa.Array:
+        out = np.ones(len(first), bool)
+        for column in (first, second):
+            at = np.asarray(pc.fill_null(column, 0), np.int64)
+            out &= (words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        return pa.array(out)
+
+    return lambda key: passes(*[F.shiftrightunsigned(F.xxhash64(key, F.lit(k)), 64 - (bits.bit_length() - 1)) for k in range(2)])
+
+
 def valid_docs(docs: DataFrame, *columns: str) -> DataFrame:
     """doc_id, rid and text (and columns) of the rows that have both an id and a text.
 

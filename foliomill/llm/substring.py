@@ -9,8 +9,9 @@ partitioned by a prefix, so that a group's subtree can be built by itself in mem
    their windows span (the context). A prefix that occurs once has a leaf for a subtree, and is dropped before any text moves.
 2. Suffixes with equal contexts have equal subtrees: the first of them stands for all, and the others
    are repeats throughout. Only prefixes with several contexts get the words of one suffix per context, in the task of the prefix.
-   A prefix with more than ``group_rows`` contexts has its windows split by their full depth instead (the longest
-   variable-length prefix that is ever needed), so no task's memory depends on how often one passage occurs.
+   A prefix with more than ``group_rows`` contexts would outgrow a task's memory: the suffixes at each of its windows are partitioned by
+   their first min_words words instead, the longest variable-length prefix that is ever needed (lengthening it by steps would move the same
+   rows several times, as a group of this size is one passage that many texts hold). A node of that depth is a group by itself, so it is counted, not built.
 3. A task builds its subtrees top-down, breadth first: windows that agree so far form a node; each level extends the edge
    by ``EDGE`` words and drops nodes with one leaf. What is left at depth min_words are the deep internal nodes:
    the windows under one node are equal, and maximal repeats are the unions of overlapping such windows.
@@ -20,7 +21,6 @@ Words are compared by 64-bit hashes. Of equal windows the first by (doc_id, rid,
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, grams, groups, materialise, mix, powers, ranges, signed, slices, valid_docs
+from .common import Words, grams, groups, materialise, mix, packed_row, powers, ranges, release, sieve, signed, slices, valid_docs
 
 MIN_WORDS = 40
 PREFIX = 8
@@ -103,7 +103,7 @@ def _cut(min_words: int):
                 where = np.asarray(lists.value_lengths())
                 doc = np.repeat(np.arange(len(where)), where)
                 flat = lists.flatten()
-                prefix, lo, windows = (flat.field(k) for k in range(3))
+                prefix, lo, windows, hot = (flat.field(k) for k in range(4))
                 first = w.first[doc] + np.asarray(lo)
                 last = first + np.asarray(windows).astype(np.int64) + min_words - 2
                 a, b = w.start[first], w.end[last]
@@ -114,7 +114,7 @@ def _cut(min_words: int):
                 np.cumsum(size, out=offsets[1:])
                 words = pa.Array.from_buffers(pa.large_string(), len(a), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.string())
                 at = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([prefix, part.column(0).take(at), part.column(1).take(at), lo, words], ["prefix", "doc_id", "rid", "lo", "words"])
+                yield pa.RecordBatch.from_arrays([prefix, part.column(0).take(at), part.column(1).take(at), lo, words, hot], ["prefix", "doc_id", "rid", "lo", "words", "hot"])
 
     return run
 
@@ -256,34 +256,36 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, prefix: int = PR
     twice = valid.select("doc_id", "rid").groupBy("doc_id", "rid").count().where("count > 1")
     doubled = not twice.isEmpty()
     again = materialise(again.distinct() if doubled else again)
+    release(suffixes)
     place = F.struct("doc_id", "rid", "lo")
     by_context = materialise(again.groupBy("prefix", "context").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max("windows").alias("windows")))
-    # copies of a context: repeats throughout, and dropped but for the first
-    stop = F.col("lo") + F.col("w") + (min_words - 1)
-    copied = by_context.where("n > 1").select("prefix", "context", "first", F.col("windows").cast("long").alias("w"))
-    copies = again.join(copied, ["prefix", "context"])
-    found = copies.select("doc_id", "rid", F.col("lo").cast("long").alias("start"), stop.alias("end"), (place != F.col("first")).alias("dropped"))
     # prefixes with several contexts: one suffix of each context goes to the tree
-    several = by_context.groupBy("prefix").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    leaves = by_context.join(several, "prefix").select("prefix", "contexts", "first.*", "windows")
-    leaves = materialise(leaves.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("prefix", "lo", "windows", "contexts")).alias("suffixes")))
-    hot = not several.where(F.col("contexts") > group_rows).isEmpty()
-    texts = valid.select("doc_id", "rid", "text")
-
-    def cut(few: bool) -> DataFrame:
-        wanted = F.filter("suffixes", lambda x: (x["contexts"] <= group_rows) if few else (x["contexts"] > group_rows))
-        chosen = leaves.select("doc_id", "rid", F.transform(wanted, lambda x: F.struct(x["prefix"], x["lo"], x["windows"])).alias("s")).where(F.size("s") > 0)
-        cuts = texts.join(chosen.hint("shuffle_hash"), ["doc_id", "rid"])
-        cuts = cuts.dropDuplicates(["doc_id", "rid"]) if doubled else cuts
-        return cuts.select("doc_id", "rid", "text", "s").mapInArrow(_cut(min_words), "prefix long, doc_id long, rid int, lo int, words string")
-
-    found = found.union(cut(True).repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_trees(min_words), _SPANS))
+    several = by_context.groupBy("prefix").agg(F.count("*").alias("contexts")).where("contexts > 1").select("prefix", (F.col("contexts") > group_rows).alias("hot"))
+    leaves = by_context.join(several, "prefix").select("prefix", "hot", "first.*", "windows")
+    leaves = materialise(leaves.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("prefix", "lo", "windows", "hot")).alias("suffixes")))
+    hot = not leaves.where(F.exists("suffixes", lambda x: x["hot"])).isEmpty()
+    wanted = sieve(leaves.select(F.xxhash64("doc_id", "rid").alias("key")))
+    texts = valid.select("doc_id", "rid", "text").where(wanted(F.xxhash64("doc_id", "rid")))
+    cuts = texts.join(leaves.hint("shuffle_hash"), ["doc_id", "rid"])
+    cuts = cuts.dropDuplicates(["doc_id", "rid"]) if doubled else cuts
+    cuts = materialise(cuts.select("doc_id", "rid", "text", "suffixes").mapInArrow(_cut(min_words), "prefix long, doc_id long, rid int, lo int, words string, hot boolean"))
+    release(leaves)
+    found = cuts.where("NOT hot").repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_trees(min_words), _SPANS)
     if hot:
-        windows = materialise(cut(False).mapInArrow(_windows(min_words), "window long, doc_id long, rid int, start long"))
+        windows = materialise(cuts.where("hot").mapInArrow(_windows(min_words), "window long, doc_id long, rid int, start long"))
         at = F.struct("doc_id", "rid", "start")
         firsts = windows.groupBy("window").agg(F.count("*").alias("n"), F.min(at).alias("f")).where("n > 1")
         places = windows.join(firsts, "window")
         found = found.union(places.select("doc_id", "rid", "start", (F.col("start") + min_words).alias("end"), (at != F.col("f")).alias("dropped")))
+    found = materialise(found)
+    release(cuts)
+    if hot:
+        release(windows)
+    # copies of a context: repeats throughout, and dropped but for the first
+    stop = F.col("lo") + F.col("w") + (min_words - 1)
+    copied = by_context.where("n > 1").select("prefix", "context", "first", F.col("windows").cast("long").alias("w"))
+    copies = again.join(copied, ["prefix", "context"])
+    found = copies.select("doc_id", "rid", F.col("lo").cast("long").alias("start"), stop.alias("end"), (place != F.col("first")).alias("dropped")).union(found)
     lists = found.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("start", "end", "dropped")).alias("spans"))
     return lists.mapInArrow(_merge_lists, f"doc_id long, rid int, repeats {_LIST}, drops {_LIST}")
 
@@ -297,47 +299,49 @@ def repeated_passages(docs: DataFrame, **options) -> DataFrame:
     return spans.select("doc_id", F.col("s.start").alias("start_word"), F.col("s.end").alias("end_word"), F.col("s.dropped_words").alias("dropped_words"))
 
 
-_RUN = re.compile(rb"[^ \t\n\r\f\v]+")
-
-
-def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text without the words of the spans (start, end) and the white space after each of them."""
-    raw = text.encode()
-    words = [(m.start(), m.end()) for m in _RUN.finditer(raw)]
-    out, at = [], 0
-    for a, b in sorted(spans):
-        out.append(raw[at : words[a][0]])
-        at = words[b][0] if b < len(words) else len(raw)
-    out.append(raw[at:])
-    return b"".join(out).decode()
+def without_spans(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """The texts without the words of their spans (start, end; sorted, disjoint) and the white space after each; no change where spans are null."""
+    w = Words(texts)
+    spans = spans.combine_chunks() if isinstance(spans, pa.ChunkedArray) else spans
+    count = np.asarray(spans.value_lengths().fill_null(0)).astype(np.int64)
+    doc = np.repeat(np.arange(len(count)), count)
+    flat = spans.flatten()
+    first, last = w.first[doc] + np.asarray(flat.field(0), np.int64), w.first[doc] + np.asarray(flat.field(1), np.int64)
+    stop = np.append(w.start, 0)[last]
+    stop = np.where(last < w.first[doc + 1], stop, w.offsets[doc + 1])
+    change = np.zeros(len(w.raw) + 1, np.int32)
+    np.add.at(change, w.start[first], 1)
+    np.add.at(change, stop, -1)
+    keep = np.cumsum(change[:-1]) == 0
+    kept = np.concatenate([[0], np.cumsum(keep)])
+    data = w.raw[keep]
+    out = pa.Array.from_buffers(pa.large_string(), len(count), [None, pa.py_buffer(kept[w.offsets].astype(np.int64)), pa.py_buffer(data)])
+    return out.cast(pa.string())
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs without the dropped passages; n_chars, if there, is counted anew for texts that change.
 
-    A row whose text loses all its words goes. Rows with a null id or text stay as they are.
+    A row whose text loses all its words goes. Rows with a null id or text stay as they are, and so do empty texts and those of fewer
+    than min_words words. Repeated rows (same id and text) all change alike. Columns of any other name are kept; an empty table
+    gives an empty result. See repeated_spans().
     """
-    lists = repeated_spans(docs, **options).where(F.size("drops") > 0)
-    lists = materialise(lists.select(F.col("doc_id").alias("_cut_id"), F.col("rid").alias("_cut_rid"), F.col("drops").alias("_spans")))
-
-    @F.pandas_udf("string")
-    def cut(text, where):
-        return text.combine(where, lambda t, s: None if t is None or s is None else without_spans(t, [(x["start"], x["end"]) for x in s]))
-
-    marked = docs.withColumn("_rid", F.hash("text"))
-    joined = marked.join(lists, (marked["doc_id"].cast("long") == lists["_cut_id"]) & (marked["_rid"] == lists["_cut_rid"]), "left")
-    joined = joined.withColumn("_new", cut(F.when(F.col("_spans").isNotNull(), F.col("text")), F.col("_spans")))
-    changed = F.col("_spans").isNotNull()
-    joined = joined.where(~changed | F.col("_new").rlike("[^ \\t\\n\\r\\f\\x0B]"))
-    columns = []
-    for c in docs.columns:
-        if c == "text":
-            columns.append(F.when(changed, F.col("_new")).otherwise(F.col("text")).alias("text"))
-        elif c == "n_chars":
-            columns.append(F.when(changed, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars"))
-        else:
-            columns.append(F.col(c))
-    return joined.select(*columns)
+    spans = repeated_spans(docs, **options).where(F.size("drops") > 0)
+    spans = materialise(spans.select(F.xxhash64("doc_id", "rid").alias("key"), "doc_id", "rid", F.col("drops").alias("spans")))
+    rows = packed_row(docs).withColumn("doc_id", F.col("row.doc_id").cast("long")).withColumn("rid", F.hash("row.text"))
+    touched = sieve(spans.select("key"))(F.xxhash64("doc_id", "rid"))
+
+    @F.arrow_udf("string")
+    def cut(text: pa.Array, where: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([text, where], ["text", "spans"])
+        return pa.concat_arrays([without_spans(part.column(0), part.column(1)) for part in slices(batch)] or [pa.array([], pa.string())])
+
+    joined = rows.where(touched).join(spans.select("doc_id", "rid", "spans"), ["doc_id", "rid"], "left")
+    changed = F.col("spans").isNotNull()
+    joined = joined.withColumn("new", cut(F.when(changed, F.col("row.text").cast("string")), "spans")).where(~changed | F.col("new").rlike("[^ \\t\\n\\r\\f\\x0B]"))
+    anew = {"text": F.col("new"), "n_chars": F.length("new")}
+    columns = [F.when(changed, anew[c].cast(docs.schema[c].dataType)).otherwise(F.col("row")[c]).alias(c) if c in anew else F.col("row")[c].alias(c) for c in docs.columns]
+    return rows.where(~touched).select("row.*").union(joined.select(*columns))
 
 
 def repeated_passages_sql(min_words: int = MIN_WORDS) -> str:
