@@ -9,6 +9,7 @@ the batch holds; a single longer text forms a slice of its own.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -41,18 +42,30 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _local_dirs[key]
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written, the query's shuffle files go when it ends, not when the driver happens to collect its garbage, and
+#: texts go to Python in batches of some megabytes, whatever their number.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 @contextmanager
 def _tidy(spark: SparkSession) -> Iterator[None]:
-    """Within, the shuffle files of a query go when it ends, not when the driver happens to collect its garbage."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def give_back() -> None:
+    """Return memory that this process holds but doesn't use: workers live on, idle, beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -138,6 +151,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES)
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
     for a, b in zip(cuts[:-1], cuts[1:]):
         yield batch.slice(a, b - a)
+    give_back()
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -269,6 +283,7 @@ def groups(batches: Iterator[pa.RecordBatch], key: int = 0, rows: int = 1 << 16,
         if len(change):
             cut = int(change[-1]) + 1
             yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)]).combine_chunks().to_batches()[0]
+            give_back()
             held = [batch.slice(cut)]
             n, bytes_ = held[0].num_rows, held[0].nbytes
         elif len(held) > 1 and held[-2].column(key)[-1].as_py() != keys[0]:
@@ -277,6 +292,7 @@ def groups(batches: Iterator[pa.RecordBatch], key: int = 0, rows: int = 1 << 16,
             n, bytes_ = batch.num_rows, batch.nbytes
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        give_back()
 
 
 def group_cuts(keys: np.ndarray) -> list[tuple[int, int]]:

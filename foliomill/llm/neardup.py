@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sets, Words, connected_components, grams, group_cuts, groups, materialise, ranges, signed, slices, valid_docs
+from .common import Sets, Words, connected_components, grams, group_cuts, groups, materialise, packed_row, ranges, release, sieve, signed, slices, valid_docs
 
 THRESHOLD = 0.5
 SHINGLE = 3
@@ -265,7 +265,9 @@ def near_duplicates(
     sigs = materialise(valid.select("rid", "text").mapInArrow(_sign(shingle, size), "rid long, sig array<int>, " + ", ".join(f"{w} long" for w in _words(size))).dropDuplicates(["rid"]))
     parts = connected_components(candidate_edges(sigs, threshold, size, trees, leaf, depth, margin))
     parts = materialise(parts.select(F.col("node").alias("rid"), "component"))
-    texts = valid.select("rid", "text").join(parts.hint("shuffle_hash"), "rid").dropDuplicates(["rid"])
+    release(sigs)
+    wanted = sieve(parts.select(F.col("rid").alias("key")))
+    texts = valid.select("rid", "text").where(wanted(F.col("rid"))).join(parts.hint("shuffle_hash"), "rid").dropDuplicates(["rid"])
     whole = texts.select("component", "rid", "text").repartition("component").sortWithinPartitions("component")
     sets = materialise(whole.mapInArrow(_verify(shingle, threshold), "rid long, set long"))
     owned = docs.where("doc_id IS NOT NULL AND text RLIKE '[^ \\\\t\\\\n\\\\r\\\\f\\\\x0B]'")
@@ -279,17 +281,21 @@ def near_duplicates(
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs but for all documents of a group other than the one that stays.
 
-    Of rows that agree in doc_id and text one stays. Rows with a null id or text stay.
+    Of rows that agree in doc_id and text one stays. Rows with a null id or text stay, and so do texts without words.
+    Columns of any other name are kept; an empty table gives an empty result.
     """
     found = near_duplicates(docs, **options)
-    gone = materialise(found.where("NOT keep").select(F.col("doc_id").alias("_gone_id"), F.col("rid").alias("_gone_rid")))
-    marked = docs.withColumn("_rid", F.xxhash64("text"))
-    left = marked.join(gone, (marked["doc_id"].cast("long") == gone["_gone_id"]) & (marked["_rid"] == gone["_gone_rid"]), "left_anti")
-    repeated = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").groupBy("doc_id", F.xxhash64("text")).count().where("count > 1")
+    gone = materialise(found.where("NOT keep").select(F.xxhash64("doc_id", "rid").alias("key"), "doc_id", "rid"))
+    ids = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"))
+    repeated = materialise(ids.groupBy("doc_id", "rid").count().where("count > 1").select(F.xxhash64("doc_id", "rid").alias("key"), "doc_id", "rid"))
+    rows = packed_row(docs).withColumn("doc_id", F.col("row.doc_id").cast("long")).withColumn("rid", F.when(F.col("row.text").isNotNull(), F.xxhash64("row.text")))
+    # most rows are neither gone nor repeated, and pass without a shuffle
+    key = F.xxhash64("doc_id", "rid")
+    touched = F.coalesce(sieve(gone.select("key").union(repeated.select("key")))(key), F.lit(False)) & F.col("doc_id").isNotNull() & F.col("rid").isNotNull()
+    left = rows.where(touched).join(gone.select("doc_id", "rid"), ["doc_id", "rid"], "left_anti")
     if not repeated.isEmpty():
-        valid = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
-        left = left.where(valid).dropDuplicates(["doc_id", "_rid"]).union(left.where(~valid))
-    return left.drop("_rid")
+        left = left.dropDuplicates(["doc_id", "rid"])
+    return rows.where(~touched).select("row.*").union(left.select("row.*"))
 
 
 def near_duplicates_sql(threshold: float = THRESHOLD, shingle: int = SHINGLE) -> str:
