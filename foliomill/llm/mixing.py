@@ -5,8 +5,8 @@ add up to 1 at every knot. With T training tokens in all, s is to have supplied
 w_s from 0 to t. A document whose source has supplied c tokens before it (in an order fixed by a hash of
 its id) is trained at the t with D_s(t) = c: on each linear piece that is the root of a quadratic, so the
 inverse is a closed-form column expression. T is the least total at which no source has a token left over, so
-every document is used; a source that supplies less than its share is run through again (up to
-``max_epochs`` times). Sorting by t gives the training order.
+every document is used; a source that supplies less than its share is run through again, as often as its demand asks.
+Sorting by t gives the training order.
 
 The cumulative sums never pass through one task per source: documents fall into 4096 buckets per source by
 hash; bucket totals are summed over a small table, and only the order inside a bucket needs a window.
@@ -18,18 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import materialise, numbered
 
 #: (time, exponent): at that time a source's weight is its token share to this power, normalised.
 SCHEDULE: tuple[tuple[float, float], ...] = ((0.0, 1.0), (0.5, 0.9), (1.0, 0.7))
-MAX_EPOCHS = 4
 
 
 def tokens(text: str = "text"):
-    """Tokens of a text: its space characters and line ends, plus one; 0 for null and blank texts."""
+    """Tokens of a text: its space characters and line ends, plus one; 0 for null and blank texts (nothing but ASCII white space)."""
     t = F.col(text)
-    n = F.length(t) - F.length(F.translate(t, " \n", "")) + 1
-    return F.when(F.trim(t) == "", F.lit(0)).otherwise(F.coalesce(n, F.lit(0))).cast("long")
+    n = F.octet_length(t) - F.octet_length(F.replace(F.replace(t, F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))) + 1
+    return F.when(t.rlike("[^ \\t\\n\\r\\f\\x0B]"), n).otherwise(F.lit(0)).cast("long")
 
 
 def weight_schedule(supply: DataFrame, schedule: tuple[tuple[float, float], ...] = SCHEDULE) -> DataFrame:
@@ -65,12 +64,12 @@ def demand(supply: DataFrame, schedule: tuple[tuple[float, float], ...] = SCHEDU
     )
 
 
-def _positions(rows: DataFrame, pieces: DataFrame, max_epochs: int) -> DataFrame:
+def _positions(rows: DataFrame, pieces: DataFrame) -> DataFrame:
     """rows (source, n_tokens, before, ...) with epoch and position; each row once per epoch that it is used in."""
     need = pieces.select("source", "supply", "need").distinct()
     used = rows.join(need, "source", "left")
-    times = F.greatest(F.lit(1), F.least(F.lit(max_epochs), F.ceil((F.col("need") - F.col("before")) / F.col("supply") - 1e-9))).cast("int")
-    used = used.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.coalesce(times, F.lit(1)))))
+    times = F.greatest(F.lit(1), F.coalesce(F.ceil((F.col("need") - F.col("before")) / F.col("supply") - 1e-9), F.lit(1)))
+    used = numbered(used, times, "_use").withColumn("epoch", (F.col("_use") + 1).cast("int"))
     used = used.withColumn("c", F.col("before") + (F.col("epoch") - 1) * F.col("supply"))
     segments = pieces.groupBy("source").agg(
         F.array_sort(F.collect_list(F.struct("t0", "t1", "w0", "w1", "d0", "d1", "total"))).alias("segments")
@@ -88,11 +87,11 @@ def _positions(rows: DataFrame, pieces: DataFrame, max_epochs: int) -> DataFrame
 
 
 def curriculum(
-    docs: DataFrame, schedule: tuple[tuple[float, float], ...] = SCHEDULE, max_epochs: int = MAX_EPOCHS, carry: tuple[str, ...] = (), order: bool = True
+    docs: DataFrame, schedule: tuple[tuple[float, float], ...] = SCHEDULE, carry: tuple[str, ...] = (), order: bool = True
 ) -> DataFrame:
     """doc_id, source, n_tokens, epoch, position (and carry) of each use of a document, range-sorted by position.
 
-    Every row of docs is used at least once. A null source is a source of its own. Documents without tokens
+    Every row of docs is used at least once, and as often as its source's demand asks, without a limit. A null source is a source of its own. Documents without tokens
     (null, empty or blank text) take part with 0 tokens, and a source without any token has position 0. Null doc_ids
     count as the lowest id. Rows that agree in id, tokens and text follow each other. Ties in position sort by
     doc_id, then epoch.
@@ -101,7 +100,7 @@ def curriculum(
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("source"),
-        tokens().alias("n_tokens"), key.alias("_key"), F.md5(text).alias("_text_key"), *[F.col(c).alias(f"_carry_{c}") for c in carry],
+        tokens().alias("n_tokens"), key.alias("_key"), F.md5(text).alias("_text_key"), *[F.col(f"`{c}`").alias(f"_carry_{c}") for c in carry],
     )
     rows = rows.withColumn("_bucket", F.substring("_key", 1, 3))
     buckets = materialise(rows.groupBy("source", "_bucket").agg(F.sum("n_tokens").alias("tokens")))
@@ -114,27 +113,31 @@ def curriculum(
     )
     rows = rows.withColumn("_within", F.coalesce(within, F.lit(0))).join(starts, ["source", "_bucket"])
     rows = rows.withColumn("before", F.col("bucket_start") + F.col("_within"))
-    placed = _positions(rows, pieces, max_epochs)
+    placed = _positions(rows, pieces)
     placed = placed.select(
-        "doc_id", F.when(F.col("source") != "\0", F.col("source")).alias("source"), "n_tokens", "epoch", "position", *[F.col(f"_carry_{c}").alias(f"_carry_{c}") for c in carry]
+        "doc_id", F.when(F.col("source") != "\0", F.col("source")).alias("source"), "n_tokens", "epoch", "position", *[F.col(f"`_carry_{c}`") for c in carry]
     )
     return placed.orderBy("position", F.col("doc_id").asc_nulls_first(), "epoch") if order else placed
 
 
-def mixed_documents(docs: DataFrame, schedule: tuple[tuple[float, float], ...] = SCHEDULE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """The rows of docs, repeated as the schedule asks and in training order, with the columns of docs."""
-    placed = curriculum(docs, schedule, max_epochs, carry=tuple(docs.columns))
-    return placed.select(*[F.col(f"_carry_{c}").alias(c) for c in docs.columns])
+def mixed_documents(docs: DataFrame, schedule: tuple[tuple[float, float], ...] = SCHEDULE) -> DataFrame:
+    """The rows of docs, repeated as the schedule asks and in training order, with the columns of docs.
+
+    Rows with a null or blank text or a null source are kept, repeated rows too, as curriculum() says; columns of any other name are
+    carried along; an empty table gives an empty result.
+    """
+    placed = curriculum(docs, schedule, carry=tuple(docs.columns))
+    return placed.select(*[F.col(f"`_carry_{c}`").alias(c) for c in docs.columns])
 
 
-def curriculum_sql(schedule: tuple[tuple[float, float], ...] = SCHEDULE, max_epochs: int = MAX_EPOCHS) -> str:
+def curriculum_sql(schedule: tuple[tuple[float, float], ...] = SCHEDULE) -> str:
     """DuckDB SQL for curriculum() over a table documents."""
     knots = ", ".join(f"pow(share, {float(a)!r}) / sum(pow(share, {float(a)!r})) OVER () AS k{i}" for i, (_, a) in enumerate(schedule))
     pieces = " UNION ALL ".join(
         f"SELECT source, supply, {float(a[0])!r}::DOUBLE AS t0, {float(b[0])!r}::DOUBLE AS t1, k{i} AS w0, k{i + 1} AS w1 FROM k" for i, (a, b) in enumerate(zip(schedule, schedule[1:]))
     )
     return f"""
-WITH r AS (SELECT doc_id, coalesce(source, chr(1)) AS source, CASE WHEN text IS NULL OR trim(text) = '' THEN 0 ELSE length(text) - length(translate(text, ' ' || chr(10), '')) + 1 END AS n_tokens,
+WITH r AS (SELECT doc_id, coalesce(source, chr(1)) AS source, CASE WHEN regexp_matches(text, '[^ \\t\\n\\r\\f\\v]') THEN length(text) - length(translate(text, ' ' || chr(10), '')) + 1 ELSE 0 END AS n_tokens,
            md5(coalesce(doc_id::VARCHAR, '')) AS key, md5(coalesce(text, '')) AS text_key FROM documents),
 b AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, n_tokens, text_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS before FROM r),
 sup AS (SELECT source, sum(n_tokens)::DOUBLE AS supply FROM r GROUP BY source HAVING sum(n_tokens) > 0),
@@ -144,7 +147,7 @@ p AS ({pieces}),
 q AS (SELECT *, (t1 - t0) * (w0 + w1) / 2 AS area, sum((t1 - t0) * (w0 + w1) / 2) OVER (PARTITION BY source) AS mean_weight FROM p),
 z AS (SELECT *, max(supply / mean_weight) OVER () AS total, sum(area) OVER (PARTITION BY source ORDER BY t0 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM q),
 d AS (SELECT source, supply, t0, t1, w0, w1, total, (upto - area) * total AS d0, mean_weight * total AS need FROM z),
-e AS (SELECT b.*, n.supply, unnest(range(1, coalesce(greatest(1, least({max_epochs}, ceil((n.need - b.before) / n.supply - 1e-9))), 1)::BIGINT + 1)) AS epoch
+e AS (SELECT b.*, n.supply, unnest(range(1, coalesce(greatest(1, ceil((n.need - b.before) / n.supply - 1e-9)), 1)::BIGINT + 1)) AS epoch
       FROM b LEFT JOIN (SELECT DISTINCT source, supply, need FROM d) n USING (source)),
 c AS (SELECT e.*, before + (epoch - 1) * e.supply AS c FROM e),
 m AS (SELECT c.*, d.t0, d.t1, d.w0, d.w1, d.d0, d.total, (d.w1 - d.w0) / (d.t1 - d.t0) AS slope, row_number() OVER (PARTITION BY c.source, key, c.doc_id, c.n_tokens, text_key, epoch, before ORDER BY d.t0 DESC) AS rn
