@@ -18,11 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, numbered
 from .mixing import tokens
 
 CAPACITY = 2048
 BUCKET_PIECES = 4096
+MOST_TASKS = 10_000
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -140,19 +141,21 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, bucket_pieces: int
 
     Pieces of a document are numbered from 0; piece_start is the token at which one begins. bin_id is one number over all
     buckets. Repeated rows are packed as documents of their own; a null doc_id stays null. Documents without tokens
-    (null, empty or blank text) have no piece. Other columns are ignored; an empty table gives an empty result.
+    (null, empty or blank text) have no piece; a text of any length is cut into as many pieces as it needs. Other columns are
+    ignored; an empty table gives an empty result.
     """
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens().alias("n"), F.xxhash64("doc_id", "text").alias("h"))
-    spread = F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {capacity}"))
-    pieces = materialise(narrow.where("n > 0").select("doc_id", "n", "h", F.explode(spread).alias("piece")))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens().alias("n"), F.xxhash64("doc_id", "text").alias("h")).where("n > 0")
+    # equal rows are told apart by a number, so that they spread over all buckets
+    copies = numbered(narrow.groupBy("doc_id", "n", "h").agg(F.count("*").alias("copies")), F.col("copies"), "copy")
+    pieces = materialise(numbered(copies, F.expr(f"(n - 1) div {capacity} + 1"), "piece").select("doc_id", "n", "h", "copy", "piece"))
     buckets = max(1, -(-pieces.count() // bucket_pieces))
     sized = pieces.select(
-        "doc_id", "piece", (F.col("piece") * capacity).alias("piece_start"), F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).alias("piece_tokens"),
-        F.pmod(F.xxhash64("h", "piece"), F.lit(buckets)).alias("bucket"),
+        "doc_id", "copy", "piece", (F.col("piece") * capacity).alias("piece_start"), F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).alias("piece_tokens"),
+        F.pmod(F.xxhash64("h", "piece", "copy"), F.lit(buckets)).alias("bucket"),
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["piece_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["piece_tokens", "doc_id", "piece", "copy"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         sizes = pdf["piece_tokens"].tolist()
         which, where = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
         for k, items in enumerate(pack(sizes, capacity)):
@@ -162,7 +165,8 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, bucket_pieces: int
                 at += sizes[i]
         pdf["bin_id"] = which + (int(pdf["bucket"].iloc[0]) << 32)
         pdf["bin_offset"] = where
-        return pdf.drop(columns="bucket")
+        return pdf.drop(columns=["bucket", "copy"])
 
     out = "doc_id long, piece long, piece_start long, piece_tokens long, bin_id long, bin_offset long"
-    return sized.groupBy("bucket").applyInPandas(run, out)
+    # few bytes, much search: as many tasks as buckets, not as bytes
+    return sized.repartition(min(buckets, MOST_TASKS), "bucket").groupBy("bucket").applyInPandas(run, out)
