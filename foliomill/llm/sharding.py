@@ -2,8 +2,8 @@
 
 Groups of equal size are interchangeable, so best-fit decreasing runs over sizes, not groups: the tightest
 shard that can take a group of size s stays the tightest while it still has room, and so takes a run of
-min(groups left, room // s) of them at once. What the driver holds is the histogram of sizes and the
-open shards in a balanced tree (a treap keyed by room); the groups themselves stay distributed: a group's
+min(groups left, room // s) of them at once. What the driver holds is the histogram of sizes (as many as there are
+different sizes), the open shards in a balanced tree (a treap keyed by room) and the runs; the groups themselves stay distributed: a group's
 number within its size decides the run, and so the shard, that it belongs to.
 """
 
@@ -11,14 +11,16 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import materialise, ranges
 
 CAPACITY = 16 << 20
+PART = 100_000
 
 
 class Treap:
@@ -112,26 +114,41 @@ def best_fit_runs(histogram: list[tuple[int, int]], capacity: int) -> list[tuple
     return runs
 
 
-def pack_shards(groups: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def _cut_runs(runs: list[tuple[int, int, int, int]], width: int) -> pa.Table:
+    """The runs (size, lo, hi, shard) as rows (group_size, part, number, shard_id) that begin a run; runs are cut at multiples of width, where a part begins."""
+    size, lo, hi, shard = np.array(runs, np.int64).reshape(-1, 4).T
+    pieces = (hi - 1) // width - lo // width + 1
+    at = np.repeat(np.arange(len(size)), pieces)
+    part = ranges(lo // width, pieces)
+    number = np.maximum(lo[at], part * width)
+    return pa.table({"group_size": size[at], "part": part, "number": number, "shard_id": shard[at]})
+
+
+def pack_shards(groups: DataFrame, capacity: int = CAPACITY, width: int = PART) -> DataFrame:
     """group_key, group_size and shard_id of groups (group_key, group_size); keys must be distinct.
 
-    Within one size, groups are numbered by key. Null sizes count as 0; negative sizes are an error.
-    An empty input gives an empty result.
+    Within one size, groups are numbered by a hash of their key. Null sizes count as 0; negative sizes are an error.
+    An empty input gives an empty result. A size that many groups have is numbered slice by slice, and meets its runs in
+    parts of ``width`` groups, so that no task holds a whole size.
     """
     spark = groups.sparkSession
-    sized = materialise(groups.select("group_key", F.coalesce(F.col("group_size"), F.lit(0)).cast("long").alias("group_size")))
-    histogram = [(r.group_size, r.n) for r in sized.groupBy("group_size").agg(F.count("*").alias("n")).collect()]
+    key = F.md5(F.col("group_key").cast("string"))
+    sized = materialise(groups.select("group_key", F.coalesce(F.col("group_size"), F.lit(0)).cast("long").alias("group_size"), key.alias("key"), F.substring(key, 1, 2).alias("slice")))
+    counts = materialise(sized.groupBy("group_size", "slice").agg(F.count("*").alias("n")))
+    histogram = [(r.group_size, r.n) for r in counts.groupBy("group_size").agg(F.sum("n").alias("n")).toLocalIterator()]
     if any(size < 0 for size, _ in histogram):
         raise ValueError("negative group size")
-    schema = T.StructType([T.StructField(c, T.LongType(), False) for c in ("group_size", "lo", "hi", "shard_id")])
-    runs = spark.createDataFrame(best_fit_runs(histogram, capacity), schema)
-    number = F.row_number().over(Window.partitionBy("group_size").orderBy("group_key")) - 1
-    numbered = sized.withColumn("number", number)
-    return (
-        numbered.join(runs, "group_size")
-        .where((F.col("number") >= F.col("lo")) & (F.col("number") < F.col("hi")))
-        .select("group_key", "group_size", "shard_id")
-    )
+    starts = materialise(spark.createDataFrame(_cut_runs(best_fit_runs(histogram, capacity), width), "group_size long, part long, number long, shard_id long"))
+    earlier = F.sum("n").over(Window.partitionBy("group_size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("group_size", "slice", F.coalesce(earlier, F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("group_size", "slice").orderBy("key", "group_key")) - 1
+    placed = sized.withColumn("within", within).join(offsets, ["group_size", "slice"]).withColumn("number", F.col("before") + F.col("within"))
+    placed = placed.select("group_size", F.expr(f"number div {width}").alias("part"), "number", F.lit(None).cast("long").alias("shard_id"), "group_key")
+    # a group belongs to the last run that begins at or before its number
+    both = placed.unionByName(starts.withColumn("group_key", F.lit(None).cast(sized.schema["group_key"].dataType)).withColumn("begins", F.lit(True)), allowMissingColumns=True)
+    upto = Window.partitionBy("group_size", "part").orderBy("number", F.col("begins").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    shard = F.last("shard_id", ignorenulls=True).over(upto)
+    return both.withColumn("shard_id", shard).where("begins IS NULL").select("group_key", "group_size", "shard_id")
 
 
 def shard_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
