@@ -24,7 +24,7 @@ from .common import materialise
 
 K = 10
 BLOCK_ROWS = 4096
-STRIPE_ROWS = 1 << 17
+STRIPE_BYTES = 64 << 20  # of a stripe's vectors in float64; a task holds about five times as much
 DECIMALS = 6
 
 
@@ -96,7 +96,7 @@ def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
 
 
 def knn_join(
-    vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS, stripe_rows: int = STRIPE_ROWS
+    vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS, stripe_rows: int | None = None
 ) -> DataFrame:
     """id, rank, neighbor_id, distance: the k nearest others of every vector by cosine distance, rank from 1.
 
@@ -112,6 +112,7 @@ def knn_join(
     lengths = clean.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
     dim, n = (lengths[0]["d"], lengths[0]["count"]) if lengths else (1, 0)
     clean = clean.where(F.size("v") == dim)
+    stripe_rows = stripe_rows or max(block_rows, STRIPE_BYTES // (8 * dim))
     blocks, stripes = max(1, -(-n // block_rows)), max(1, -(-n // stripe_rows))
     row_block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     stripe = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(stripes)).cast("int")
