@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, signed, slices
+from .common import Words, packed_row, signed, slices
 from .neardup import shingles, signatures
 
 FIT_ROWS = 6_000
@@ -311,7 +311,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, f
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of docs that are not toxic, with all their columns."""
+    """The rows of docs that are not toxic, with all their columns, whatever their names.
+
+    Null, empty and letterless texts have score 0 and stay; rows with a null doc_id are judged like any other; repeated rows share their fate;
+    an empty table gives an empty result. A text of any length is scored whole.
+    """
     model = fit_on(docs, labels, fit_rows)
 
     @F.arrow_udf("double")
@@ -319,4 +323,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
         batch = pa.RecordBatch.from_arrays([text], ["text"])
         return pa.array(np.concatenate([model.score(part.column(0)) for part in slices(batch)] or [np.zeros(0)]))
 
-    return docs.withColumn("_score", score(F.col("text").cast("string"))).where(F.col("_score") < threshold).drop("_score")
+    return packed_row(docs).where(score(F.col("row.text").cast("string")) < threshold).select("row.*")
