@@ -48,7 +48,7 @@ _WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "tr
 
 
 @contextmanager
-def _tidy(spark: SparkSession) -> Iterator[None]:
+def tidy(spark: SparkSession) -> Iterator[None]:
     before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
     for k, v in _WHILE_WRITING.items():
         spark.conf.set(k, v)
@@ -75,7 +75,7 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    with _tidy(spark):
+    with tidy(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -3,16 +3,18 @@
 Tokens are words and an end mark. The most frequent words of the corpus, more of them the larger it is, are tokens by
 themselves. Any other word is a token of its length to the network, and its bytes are scored by a model of
 spelling counted over all such words, so that its probability is that of the very word. The output
-softmax is factored: a class of tokens first, then the token within its class; there are about as many classes as tokens in a class. Training is truncated
+softmax is factored: a class of tokens first, then the token within its class. Tokens are ordered by frequency and cut into classes of
+equal shares of the sum of square roots of frequencies, which makes the softmax cheapest: classes of frequent tokens are small. Training is truncated
 backpropagation: documents run through lanes in windows, each lane's state carried from window to window and
-reset where a document begins. Every document is trained on once: documents fall by hash into rounds and shards (their
-number follows the corpus); the shards of a round train apart from the same weights, and the weights
+reset where a document begins. Every document is trained on once: documents fall by hash into rounds and shards (the
+number of either follows the corpus); the shards of a round train apart from the same weights, and the weights
 are averaged by tokens before the next round. Scoring carries the state through each whole document,
 so its log-likelihood is of the complete text.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable, Iterator
 
@@ -21,19 +23,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, materialise, ranges, release, signed, slices
+from .common import Words, give_back, materialise, ranges, release, signed, slices, tidy
 
 VOCABULARY = 2048  # tokens of a small corpus
 GROWTH = 2  # tokens of a larger one: so many times the square root of its words
+SLOWER = 1 << 18  # tokens from which their number grows more slowly
 LENGTHS = 32  # tokens for other words, by length in bytes; the last one is for all longer words too
 ORDER = 3  # bytes before that a byte's spelling depends on
 EMBEDDING, HIDDEN = 16, 24
 LANES, WINDOW = 512, 20
-ROUNDS = 2
+LONGEST_WINDOW = 1024  # steps of a window when few lanes are left
+ROUNDS = 2  # of a small corpus
 SHARD_TOKENS = 2_000_000
 RATE = 0.01
+MOST = 3.0  # bound of an output weight, which keeps exponentials finite
 BLOCK = 4096
+PIECE = 1 << 15  # weights that are moved at once, to fit the cache
 CHUNK = 512  # rows whose class probabilities are held at once, to fit the cache
+DENSE = 1 << 24  # most cells of the table of spellings
 HELD = 2_000_000  # words or bytes whose counts a task sends on at once
 
 
@@ -70,17 +77,21 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary_size(words: int) -> int:
-    """Number of tokens, lengths and end mark among them, for a corpus of so many words."""
-    return max(VOCABULARY, math.ceil(GROWTH * math.sqrt(words)))
+    """Number of tokens, lengths and end mark among them, for a corpus of so many words.
+
+    The growth slows from SLOWER tokens on (an eighth root), as every task holds the weights: 10 ** 14 words have some 770,000 tokens, 180 MB.
+    """
+    tokens = math.ceil(GROWTH * math.sqrt(words))
+    return max(VOCABULARY, tokens if tokens <= SLOWER else math.ceil(SLOWER * (tokens / SLOWER) ** 0.25))
 
 
-def vocabulary(docs: DataFrame) -> np.ndarray:
-    """Hashes of the most frequent words, most frequent first."""
+def vocabulary(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Hashes of the most frequent words, most frequent first, and the number of all words."""
     counts = materialise(word_counts(docs))
-    size = vocabulary_size(counts.agg(F.sum("n")).first()[0] or 0)
-    top = counts.orderBy(F.desc("n"), "word").limit(size - LENGTHS - 1).select("word").toArrow()
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary_size(total) - LENGTHS - 1).select("word").toArrow()
     release(counts)
-    return np.asarray(top.column(0), np.int64).view(np.uint64)
+    return np.asarray(top.column(0), np.int64).view(np.uint64), total
 
 
 END = 0
@@ -91,19 +102,32 @@ def token_type(tokens: int) -> np.dtype:
     return np.dtype("<u2" if tokens <= 1 << 16 else "<i4")
 
 
-def _known(w: Words, words: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Token id of each word, the length for words that are none of the vocabulary's; order sorts the vocabulary."""
-    ids = np.minimum(w.end - w.start, LENGTHS)
-    if not len(words):
-        return ids
-    at = order[np.minimum(np.searchsorted(words, w.hash, sorter=order), len(words) - 1)]
-    return np.where(words[at] == w.hash, FIRST_WORD + at, ids)
+class Known:
+    """Token ids of words by their hashes; a table says where the words with the same top bits begin among the sorted ones."""
+
+    def __init__(self, words: np.ndarray):
+        order = np.argsort(words)
+        top = np.uint64(2**64 - 1)
+        self.words, self.token = np.append(words[order], top), np.append(FIRST_WORD + order, 0)
+        bits = min(24, max(8, len(words).bit_length() + 2))
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(words[order], np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        self.tokens = FIRST_WORD + len(words)
+
+    def ids(self, w: Words) -> np.ndarray:
+        """Token id of each word, the length for words that are none of the vocabulary's."""
+        at = self.first[w.hash >> self.shift]
+        before = np.flatnonzero(self.words[at] < w.hash)
+        while len(before):
+            at[before] += 1
+            before = before[self.words[at[before]] < w.hash[before]]
+        return np.where((self.words[at] == w.hash) & (at < len(self.words) - 1), self.token[at], np.minimum(w.end - w.start, LENGTHS))
 
 
 def encode(texts: pa.Array, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of the texts, each with the end mark, and the number of tokens of each."""
     w = Words(texts)
-    return _laid(w, _known(w, words, np.argsort(words)), token_type(FIRST_WORD + len(words)))
+    return _laid(w, Known(words).ids(w), token_type(FIRST_WORD + len(words)))
 
 
 def _laid(w: Words, ids: np.ndarray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
@@ -159,10 +183,54 @@ class Spelling:
             p = (seen + kinds[of] * below) / total[of]
             self.tables.append((strings, np.log(p), contexts, np.log(kinds / total)))
             before = strings, p
+        self._lay_out()
+
+    def _lay_out(self) -> None:
+        """Where it is small enough, one table of log probabilities: a row for each context of any order, a column for each byte.
+
+        place says the row of three bytes before: that of the longest of their ends that was seen. It only makes look-ups fast.
+        """
+        self.place: np.ndarray | None = None
+        seen = np.zeros(256, bool)
+        for k in range(ORDER + 1):
+            seen[(self.tables[-1][0] >> (8 * k)) & 255] = True
+        seen[0] = True  # stands before a word too
+        code = np.full(256, int(seen.sum()), np.int64)  # the last one is for all bytes that never occur
+        code[seen] = np.arange(seen.sum())
+        width = int(seen.sum()) + 1
+        rows = sum(len(t[2]) for t in self.tables)
+        if width**ORDER + max(rows, 1) * width > DENSE:
+            return
+        table = np.full((max(rows, 1), width), -math.log(256), np.float32)
+        place, base, below = np.zeros((width,) * ORDER, np.int32), 0, np.zeros(0, np.int64)
+        for k, (strings, p, contexts, weight) in enumerate(self.tables):
+            if not len(contexts):
+                break
+            own = base + np.arange(len(contexts))
+            if k:
+                table[own] = table[below[np.searchsorted(self.tables[k - 1][2], contexts & ((1 << 8 * (k - 1)) - 1))]]
+            table[own] += weight[:, None]
+            table[base + np.searchsorted(contexts, strings >> 8), code[strings & 255]] = p
+            before = tuple(code[(contexts >> (8 * j)) & 255] for j in range(k))
+            place[before] = own.reshape((-1, *[1] * (ORDER - k))) if k else own[0]
+            base, below = base + len(contexts), own
+        self.place, self.table, self.code = place, table, code
 
     def log_probabilities(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Of each word (byte ranges of raw)."""
-        strings = _strings(raw, start, end)
+        length = end - start
+        if self.place is not None:
+            at = ranges(start, length)
+            within = at - np.repeat(start, length)
+            code = self.code[raw]
+            before = tuple(np.where(within >= k, code[np.maximum(at - k, 0)], self.code[0]) for k in range(1, ORDER + 1))
+            out = self.table[self.place[before], code[at]].astype(np.float64)
+        else:
+            out = self._searched(_strings(raw, start, end))
+        total = np.bincount(np.repeat(np.arange(len(start)), length), weights=out, minlength=len(start))
+        return total + np.where(length >= LENGTHS, self.last + np.maximum(length - LENGTHS, 0) * self.more, 0.0)
+
+    def _searched(self, strings: np.ndarray) -> np.ndarray:
         out = np.zeros(len(strings))
         left = np.arange(len(strings))
         for k in range(ORDER, -1, -1):
@@ -174,18 +242,16 @@ class Spelling:
             at, hit = _find(contexts, now >> 8)
             out[left[hit]] += weight[at[hit]]
         out[left] -= math.log(256)
-        length = end - start
-        total = np.bincount(np.repeat(np.arange(len(start)), length), weights=out, minlength=len(start))
-        return total + np.where(length >= LENGTHS, self.last + np.maximum(length - LENGTHS, 0) * self.more, 0.0)
+        return out
 
 
 def spelling_model(docs: DataFrame, words: np.ndarray) -> Spelling:
     """Counted over every word of docs that isn't in the vocabulary."""
-    by_hash = np.argsort(words)
+    known = Known(words)
 
     def keys(texts: pa.Array) -> np.ndarray:
         w = Words(texts)
-        other = np.flatnonzero(_known(w, words, by_hash) < FIRST_WORD)
+        other = np.flatnonzero(known.ids(w) < FIRST_WORD)
         start, end = w.start[other], w.end[other]
         beyond = (end - start - LENGTHS)[end - start >= LENGTHS]
         return np.concatenate([_strings(w.raw, start, end), np.full(len(beyond), LONG), np.full(int(beyond.sum()), EXCESS)])
@@ -196,13 +262,13 @@ def spelling_model(docs: DataFrame, words: np.ndarray) -> Spelling:
 
 def encoded(docs: DataFrame, words: np.ndarray, spelling: Spelling) -> DataFrame:
     """(doc_id, h, n, spelled, ids): the tokens of each row (see token_type), and the log probability of the spelling of its other words."""
-    kind, by_hash = token_type(FIRST_WORD + len(words)), np.argsort(words)
+    kind, vocabulary_ = token_type(FIRST_WORD + len(words)), Known(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 w = Words(part.column(2))
-                known = _known(w, words, by_hash)
+                known = vocabulary_.ids(w)
                 ids, count = _laid(w, known, kind)
                 other = np.flatnonzero(known < FIRST_WORD)
                 spelled = np.bincount(w.doc()[other], weights=spelling.log_probabilities(w.raw, w.start[other], w.end[other]), minlength=len(count)).astype(np.float64)  # of no words it would be whole numbers
@@ -217,236 +283,324 @@ def encoded(docs: DataFrame, words: np.ndarray, spelling: Spelling) -> DataFrame
 
 # --- the network
 
+TRAINED = ("b", "emb", "u", "w", "wc", "ww")
+
+
+def class_edges(counts: np.ndarray) -> np.ndarray:
+    """First token of each class, and the number of tokens: classes of equal shares of the sum of square roots of frequencies."""
+    root = np.sqrt((counts + 1.0) / (counts.sum() + len(counts)))
+    share = np.cumsum(root) - root / 2
+    classes = max(1, round(root.sum()))
+    first = np.searchsorted(share, np.arange(classes) * root.sum() / classes)
+    return np.unique(np.append(first, len(counts))).astype(np.int64)
+
 
 def fresh(counts: np.ndarray) -> dict[str, np.ndarray]:
-    """Weights before training; output biases are the log frequencies of counts."""
+    """Weights before training; output biases (the last column of wc and ww) are the log frequencies of counts."""
     rng = np.random.Generator(np.random.PCG64(5))
-    size = math.ceil(math.sqrt(len(counts)))
-    classes = math.ceil(len(counts) / size)
-    # places after the last token are never used: next to no probability
-    p = np.full(classes * size, 1e-9)
-    p[: len(counts)] = (counts + 1.0) / (counts.sum() + len(counts))
-    by_class = p.reshape(classes, size)
+    edges = class_edges(counts)
+    p = (counts + 1.0) / (counts.sum() + len(counts))
+    by_class = np.add.reduceat(p, edges[:-1])
 
     def normal(*shape: int, scale: float) -> np.ndarray:
         return (rng.standard_normal(shape) * scale).astype(np.float32)
 
+    def output(bias: np.ndarray) -> np.ndarray:
+        return np.hstack([normal(len(bias), HIDDEN, scale=0.05), np.log(bias).astype(np.float32)[:, None]])
+
     return {
         "emb": normal(len(counts), EMBEDDING, scale=0.3), "w": normal(EMBEDDING, 3 * HIDDEN, scale=EMBEDDING**-0.5), "u": normal(HIDDEN, 3 * HIDDEN, scale=HIDDEN**-0.5),
-        "b": np.zeros(3 * HIDDEN, np.float32), "wc": normal(HIDDEN, classes, scale=0.05), "bc": np.log(by_class.sum(axis=1)).astype(np.float32),
-        "ww": normal(classes, HIDDEN, size, scale=0.05), "bw": np.log(by_class / by_class.sum(axis=1, keepdims=True)).astype(np.float32),
+        "b": np.zeros(3 * HIDDEN, np.float32), "wc": output(by_class), "ww": output(p / np.repeat(by_class, np.diff(edges))), "edges": edges,
     }
 
 
 def flatten(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([p[k].reshape(-1) for k in sorted(p)])
+    return np.concatenate([p[k].reshape(-1) for k in TRAINED])
 
 
 def unflatten(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for k in sorted(like):
+    out, at = {"edges": like["edges"]}, 0
+    for k in TRAINED:
         out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
         at += like[k].size
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
+def _gates(p: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """w, u and b as rows for states in columns; those of the two gates are halved, as sigmoid(v) = (tanh(v / 2) + 1) / 2."""
+    half = np.ones((3 * HIDDEN, 1), p["w"].dtype)
+    half[: 2 * HIDDEN] = 0.5
+    return p["w"].T * half, p["u"].T * half, p["b"][:, None] * half
 
 
-def _step(p: dict, x: np.ndarray, h: np.ndarray) -> tuple:
-    """One step of the gated unit: x is the input's projection (lanes x 3H), h the state before."""
+def _step(u: np.ndarray, x: np.ndarray, h: np.ndarray) -> tuple:
+    """One step of the gated unit: x is the input's projection (3H x lanes), h the state before (H x lanes); u as of _gates()."""
     k = HIDDEN
-    a = h @ p["u"]
-    zr = _sigmoid(x[:, : 2 * k] + a[:, : 2 * k])
-    z, r = zr[:, :k], zr[:, k:]
-    n = np.tanh(x[:, 2 * k :] + r * a[:, 2 * k :])
-    return n + z * (h - n), z, r, n, a[:, 2 * k :]
-
-
-def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials of logits, and their row sums. States lie within (-1, 1), so logits stay small; they are overwritten."""
-    e = np.exp(np.minimum(logits, 60, out=logits), out=logits)
-    total = e @ np.ones(e.shape[1], e.dtype)
-    return e, total
-
-
-def _by_class(cls: np.ndarray, classes: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """Order of targets by class, and (class, start, end) of each class in that order."""
-    order = np.argsort(cls, kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(classes + 1))
-    return order, [(c, int(edges[c]), int(edges[c + 1])) for c in range(classes) if edges[c + 1] > edges[c]]
-
-
-def log_probabilities(p: dict, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log probability of each target token after the state h."""
-    cls, within = np.divmod(target, p["bw"].shape[1])
-    out = np.empty(len(h), h.dtype)
-    for a in range(0, len(h), CHUNK):
-        cut = slice(a, a + CHUNK)
-        e, total = _softmax(h[cut] @ p["wc"] + p["bc"])
-        out[cut] = np.log(np.maximum(e[np.arange(len(e)), cls[cut]] / total, 1e-30))
-    order, spans = _by_class(cls, len(p["bw"]))
-    sorted_h, sorted_within = h[order], within[order]
-    part = np.empty(len(h), np.float32)
-    for c, a, b in spans:
-        e, total = _softmax(sorted_h[a:b] @ p["ww"][c] + p["bw"][c])
-        part[a:b] = np.log(np.maximum(e[np.arange(b - a), sorted_within[a:b]] / total, 1e-30))
-    out[order] += part
+    a = u @ h
+    zr = x[: 2 * k] + a[: 2 * k]
+    np.tanh(zr, out=zr)
+    zr *= 0.5
+    zr += 0.5
+    z, r, an = zr[:k], zr[k:], a[2 * k :]
+    n = r * an
+    n += x[2 * k :]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= z
+    new += n
+    return new, z, r, n, an
+
+
+def _spans(edges: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
+    """Class of each target, order of the targets by class, and for each class of several tokens that occurs (first token, end token, start, end in that order)."""
+    cls = np.searchsorted(edges, target, side="right") - 1
+    order = np.argsort(cls.astype(np.int16 if len(edges) < 1 << 15 else np.int32), kind="stable")
+    ends = np.searchsorted(cls[order], np.arange(len(edges)))
+    at = np.flatnonzero((np.diff(ends) > 0) & (np.diff(edges) > 1))
+    return cls, order, list(zip(edges[at].tolist(), edges[at + 1].tolist(), ends[at].tolist(), ends[at + 1].tolist()))
+
+
+def log_probabilities(p: dict, h1: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log probability of each target token after a state; h1 has the states and a last column of ones, which meets the biases."""
+    cls, order, spans = _spans(p["edges"], target)
+    h1, target, cls = h1[order], target[order], cls[order]
+    odds = np.empty((2, len(h1)), h1.dtype)
+
+    def settle(k: int, a: int, b: int, own: np.ndarray, weights: np.ndarray) -> None:
+        e = h1[a:b] @ weights.T
+        np.exp(e, out=e)
+        odds[k, a:b] = e[np.arange(b - a), own] / (e @ np.ones(len(weights), e.dtype))
+
+    for a in range(0, len(h1), CHUNK):
+        b = min(a + CHUNK, len(h1))
+        settle(0, a, b, cls[a:b], p["wc"])
+    odds[1] = 1
+    for lo, hi, a, b in spans:
+        for i in range(a, b, CHUNK):
+            j = min(b, i + CHUNK)
+            settle(1, i, j, target[i:j] - lo, p["ww"][lo:hi])
+    out = np.empty(len(h1), h1.dtype)
+    out[order] = np.log(np.maximum(odds, 1e-30)).sum(axis=0)
     return out
 
 
+def forward(p: dict, x: np.ndarray, starts: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """States of a window (steps x lanes x H + 1, the last column 1), and the state (H x lanes) after it. keep gets what gradients() needs of each step."""
+    steps, lanes = x.shape
+    w, u, bias = _gates(p)
+    rows = np.ones((steps, lanes, HIDDEN + 1), h.dtype)
+    for t in range(steps):
+        fed = p["emb"][x[t]]
+        inputs = w @ fed.T
+        inputs += bias
+        begins = starts[t]
+        if begins.any():
+            inputs[:, begins] = bias
+            fed[begins] = 0
+            h = h * ~begins
+        before = h
+        h, z, r, n, an = _step(u, inputs, before)
+        rows[t, :, :HIDDEN] = h.T
+        if keep is not None:
+            keep.append((fed, before, z, r, n, an))
+    return rows, h
+
+
 def gradients(p: dict, x: np.ndarray, y: np.ndarray, starts: np.ndarray, real: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
-    """Gradients of the mean loss over one window, the state after it, and the summed loss.
+    """Gradients of the mean loss over one window, the state (H x lanes) after it, and the summed loss.
 
     x, y: input and target tokens (window x lanes); starts: where a document begins (no input, state 0); real: what is no padding.
+    The gradient of emb is a pair: the tokens that occur, and a row for each. What a step needs is small enough for the cache, so nothing
+    but the softmax works on the whole window.
     """
-    steps, lanes = x.shape
-    projected = p["emb"] @ p["w"] + p["b"]
-    saved, states = [], np.empty((steps, lanes, HIDDEN), np.float32)
-    for t in range(steps):
-        go = ~starts[t]
-        h = h * go[:, None]
-        inputs = projected[x[t]]
-        inputs[starts[t]] = p["b"]
-        new, z, r, n, an = _step(p, inputs, h)
-        saved.append((h, z, r, n, an))
-        states[t] = h = new
+    (steps, lanes), k, kind = x.shape, HIDDEN, h.dtype
+    saved: list[tuple] = []
+    rows, after = forward(p, x, starts, h, saved)
     at = np.flatnonzero(real.reshape(-1))
     total = max(len(at), 1)
-    hs, target = states.reshape(-1, HIDDEN)[at], y.reshape(-1)[at]
-    cls, within = np.divmod(target, p["bw"].shape[1])
-    g = {k: np.zeros_like(v) for k, v in p.items()}
-    loss, dh = 0.0, np.empty_like(hs)
+    target = y.reshape(-1)[at]
+    cls, order, spans = _spans(p["edges"], target)
+    place = at[order]
+    h1, target, cls = rows.reshape(-1, k + 1)[place], target[order], cls[order]
+    g = {"wc": np.zeros_like(p["wc"]), "ww": np.zeros_like(p["ww"])}
+    odds, dh = np.ones((2, len(at)), kind), np.empty((len(at), k), kind)
+
+    def settle(part: int, a: int, b: int, own: np.ndarray, weights: np.ndarray, grad: np.ndarray) -> np.ndarray:
+        """Losses, gradients of weights and of states of a softmax; a row's scale meets its state, not its many exponentials."""
+        e = h1[a:b] @ weights.T
+        np.exp(e, out=e)
+        sums = e @ np.ones(len(weights), kind)
+        each = np.arange(b - a)
+        odds[part, a:b] = e[each, own] / sums
+        e[each, own] -= sums
+        scale = (1 / (sums * total))[:, None]
+        grad += e.T @ (h1[a:b] * scale)
+        back = e @ weights[:, :k]
+        back *= scale
+        return back
+
     for a in range(0, len(at), CHUNK):
-        cut, rows = slice(a, a + CHUNK), np.arange(len(at[a : a + CHUNK]))
-        prob, norm = _softmax(hs[cut] @ p["wc"] + p["bc"])
-        loss -= float(np.log(np.maximum(prob[rows, cls[cut]] / norm, 1e-30)).sum())
-        prob *= (1 / (norm * total))[:, None]
-        prob[rows, cls[cut]] -= np.float32(1 / total)
-        g["wc"] += hs[cut].T @ prob
-        g["bc"] += np.ones(len(rows), prob.dtype) @ prob
-        dh[cut] = prob @ p["wc"].T
-    order, spans = _by_class(cls, len(p["bw"]))
-    sorted_h, sorted_within, part = hs[order], within[order], np.empty_like(dh)
-    for c, a, b in spans:
-        q, norm = _softmax(sorted_h[a:b] @ p["ww"][c] + p["bw"][c])
-        rows = np.arange(b - a)
-        loss -= float(np.log(np.maximum(q[rows, sorted_within[a:b]] / norm, 1e-30)).sum())
-        q *= (1 / (norm * total))[:, None]
-        q[rows, sorted_within[a:b]] -= np.float32(1 / total)
-        g["ww"][c], g["bw"][c] = sorted_h[a:b].T @ q, q.sum(axis=0)
-        part[a:b] = q @ p["ww"][c].T
-    dh[order] += part
-    dstates = np.zeros((steps * lanes, HIDDEN), np.float32)
-    dstates[at] = dh
-    dstates = dstates.reshape(steps, lanes, HIDDEN)
-    dx = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
-    carry = np.zeros((lanes, HIDDEN), np.float32)
-    k = HIDDEN
+        b = min(a + CHUNK, len(at))
+        dh[a:b] = settle(0, a, b, cls[a:b], p["wc"], g["wc"])
+    for lo, hi, a, b in spans:
+        for i in range(a, b, CHUNK):
+            j = min(b, i + CHUNK)
+            dh[i:j] += settle(1, i, j, target[i:j] - lo, p["ww"][lo:hi], g["ww"][lo:hi])
+    loss = -float(np.log(np.maximum(odds, 1e-30)).sum())
+    dstates = np.zeros((steps * lanes, k), kind)
+    dstates[place] = dh
+    dstates = dstates.reshape(steps, lanes, k)
+    # one buffer: gradients at n, z, r, and at what r multiplies; inputs see the first three, the state the last three
+    buffer, one, carry = np.empty((4 * k, lanes), kind), np.empty((k, lanes), kind), np.zeros((k, lanes), kind)
+    inner, outer = buffer[: 3 * k], buffer[k:]
+    w_rows, u_rows = np.roll(p["w"].T, k, axis=0), p["u"]
+    dw, du, db, fed_back = np.zeros((3 * k, EMBEDDING), kind), np.zeros((3 * k, k), kind), np.zeros(3 * k, kind), np.empty((steps, lanes, EMBEDDING), kind)
+    ones = np.ones(lanes, kind)
     for t in range(steps - 1, -1, -1):
-        before, z, r, n, an = saved[t]
-        d = dstates[t] + carry
-        dn = d * (1 - z) * (1 - n * n)
-        dz = d * (before - n) * z * (1 - z)
-        dr = dn * an * r * (1 - r)
-        dx[t, :, :k], dx[t, :, k : 2 * k], dx[t, :, 2 * k :] = dz, dr, dn
-        da = np.concatenate([dz, dr, dn * r], axis=1)
-        g["u"] += before.T @ da
-        carry = (d * z + da @ p["u"].T) * ~starts[t][:, None]
-    flat = dx.reshape(-1, 3 * HIDDEN)
-    g["b"] = flat.sum(axis=0)
+        fed, before, z, r, n, an = saved[t]
+        d, dn, dz, dr, dnr = carry, buffer[:k], buffer[k : 2 * k], buffer[2 * k : 3 * k], buffer[3 * k :]
+        d += dstates[t].T
+        np.subtract(1, z, out=one)
+        np.multiply(d, one, out=dn)
+        np.subtract(before, n, out=dz)
+        dz *= z
+        dz *= one
+        dz *= d
+        np.multiply(n, n, out=one)
+        np.subtract(1, one, out=one)
+        dn *= one
+        np.multiply(dn, r, out=dnr)
+        np.subtract(1, r, out=one)
+        np.multiply(dnr, an, out=dr)
+        dr *= one
+        dw += inner @ fed
+        db += inner @ ones
+        du += outer @ before.T
+        np.matmul(inner.T, w_rows, out=fed_back[t])
+        d *= z
+        carry = u_rows @ outer
+        carry += d
+        if starts[t].any():
+            carry *= ~starts[t]
+    g["w"], g["b"], g["u"] = np.roll(dw, -k, axis=0).T, np.roll(db, -k), du.T
     fed = np.flatnonzero(~starts.reshape(-1))
-    tokens, pushed = x.reshape(-1)[fed], flat[fed]
-    g["w"] = p["emb"][tokens].T @ pushed
+    tokens = x.reshape(-1)[fed]
     order = np.argsort(tokens, kind="stable")
     tokens = tokens[order]
-    if len(tokens):
-        first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
-        g["emb"][tokens[first]] = np.add.reduceat((pushed @ p["w"].T)[order], first, axis=0)
-    return g, h, loss
-
-
-def lanes(ids: np.ndarray, count: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents laid into lanes (steps x lanes): tokens, where documents begin, and what is no padding."""
-    ends = np.cumsum(count)
-    order = np.argsort(-count, kind="stable")
-    width = max(1, min(width, len(count)))
-    fill = np.zeros(width, np.int64)
-    place: list[list[int]] = [[] for _ in range(width)]
-    for i in order.tolist():
-        k = int(np.argmin(fill))
-        place[k].append(i)
-        fill[k] += count[i]
-    steps = int(fill.max())
-    out, begins, real = np.zeros((steps, width), ids.dtype), np.zeros((steps, width), bool), np.zeros((steps, width), bool)
-    for k, docs in enumerate(place):
-        at = 0
-        for i in docs:
-            out[at : at + count[i], k] = ids[ends[i] - count[i] : ends[i]]
-            begins[at, k] = True
-            at += int(count[i])
-        real[:at, k] = True
-        begins[at:, k] = True
-    return out, begins, real
+    first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.zeros(0, np.int64)
+    sums = np.add.reduceat(fed_back.reshape(-1, EMBEDDING)[fed[order]], first, axis=0) if len(tokens) else np.zeros((0, EMBEDDING), kind)
+    g["emb"] = (tokens[first].astype(np.int64), sums)
+    return g, after, loss
+
+
+class Lanes:
+    """Documents one after another in lanes, longest lane first, without padding: a long document costs no other lane anything."""
+
+    def __init__(self, ids: np.ndarray, count: np.ndarray, width: int):
+        ends = np.cumsum(count)
+        width = max(1, min(width, len(count)))
+        fill = [(0, k) for k in range(width)]
+        place: list[list[int]] = [[] for _ in range(width)]
+        for i in np.argsort(-count, kind="stable").tolist():
+            n, k = fill[0]
+            place[k].append(i)
+            heapq.heapreplace(fill, (n + int(count[i]), k))
+        size = np.array([n for n, _ in sorted(fill, key=lambda x: x[1])], np.int64)
+        by_size = np.argsort(-size, kind="stable")
+        order = np.array([i for k in by_size for i in place[k]], np.int64)
+        self.size = size[by_size]
+        self.base = np.cumsum(self.size) - self.size
+        self.ids = ids[ranges((ends - count)[order], count[order])]
+        self.begins = np.zeros(len(self.ids), bool)
+        self.begins[np.cumsum(count[order]) - count[order]] = True
+        self.doc = np.repeat(order, count[order])
+
+    def windows(self, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """x, y, starts and real (see gradients()), and each place's token, of window after window.
+
+        Lanes that end drop out, and the fewer are left, the longer the window.
+        """
+        t = 0
+        while t < (self.size[0] if len(self.size) else 0):
+            live = int(np.searchsorted(-self.size, -t, side="left"))
+            steps = min(max(window, min(LONGEST_WINDOW, window * len(self.size) // live)), int(self.size[0]) - t)
+            real = (t + np.arange(steps))[:, None] < self.size[:live]
+            at = np.where(real, self.base[:live] + (t + np.arange(steps))[:, None], self.base[:live])
+            starts = self.begins[at] | ~real
+            yield np.where(starts, 0, self.ids[at - 1]).astype(np.int32), np.where(real, self.ids[at], 0).astype(np.int32), starts, real, at
+            t += steps
+
+
+class Adam:
+    """Adam in place, piece by piece; of emb, only the rows that occur move."""
+
+    def __init__(self, p: dict, rate: float):
+        self.p, self.rate, self.step = p, rate, 0
+        self.first = {k: np.zeros_like(p[k]) for k in TRAINED}
+        self.second = {k: np.zeros_like(p[k]) for k in TRAINED}
+
+    def _move(self, p: np.ndarray, m: np.ndarray, v: np.ndarray, g: np.ndarray, rate: float) -> None:
+        scratch = np.empty(min(PIECE, p.size), p.dtype)
+        for a in range(0, p.size, PIECE):
+            pp, mm, vv, gg = (x[a : a + PIECE] for x in (p, m, v, g))
+            s = scratch[: len(pp)]
+            np.multiply(gg, gg, out=s)
+            s *= 0.01
+            vv *= 0.99
+            vv += s
+            gg *= 0.1
+            mm *= 0.9
+            mm += gg
+            np.sqrt(vv, out=s)
+            s += 1e-8
+            np.divide(mm, s, out=s)
+            s *= rate
+            pp -= s
+
+    def move(self, g: dict) -> None:
+        self.step += 1
+        rate = self.rate * math.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
+        for k in TRAINED:
+            p, m, v = self.p[k], self.first[k], self.second[k]
+            if k == "emb":
+                rows, grad = g[k]
+                own = [x[rows] for x in (p, m, v)]
+                self._move(*[x.reshape(-1) for x in own], grad.reshape(-1), rate)
+                p[rows], m[rows], v[rows] = own
+            else:
+                self._move(p.reshape(-1), m.reshape(-1), v.reshape(-1), np.ascontiguousarray(g[k]).reshape(-1), rate)
+        for k in ("wc", "ww"):
+            bounded = self.p[k][:, :HIDDEN]
+            np.clip(bounded, -MOST, MOST, out=bounded)
 
 
 def train(p: dict, ids: np.ndarray, count: np.ndarray, rate: float = RATE, width: int = LANES, window: int = WINDOW) -> float:
     """One pass over documents, changing p; returns the mean loss per token."""
     # a shard with little text trains in fewer lanes, so that it still makes steps
     width = max(8, min(width, int(count.sum()) // (window * 40) + 1))
-    y, begins, real = lanes(ids, count, width)
-    x = np.zeros_like(y)
-    x[1:] = y[:-1]
-    h = np.zeros((y.shape[1], HIDDEN), np.float32)
-    first = {k: np.zeros_like(v) for k, v in p.items()}
-    second = {k: np.zeros_like(v) for k, v in p.items()}
-    loss = 0.0
-    for step, t in enumerate(range(0, len(y), window), 1):
-        cut = slice(t, t + window)
-        g, h, more = gradients(p, x[cut].astype(np.int64), y[cut].astype(np.int64), begins[cut], real[cut], h)
+    laid = Lanes(ids, count, width)
+    h = np.zeros((HIDDEN, len(laid.size)), np.float32)
+    adam, loss = Adam(p, rate), 0.0
+    for x, y, starts, real, _ in laid.windows(window):
+        g, h, more = gradients(p, x, y, starts, real, h[:, : x.shape[1]])
         loss += more
-        for k in p:
-            first[k] += 0.1 * (g[k] - first[k])
-            second[k] += 0.01 * (g[k] * g[k] - second[k])
-            p[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+        adam.move(g)
     return loss / max(int(count.sum()), 1)
 
 
-def log_likelihoods(p: dict, ids: np.ndarray, count: np.ndarray, width: int = 1024) -> np.ndarray:
+def log_likelihoods(p: dict, ids: np.ndarray, count: np.ndarray, width: int = LANES, window: int = WINDOW) -> np.ndarray:
     """Log-likelihood of each document, its state carried from its first token to its last."""
     out = np.zeros(len(count))
-    projected = p["emb"] @ p["w"] + p["b"]
-    start = np.cumsum(count) - count
-    order = np.argsort(-count, kind="stable")
-    for a in range(0, len(order), width):
-        docs = order[a : a + width]
-        n, base = count[docs], start[docs]
-        h = np.zeros((len(docs), HIDDEN), np.float32)
-        held_h, held_y, held_doc, size = [], [], [], 0
-        for t in range(int(n[0]) if len(n) else 0):
-            live = int(np.searchsorted(-n, -t, side="left"))  # documents with more than t tokens come first
-            h = h[:live]
-            x = projected[ids[base[:live] + t - 1]] if t else np.broadcast_to(p["b"], (live, 3 * HIDDEN))
-            h = _step(p, x, h)[0]
-            held_h.append(h)
-            held_y.append(ids[base[:live] + t])
-            held_doc.append(docs[:live])
-            size += live
-            if size >= 1 << 15:
-                _settle(p, held_h, held_y, held_doc, out)
-                held_h, held_y, held_doc, size = [], [], [], 0
-        if size:
-            _settle(p, held_h, held_y, held_doc, out)
+    laid = Lanes(ids, count, width)
+    h = np.zeros((HIDDEN, len(laid.size)), np.float32)
+    for x, y, starts, real, at in laid.windows(window):
+        rows, h = forward(p, x, starts, h[:, : x.shape[1]])
+        place = np.flatnonzero(real.reshape(-1))
+        found = log_probabilities(p, rows.reshape(-1, HIDDEN + 1)[place], y.reshape(-1)[place])
+        out += np.bincount(laid.doc[at.reshape(-1)[place]], weights=found, minlength=len(out))
     return out
 
 
-def _settle(p: dict, hs: list, ys: list, docs: list, out: np.ndarray) -> None:
-    scores = log_probabilities(p, np.concatenate(hs), np.concatenate(ys).astype(np.int64))
-    where = np.concatenate(docs)
-    out += np.bincount(where, weights=scores, minlength=len(out))
-
-
 # --- over tables
 
 
@@ -475,11 +629,21 @@ def token_counts(table: DataFrame, tokens: int) -> np.ndarray:
     return out
 
 
-def fit(table: DataFrame, tokens: int, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS, rate: float = RATE) -> dict[str, np.ndarray]:
-    """Train on every document of an encoded table once."""
+def schedule(words: int, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS) -> tuple[int, int]:
+    """Rounds, and shards of a round, for a corpus of so many words: a larger one trains longer, and in more shards at once.
+
+    A shard holds more tokens where the vocabulary is larger, so that the weights that shards send keep their proportion to the corpus.
+    """
+    shard_tokens = max(shard_tokens, 100 * vocabulary_size(words))
+    shards = max(1, round(words / shard_tokens))
+    rounds = max(rounds, round(shards ** (1 / 3)))
+    return rounds, max(1, round(words / rounds / shard_tokens))
+
+
+def fit(table: DataFrame, tokens: int, rounds: int, shards: int, rate: float = RATE) -> dict[str, np.ndarray]:
+    """Train on every document of an encoded table once; see schedule()."""
     counts, kind = token_counts(table, tokens), token_type(tokens)
     params = fresh(counts)
-    shards = max(1, round(counts.sum() / rounds / shard_tokens))
     rows = "block int, tokens long, weights array<float>"
     for k in range(rounds):
         start, pace = flatten(params), rate * (1 - 0.5 * k / rounds)
@@ -502,9 +666,10 @@ def fit(table: DataFrame, tokens: int, rounds: int = ROUNDS, shard_tokens: int =
             merged = (weight @ values / weight.sum()).astype(np.float32)
             return pa.table({"block": part.column("block").slice(0, 1), "tokens": pa.array([int(weight.sum())]), "weights": pa.array([merged], pa.list_(pa.float32()))})
 
-        mine = table.where(F.pmod("h", F.lit(rounds)) == k)
-        trained = mine.groupBy(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).applyInArrow(one, rows)
-        merged = trained.groupBy("block").applyInArrow(mean, rows).toArrow().sort_by("block")
+        mine = table.where(F.col("round") == k).select("h", "n", "ids")
+        trained = mine.repartition(shards, F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).groupBy(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).applyInArrow(one, rows)
+        with tidy(table.sparkSession):
+            merged = trained.groupBy("block").applyInArrow(mean, rows).toArrow().sort_by("block")
         if len(merged):
             params = unflatten(np.concatenate([np.asarray(c.flatten(), np.float32) for c in merged.column("weights").chunks]), params)
     return params
@@ -526,9 +691,12 @@ def score(table: DataFrame, params: dict[str, np.ndarray]) -> DataFrame:
 def score_documents(docs: DataFrame, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """doc_id, n_tokens, log_likelihood, perplexity: one row per row of docs, by a model of docs themselves.
 
-    n_tokens counts the end mark. Null, empty and blank texts hold the end mark alone. A null doc_id stays null; repeated rows
-    give repeated rows; other columns are ignored; an empty table gives an empty result.
+    n_tokens counts the end mark. Null, empty and blank texts hold the end mark alone; a text of any length is trained on and scored whole.
+    A null doc_id stays null; repeated rows give repeated rows; other columns are ignored; an empty table gives an empty result.
     """
-    words = vocabulary(docs)
-    table = materialise(encoded(docs, words, spelling_model(docs, words)))
-    return score(table, fit(table, FIRST_WORD + len(words), rounds, shard_tokens))
+    words, total = vocabulary(docs)
+    rounds, shards = schedule(total, rounds, shard_tokens)
+    # rows of a round lie together in each file, so that a round reads little else
+    laid = encoded(docs, words, spelling_model(docs, words)).withColumn("round", F.pmod("h", F.lit(rounds)).cast("int"))
+    table = materialise(laid.sortWithinPartitions("round"))
+    return score(table, fit(table, FIRST_WORD + len(words), rounds, shards))
