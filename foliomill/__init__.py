@@ -1,3 +1,3 @@
-"""foliomill: document analytics expressed as Spark DataFrame transforms."""
+"""Document analytics on Spark."""
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"

@@ -2,35 +2,85 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import strip
 
 
-def char_error_rate(reference: Column, hypothesis: Column) -> Column:
-    """Edits per character of the reference; for an empty reference 0 if the hypothesis is empty too, else 1."""
-    rate = F.levenshtein(reference, hypothesis) / F.length(reference)
-    return F.when(reference == "", F.when(hypothesis == "", F.lit(0.0)).otherwise(F.lit(1.0))).otherwise(rate)
+def millionths(value: Column) -> Column:
+    """value in whole millionths: their sum is the same in any order."""
+    return F.round(value * 1_000_000).cast("long")
+
+
+def mean_to_thousandths(total: Column, n: Column) -> Column:
+    """total millionths / n, rounded once to 3 decimals, ties to even; null where n is 0. All in whole numbers."""
+    unit = n * 1000
+    rest = F.pmod(total, unit)
+    whole = ((total - rest) / unit).cast("long")
+    up = (2 * rest > unit) | ((2 * rest == unit) & (F.pmod(whole, F.lit(2)) == 1))
+    return F.when(n > 0, (whole + F.when(up, 1).otherwise(0)) / 1000)
+
 
+def mean_sql(total: str, n: str) -> str:
+    """mean_to_thousandths() as DuckDB SQL, for totals of at least 0."""
+    unit = f"({n} * 1000)"
+    return f"CASE WHEN {n} > 0 THEN ({total} // {unit} + CASE WHEN 2 * ({total} % {unit}) > {unit} OR (2 * ({total} % {unit}) = {unit} AND {total} // {unit} % 2 = 1) THEN 1 ELSE 0 END) / 1000e0 END"
 
-def word_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two arrays of words, by rows of the usual table."""
-    first = F.sequence(F.lit(0), F.size(b))
 
-    def next_row(row: Column, i: Column) -> Column:
-        word = F.get(a, i - 1)
+def edits(a: Sequence, b: Sequence) -> int:
+    """Levenshtein distance of two sequences, a column of the table at a time as bits of one number (Myers, 1999; Hyyrö, 2001)."""
+    first = 0
+    while first < len(a) and first < len(b) and a[first] == b[first]:
+        first += 1
+    last = 0
+    while last < len(a) - first and last < len(b) - first and a[len(a) - 1 - last] == b[len(b) - 1 - last]:
+        last += 1
+    a, b = a[first : len(a) - last], b[first : len(b) - last]
+    if not a or not b:
+        return len(a) + len(b)
+    where: dict = {}
+    for i, x in enumerate(a):
+        where.setdefault(x, []).append(i)
+    at = {}
+    for x, places in where.items():
+        raw = bytearray((len(a) + 7) // 8)
+        for i in places:
+            raw[i >> 3] |= 1 << (i & 7)
+        at[x] = int.from_bytes(raw, "little")
+    whole, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    more, less, distance = whole, 0, len(a)
+    for y in b:
+        same = at.get(y, 0)
+        vertical = same | less
+        diagonal = (((same & more) + more) ^ more) | same
+        up, down = less | (whole & ~(diagonal | more)), more & diagonal
+        if up & top:
+            distance += 1
+        elif down & top:
+            distance -= 1
+        up, down = (up << 1) | 1, down << 1
+        more, less = (down | ~(vertical | up)) & whole, up & vertical & whole
+    return distance
 
-        def cell(done: Column, j: Column) -> Column:
-            step = F.when(word == F.get(b, j - 1), F.lit(0)).otherwise(F.lit(1))
-            best = F.least(F.get(row, j) + 1, F.element_at(done, -1) + 1, F.get(row, j - 1) + step)
-            return F.array_append(done, best)
 
-        columns = F.when(F.size(b) > 0, F.sequence(F.lit(1), F.size(b))).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(columns, F.array(i), cell)
+def _distance(a: Column, b: Column) -> Column:
+    """edits() of two strings, or of two arrays of words."""
 
-    rows = F.when(F.size(a) > 0, F.sequence(F.lit(1), F.size(a))).otherwise(F.array().cast("array<int>"))
-    return F.element_at(F.aggregate(rows, first, next_row), -1)
+    @F.arrow_udf("int")
+    def run(left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or y is None else edits(x, y) for x, y in zip(left.to_pylist(), right.to_pylist())], pa.int32())
+
+    return run(a, b)
+
+
+def char_error_rate(reference: Column, hypothesis: Column) -> Column:
+    """Edits per character of the reference; for an empty reference 0 if the hypothesis is empty too, else 1."""
+    rate = _distance(reference, hypothesis) / F.length(reference)
+    return F.when(reference == "", F.when(hypothesis == "", F.lit(0.0)).otherwise(F.lit(1.0))).otherwise(rate)
 
 
 def words(text: Column) -> Column:
@@ -42,4 +92,4 @@ def word_error_rate(reference: Column, hypothesis: Column) -> Column:
     """Word edits per word of the reference; for an empty reference 0 if the hypothesis has no word either, else 1."""
     a, b = words(reference), words(hypothesis)
     none = F.when(F.size(b) == 0, F.lit(0.0)).otherwise(F.lit(1.0))
-    return F.when(F.size(a) == 0, none).otherwise(word_distance(a, b) / F.size(a))
+    return F.when(F.size(a) == 0, none).otherwise(_distance(a, b) / F.size(a))

@@ -10,55 +10,79 @@ from pyspark.sql import functions as F
 
 from .. import lexicon
 
-_ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿºª²³¹"
-_PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyyoa231"
 _LINE_BREAK = "\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\x85\\u2028\\u2029]"
 
 
-def fold_upper(text: Column) -> Column:
-    """Upper case without accents, for Latin-1 text (ordinals and superscripts become plain)."""
-    return F.upper(F.translate(text, _ACCENTED, _PLAIN))
+def _base(mark: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", mark) if not unicodedata.combining(x))
+
+
+#: Marks of the Latin, Greek, Cyrillic, super- and subscript, letterlike, number and full-width blocks that stand for one other mark.
+_BLOCKS = [*range(0xA0, 0x530), *range(0x1D00, 0x2190), *range(0x2460, 0x2500), *range(0xFF01, 0xFF5F)]
+_ONE = {m: _base(m) for m in map(chr, _BLOCKS) if len(_base(m)) == 1 and _base(m) != m}
+_FROM, _TO = "".join(_ONE), "".join(_ONE.values())
+_ODD = "[^\\x00-\\x7F]"
 
 
-def fold_lower(text: Column) -> Column:
-    """Lower case without accents, for Latin-1 text."""
-    return F.lower(F.translate(text, _ACCENTED, _PLAIN))
+def fold(text: Column) -> Column:
+    """Without accents, whether composed or not, and marks of _BLOCKS as plain ones (NFKD); ligatures stay. See fold_exact() for any script."""
+    return F.regexp_replace(F.translate(text, _FROM, _TO), "\\p{M}+", "")
+
+
+def fold_upper(text: Column) -> Column:
+    """Upper case without accents, whether composed or not; ordinals and superscripts become plain."""
+    return F.upper(fold(text))
 
 
 def _normal_form(form: str):
     @F.arrow_udf("string")
     def run(text: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else t if t.isascii() else unicodedata.normalize(form, t) for t in text.to_pylist()], pa.string())
+        return pa.array([None if t is None else unicodedata.normalize(form, t) for t in text.to_pylist()], pa.string())
 
     return run
 
 
+#: Marks that a text in NFC holds only where they can't be composed, or never: combining ones, Jamo, and singletons.
+_NOT_COMPOSED = "[\\p{M}\\u1100-\\u11FF\\u2000\\u2001\\u2126\\u212A\\u212B\\u2329\\u232A\\u0340\\u0341\\u0343\\u0374\\u037E\\u0387\\u1F71-\\u1FFD\\uF900-\\uFAFF\\uFB1D-\\uFB4E]|[\\x{2F800}-\\x{2FA1D}]"
+
+
 def nfc(text: Column) -> Column:
-    return _normal_form("NFC")(text)
+    """Unicode normal form C. Only texts that may not be in it go through Python."""
+    return F.coalesce(_normal_form("NFC")(F.when(text.rlike(_NOT_COMPOSED), text)), text)
+
+
+def nfkc_all(texts: Column) -> Column:
+    """Each text of an array in normal form KC; for use before a lambda, which can't call Python. Arrays of ASCII don't go through Python."""
+
+    @F.arrow_udf("array<string>")
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else [None if t is None else unicodedata.normalize("NFKC", t) for t in v] for v in values.to_pylist()], pa.list_(pa.string()))
+
+    return F.coalesce(run(F.when(F.array_join(texts, " ").rlike(_ODD), texts)), texts)
 
 
 def nfkc(text: Column) -> Column:
-    return _normal_form("NFKC")(text)
+    """Unicode normal form KC. ASCII texts don't go through Python."""
+    return F.coalesce(_normal_form("NFKC")(F.when(text.rlike(_ODD), text)), text)
 
 
 def fold_exact(text: Column) -> Column:
-    """Upper case without combining marks, for any script."""
+    """Upper case without combining marks, for any script. ASCII texts don't go through Python."""
 
     @F.arrow_udf("string")
     def run(values: pa.Array) -> pa.Array:
-        strip = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).upper()
-        return pa.array([None if t is None else strip(t) for t in values.to_pylist()], pa.string())
+        return pa.array([None if t is None else _base(t).upper() for t in values.to_pylist()], pa.string())
 
-    return run(text)
+    return F.coalesce(run(F.when(text.rlike(_ODD), text)), F.upper(text))
 
 
 def strip(text: Column) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind at both ends. The look behind keeps long inner runs from being tried at each of their places."""
+    return F.regexp_replace(text, r"(?U)\A\s++|(?<!\s)\s++\z", "")
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\s+$", "")
+    return F.regexp_replace(text, r"(?U)(?<!\s)\s++\z", "")
 
 
 def squeeze(text: Column) -> Column:
@@ -66,9 +90,13 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def clean_invisible(text: Column) -> Column:
-    """Zero-width characters go, no-break spaces become spaces, line ends become LF. NFC text is expected; see nfc()."""
-    plain = F.translate(text, " ​‌‍⁠﻿", " ")
+_INVISIBLE = "\u00a0\u200b\u200c\u200d\u2060\ufeff"
+
+
+def clean_invisible(text: Column, composed: bool = False) -> Column:
+    """NFC; zero-width characters go, no-break spaces become spaces, line ends become LF. composed: the text is in NFC already."""
+    t = text if composed else nfc(text)
+    plain = F.when(t.rlike(f"[{_INVISIBLE}]"), F.translate(t, _INVISIBLE, " ")).otherwise(t)
     return F.replace(F.replace(plain, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
@@ -79,15 +107,25 @@ def split_lines(text: Column) -> Column:
     return F.when(ends_open, F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
 
 
-def prose(text: Column) -> Column:
+def prose(text: Column, composed: bool = False) -> Column:
     """Searchable prose: cleaned, each line trimmed with single spaces, at most one blank line in a row."""
-    lines = F.transform(split_lines(clean_invisible(text)), lambda x: F.regexp_replace(strip(x), "[ \\t]{2,}", " "))
-    return F.regexp_replace(strip(F.array_join(lines, "\n")), "\n{3,}", "\n\n")
+    return prose_of_clean(clean_invisible(text, composed))
+
+
+def prose_of_clean(clean: Column) -> Column:
+    """prose() of text that clean_invisible() made. Every step is one pass over the whole text; no line is a value of its own."""
+    t = F.regexp_replace(clean, "[\\x0B\\f\\x1C-\\x1E\\x85\\u2028\\u2029]", "\n")
+    t = F.regexp_replace(t, r"(?U)(?<![^\S\n])[^\S\n]++(?=\n)|(?<=\n)[^\S\n]++", "")
+    t = F.regexp_replace(strip(t), "[ \\t]{2,}", " ")
+    return F.regexp_replace(t, "\n{3,}", "\n\n")
 
 
 def excessive_spacing(text: Column) -> Column:
     """Whether spaces were used for placement: 120 characters, three gaps of 8 spaces, and many spaces in all."""
-    t = clean_invisible(text)
+    return spacing_of_clean(clean_invisible(text))
+
+
+def spacing_of_clean(t: Column) -> Column:
     n = F.length(t)
     spaces = n - F.length(F.replace(t, F.lit(" "), F.lit("")))
     in_gaps = n - F.length(F.regexp_replace(t, " {8,}", ""))
@@ -106,10 +144,14 @@ def word_count(text: Column) -> Column:
 
 def text_score(text: Column) -> Column:
     """How readable an extraction is: letters and digits, words and legal terms, less replacement marks and lost spacing."""
-    t = strip(clean_invisible(text))
+    return score_of_clean(strip(clean_invisible(text)))
+
+
+def score_of_clean(t: Column) -> Column:
+    """text_score() of clean and stripped text; a column of its own, as it is looked at several times."""
     terms = F.regexp_count(t, F.lit("(?iu)" + lexicon.LEGAL_OCCURRENCE))
-    broken = F.length(t) - F.length(F.replace(t, F.lit("�"), F.lit("")))
-    lost = F.greatest(F.length(t) - F.length(prose(t)), F.lit(0))
+    broken = F.length(t) - F.length(F.replace(t, F.lit("\ufffd"), F.lit("")))
+    lost = F.greatest(F.length(t) - F.length(prose_of_clean(t)), F.lit(0))
     score = alphanumeric_count(t) + word_count(t) * 0.5 + terms * 12.0 - broken * 8.0 - lost * 0.35
     return F.when(t == "", F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), score))
 
@@ -131,17 +173,17 @@ def markdown_image(alt: Column, target: Column) -> Column:
 # --- legal text
 
 
-def article_id(value: Column) -> Column:
-    """Identifier of an article: no label, no ordinal mark, a hyphen before a final letter."""
-    t = F.regexp_replace(F.upper(F.translate(value, "ºª", "oa")), r"(?U)\s+", "")
+def article_id(value: Column, composed: bool = False) -> Column:
+    """Identifier of an article: NFKC, no label, no ordinal mark, a hyphen before a final letter. composed: value is in NFKC but for ordinals."""
+    t = F.regexp_replace(F.upper(F.translate(value if composed else nfkc(value), "ºª", "oa")), r"(?U)\s+", "")
     t = F.regexp_replace(F.regexp_replace(t, "^ARTIGO", ""), r"^ART\.?", "")
     t = F.regexp_replace(t, "(?<=[0-9])[O°](?=-|$)", "")
     return F.regexp_replace(t, "(?<=[0-9])-?([A-Z])$", "-$1")
 
 
-def legal_text(value: Column) -> Column:
-    """Legal text for comparison: lower case, one kind of dash, compact article, law, percent and area forms."""
-    t = F.lower(F.translate(value, "ºª²³ ", "oa23 "))
+def legal_text(value: Column, composed: bool = False) -> Column:
+    """Legal text for comparison: NFKC, lower case, one kind of dash, compact article, law, percent and area forms."""
+    t = F.replace(F.lower(F.translate(value if composed else nfkc(value), "ºª²³\u00a0", "oa23 ")), F.lit("ß"), F.lit("ss"))
     t = F.regexp_replace(t, "[‐‑‒–—]", "-")
     t = F.regexp_replace(t, r"\bart(?:igo)?\.?\s*([0-9]+)\s*[o°]?\s*-\s*([a-z])", "art.$1-$2")
     t = F.regexp_replace(t, r"\bart(?:igo)?\.?\s*([0-9]+)(?![0-9]|-[a-z])\s*[o°]?", "art.$1")

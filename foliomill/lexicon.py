@@ -3,33 +3,38 @@
 from __future__ import annotations
 
 
-def any_of(words: str, tail: str = "") -> str:
-    """A pattern for any of the words, longest first; underscores stand for runs of white space."""
+def any_of(words: str, gap: str = r"\s+") -> str:
+    """A pattern for any of the words, longest first; underscores stand for the gap between words."""
     parts = sorted(words.split(), key=lambda w: (-len(w), w))
-    return r"\b(?:" + "|".join(p.replace("_", r"\s+") for p in parts) + ")" + tail + r"\b"
+    return r"\b(?:" + "|".join(p.replace("_", gap) for p in parts) + r")\b"
+
+
+def phrases(words: str) -> str:
+    """any_of() with exactly one space in a term: in a layout, a wider gap separates cells."""
+    return any_of(words, " ")
 
 
 #: Header vocabulary by group, in the order in which hits are listed. Matched on folded upper-case text.
 HEADERS: dict[str, str] = {
-    "territorial": any_of("AREA MACROZONA SETOR ZEIS ZONA ZONAS"),
-    "identificador": any_of("CODIGO DECRETO LEI NUMERO NO Nº N°"),
-    "denominacao": any_of("COMUNIDADE DENOMINACAO DESCRICAO LOCALIDADE NOME"),
-    "parametro": any_of("APROVEITAMENTO AREA_MINIMA CA COEFICIENTE GABARITO GM LM LOTE_MINIMO RECUO SOLO_NATURAL TAXA TESTADA TM TO TSN"),
-    "instrumento": any_of("INSTRUMENTO INSTRUMENTOS OUTORGA POLITICA_URBANA TRANSFERENCIA"),
-    "observacao": any_of("OBSERVACOE OBSERVACOES REQUISITO_ESPECIAIS REQUISITOS_ESPECIAIS"),
-    "uso": any_of("HABITACIONAL MISTO NAO_HABITACIONAL RESIDENCIAL USO USOS"),
-    "dimensao": any_of("M2 METRO METROS PAVIMENTO PAVIMENTOS PAVTO PAVTOS"),
+    "territorial": phrases("AREA MACROZONA SETOR ZEIS ZONA ZONAS"),
+    "identificador": phrases("CODIGO DECRETO LEI NUMERO NO Nº N°"),
+    "denominacao": phrases("COMUNIDADE DENOMINACAO DESCRICAO LOCALIDADE NOME"),
+    "parametro": phrases("APROVEITAMENTO AREA_MINIMA CA COEFICIENTE GABARITO GM LM LOTE_MINIMO RECUO SOLO_NATURAL TAXA TESTADA TM TO TSN"),
+    "instrumento": phrases("INSTRUMENTO INSTRUMENTOS OUTORGA POLITICA_URBANA TRANSFERENCIA"),
+    "observacao": phrases("OBSERVACOE OBSERVACOES REQUISITO_ESPECIAIS REQUISITOS_ESPECIAIS"),
+    "uso": phrases("HABITACIONAL MISTO NAO_HABITACIONAL RESIDENCIAL USO USOS"),
+    "dimensao": phrases("M2 METRO METROS PAVIMENTO PAVIMENTOS PAVTO PAVTOS"),
 }
 
 URBAN: dict[str, str] = {
-    "lote": any_of("AREA_MINIMA LM LOTE"),
-    "testada": any_of("TESTADA TM"),
-    "recuo": any_of("FRONT FUND FUNDO FUNDOS LAT LATERAL RECUO"),
-    "ocupacao": any_of("TAXA_DE_OCUPACAO TO"),
-    "solo_natural": any_of("SOLO_NATURAL TSN"),
-    "gabarito": any_of("GABARITO GM PAVIMENTO PAVIMENTOS PAVTO PAVTOS"),
-    "aproveitamento": any_of("CA COEFICIENTE_DE_APROVEITAMENTO"),
-    "uso": any_of("HABITACIONAL INDUSTRIAL MISTO RESIDENCIAL USO"),
+    "lote": phrases("AREA_MINIMA LM LOTE"),
+    "testada": phrases("TESTADA TM"),
+    "recuo": phrases("FRONT FUND FUNDO FUNDOS LAT LATERAL RECUO"),
+    "ocupacao": phrases("TAXA_DE_OCUPACAO TO"),
+    "solo_natural": phrases("SOLO_NATURAL TSN"),
+    "gabarito": phrases("GABARITO GM PAVIMENTO PAVIMENTOS PAVTO PAVTOS"),
+    "aproveitamento": phrases("CA COEFICIENTE_DE_APROVEITAMENTO"),
+    "uso": phrases("HABITACIONAL INDUSTRIAL MISTO RESIDENCIAL USO"),
 }
 
 ZONE_CODE = r"\b(?:CCSB|MZ[0-9]+|NUAR|NUR[0-9]*|SEI|SOU|ZRU[0-9]*|Z[A-Z]{1,4}[0-9]*)\b"
@@ -42,7 +47,8 @@ TITLE_NOMINAL = r"^(?:INDICE|INDICES|INSTRUMENTO|INSTRUMENTOS|LISTAGEM|PARAMETRO
     "EDILICIO EDILICIOS URBANISTICO URBANISTICOS USO USOS ZEIS ZONA ZONAS"
 )
 
-XY_PAIR = r"\bX\s*[=:]\s*-?[0-9]{3,}(?:[,.][0-9]+)?[,;\s]+Y\s*[=:]\s*-?[0-9]{3,}(?:[,.][0-9]+)?"
+#: Between X and Y stands a comma, a semicolon or a space, not a line end or tab alone.
+XY_PAIR = r"\bX\s*[=:]\s*-?[0-9]{3,}(?:[,.][0-9]+)?\s*[ ,;]+\s*Y\s*[=:]\s*-?[0-9]{3,}(?:[,.][0-9]+)?"
 LAT_LONG_PAIR = r"\b(?:NORTE|LAT|LATITUDE)\s*[=:]?\s*-?[0-9]{1,3}(?:[,.][0-9]+)?.{0,40}?\b(?:LESTE|LONG|LONGITUDE)\s*[=:]?\s*-?[0-9]{1,3}(?:[,.][0-9]+)?"
 COORDINATE_NUMBER = r"(?<![0-9])-?[0-9]{4,7}(?:[,.][0-9]{2,})?(?![0-9])"
 COORDINATE_WORDS: dict[str, str] = {
@@ -68,9 +74,11 @@ LEGAL_PRESENCE: tuple[str, ...] = (
     r"\bLEI\s+(?:NO|NUMERO|N)\b", r"\bART\.?\s*[0-9]+", r"\bPREFEIT[AO]\b", r"\bCAMARA\s+MUNICIPAL\b",
     r"\bSANCIONA\b", r"\bENTRARA?\s+EM\s+VIGOR\b", r"\bREVOGAD[OA]S?\b", r"\bPROVIDENCIAS\b",
 )
-#: Occurrences on raw text: for scoring an extraction, and for spotting legal prose among table candidates.
+#: Occurrences on raw text for scoring an extraction, and on folded text for spotting legal prose among table candidates. The lists differ.
 LEGAL_OCCURRENCE = any_of("ART ARTIGO DECRETO INCISO LEI PAR[AÁ]GRAFO RESOLU[CÇ][AÃ]O")
 
+LEGAL_MARKER = any_of(r"ART\.? ARTIGO ASSINATURA CAMARA_MUNICIPAL DECRETO EMENDA LEI PREFEIT[AO] REVOGAD[AO]S? SANCIONA VIGOR")
+
 #: Line types in order of priority, on folded upper-case text.
 LINE_TYPES: tuple[tuple[str, str], ...] = (
     *((kind, rf"^{word}\s+(?:[0-9]+|[CDILMVX]+)(?:\b|\s)") for kind, word in (("titulo", "TITULO"), ("capitulo", "CAPITULO"), ("subsecao", "SUBSECAO"), ("secao", "SECAO"))),

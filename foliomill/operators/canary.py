@@ -55,19 +55,21 @@ def evaluate(cases: DataFrame) -> DataFrame:
     c = F.col
     blank = F.array().cast("array<string>")
     own = lambda name: F.filter(F.coalesce(c(name), blank), lambda x: T.strip(x) != "")
-    ids = lambda a: F.array_distinct(F.transform(a, lambda x: T.article_id(x)))
-    d = cases.withColumns({"_text": F.coalesce("observed", F.lit("")), "_terms": own("terms"), "_expected": ids(own("expected"))})
-    d = d.withColumns({"_found": occurrences(c("_text")), "_normal": T.legal_text(c("_text"))})
-    named = F.filter("_terms", lambda t: T.strip(t).rlike(r"(?iu)^art(?:igo)?\.?\s*[0-9]+[º°o]?(?:-[a-z])?$"))
-    allowed = F.array_union(F.array_union(ids(own("altered")), ids(own("references"))), F.array_except(ids(named), "_expected"))
+    plain = {f"_{name}": T.nfkc_all(own(name)) for name in ("expected", "references", "altered")}
+    d = cases.withColumns({"_text": F.coalesce("observed", F.lit("")), "_terms": own("terms")} | plain)
+    d = d.withColumns({"_found": occurrences(c("_text")), "_normal": T.legal_text(c("_text")), "_pairs": F.arrays_zip("_terms", T.nfkc_all(c("_terms")).alias("plain"))})
+    ids = lambda a: F.array_distinct(F.transform(a, lambda x: T.article_id(x, composed=True)))
+    term, form = (lambda p: p["_terms"]), (lambda p: p["plain"])
+    named = F.transform(F.filter("_pairs", lambda p: T.strip(term(p)).rlike(r"(?iu)^art(?:igo)?\.?\s*[0-9]+[º°o]?(?:-[a-z])?$")), form)
+    d = d.withColumn("_expected", ids(c("_expected")))
+    allowed = F.array_union(F.array_union(ids(c("_altered")), ids(c("_references"))), F.array_except(ids(named), "_expected"))
     d = d.withColumns({"_main": articles(c("_found"), "dispositivo_principal"), "_allowed": allowed})
-    exact = F.filter("_terms", lambda t: F.contains(F.lower("_text"), F.lower(t)))
-    rest = F.filter("_terms", lambda t: ~F.contains(F.lower("_text"), F.lower(t)))
-    d = d.withColumns({"exact_terms": exact, "_rest": rest})
+    there = lambda p: F.contains(F.lower("_text"), F.lower(term(p)))
+    d = d.withColumns({"exact_terms": F.transform(F.filter("_pairs", there), term), "_rest": F.filter("_pairs", lambda p: ~there(p))})
+    meant = lambda p: T.contains_term(c("_normal"), T.legal_text(form(p), composed=True))
     d = d.withColumns({
         "missing_articles": F.array_sort(F.array_except("_expected", "_main")), "unexpected_articles": F.array_sort(F.array_except(F.array_except("_main", "_expected"), "_allowed")),
-        "references_found": articles(c("_found"), "remissao"), "normalised_terms": F.filter("_rest", lambda t: T.contains_term(c("_normal"), T.legal_text(t))),
-        "missing_terms": F.filter("_rest", lambda t: ~T.contains_term(c("_normal"), T.legal_text(t))),
+        "references_found": articles(c("_found"), "remissao"), "normalised_terms": F.transform(F.filter("_rest", meant), term), "missing_terms": F.transform(F.filter("_rest", lambda p: ~meant(p)), term),
     })
     passed = (F.size("missing_articles") == 0) & (F.size("unexpected_articles") == 0) & (F.size("missing_terms") == 0)
     return d.select("case_id", "missing_articles", "unexpected_articles", "references_found", "exact_terms", "normalised_terms", "missing_terms", passed.alias("passed"))

@@ -40,69 +40,69 @@ def with_geometry(graphics: DataFrame, band: float = 0.12) -> DataFrame:
     return graphics.withColumns({"position": position(c("x0"), c("y0"), c("x1"), c("y1"), band), "area_ratio": (c("x1") - c("x0")) * (c("y1") - c("y0"))})
 
 
+_SIDES = ("x0", "y0", "x1", "y1")
+
+
 def distinct_occurrences(graphics: DataFrame) -> DataFrame:
-    """Of occurrences on a page that agree in fingerprint and box to 6 decimals, the last."""
-    keys = ["doc_id", "page_number", "fingerprint", *[F.round(k, 6).alias(f"_{k}") for k in ("x0", "y0", "x1", "y1")]]
-    rest = [k for k in graphics.columns if k not in ("doc_id", "page_number", "fingerprint")]
-    last = graphics.groupBy(*keys).agg(F.max_by(F.struct(*rest), "ordinal").alias("s"))
-    return last.select("doc_id", "page_number", "fingerprint", "s.*")
+    """Of occurrences on a page that agree in fingerprint and box to 6 decimals, the last. All that follows is grouped within (doc_id, fingerprint)."""
+    same = Window.partitionBy("doc_id", "fingerprint", "page_number", *[F.round(k, 6) for k in _SIDES]).orderBy(F.desc("ordinal"))
+    return graphics.repartition("doc_id", "fingerprint").withColumn("_last", F.row_number().over(same)).where("_last = 1").drop("_last")
 
 
-def repeated_graphics(graphics: DataFrame, least_share: float = 0.70, most_area: float = 0.05, tolerance: float = 0.025, least_pages: int = 5) -> DataFrame:
-    """Decorative graphics per document.
+def _near(tolerance: float) -> Column:
+    near = F.lit(True)
+    for k in _SIDES:
+        near = near & (F.abs(F.col(k) - F.col(f"m_{k}")) <= tolerance)
+    return near
+
 
-    graphics has doc_id, page_number, page_count, fingerprint, the box, position and area_ratio. A graphic is decoration if it stands on
-    enough inner pages, nearly always at one edge, small, and close to its median box.
+def with_rules(graphics: DataFrame, least_share: float = 0.70, most_area: float = 0.05, tolerance: float = 0.025, least_pages: int = 5) -> DataFrame:
+    """graphics with decorative (whether its document's rules make the graphic decoration), edge, median box m_*, and counts.
+
+    graphics has doc_id, page_number, page_count, fingerprint, ordinal, the box, position and area_ratio. A graphic is decoration if it stands on
+    enough inner pages, nearly always at one edge, small, and close to its median box. Windows within (doc_id, fingerprint) alone: one shuffle.
     """
     c = F.col
-    by = ["doc_id", "fingerprint"]
-    core = (c("page_number") > 1) & (c("page_number") < c("page_count"))
-    placed = graphics.withColumn("_core", core)
-    counts = placed.where("_core").groupBy(*by, "position").agg(F.count("*").alias("n"), F.min(F.struct("page_number", "ordinal")).alias("first"))
-    top = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "first"))
-    main = counts.withColumns({"_k": top, "core": F.sum("n").over(Window.partitionBy(*by))}).where("_k = 1 AND position <> 'interior' AND n / core >= 0.95").select(*by, c("position").alias("edge"), "core")
-    d = placed.join(main, by)
-    eligible = c("_core") & (c("position") == c("edge")) & (c("area_ratio") <= most_area)
-    d = d.withColumn("_ok", eligible)
-    medians = [F.median(F.when(c("_ok"), c(k))).alias(f"m_{k}") for k in ("x0", "y0", "x1", "y1")]
-    rules = d.groupBy(*by, "edge", "core", "page_count").agg(
-        F.countDistinct(F.when(c("_core"), c("page_number"))).alias("core_pages"), F.count_if("_ok").alias("ok"), F.count("*").alias("occurrences"), F.countDistinct("page_number").alias("pages"), *medians
-    )
+    by, placed = Window.partitionBy("doc_id", "fingerprint"), Window.partitionBy("doc_id", "fingerprint", "position")
+    page = Window.partitionBy("doc_id", "fingerprint", "page_number").orderBy("ordinal")
+    d = graphics.withColumns({"_core": (c("page_number") > 1) & (c("page_number") < c("page_count")), "_new": F.row_number().over(page) == 1})
+    d = d.withColumns({"_n": F.count_if("_core").over(placed), "_first": F.min(F.when(c("_core"), F.struct("page_number", "ordinal"))).over(placed)})
+    d = d.withColumns({
+        "_main": F.min(F.when(c("_core"), F.struct((-c("_n")).alias("n"), c("_first").alias("f"), c("position").alias("p")))).over(by), "core": F.count_if("_core").over(by), "occurrences": F.count("*").over(by),
+        "pages_with_it": F.count_if("_new").over(by), "core_pages": F.count_if(c("_new") & c("_core")).over(by),
+    })
+    edge = F.when((c("_main.p") != "interior") & (-c("_main.n") / c("core") >= 0.95), c("_main.p"))
+    d = d.withColumn("edge", edge)
+    d = d.withColumn("_ok", F.coalesce(c("_core") & (c("position") == c("edge")) & (c("area_ratio") <= most_area), F.lit(False)))
+    d = d.withColumns({f"m_{k}": F.median(F.when(c("_ok"), c(k))).over(by) for k in _SIDES} | {"_oks": F.count_if("_ok").over(by)})
+    d = d.withColumn("_stable", F.count_if(c("_ok") & _near(tolerance)).over(by))
     needed = F.greatest(F.lit(least_pages), F.ceil(F.greatest(c("page_count") - 2, F.lit(1)) * F.lit(least_share)))
-    rules = rules.where((c("core_pages") >= needed) & (c("ok") / c("core") >= 0.95))
-    near = F.lit(True)
-    for k in ("x0", "y0", "x1", "y1"):
-        near = near & (F.abs(c(k) - c(f"m_{k}")) <= tolerance)
-    stable = d.where("_ok").select(*by, "x0", "y0", "x1", "y1").join(rules, by).groupBy(*by).agg(F.count_if(near).alias("stable"))
-    return rules.join(stable, by).where(c("stable") / c("core") >= 0.95).select(
-        *by, F.concat(F.lit("graphic-"), F.left("fingerprint", F.lit(12))).alias("graphic_id"), "occurrences", c("pages").alias("pages_with_it"), F.round(c("pages") / F.greatest("page_count", F.lit(1)), 6).alias("page_ratio"),
-        c("edge").alias("position"), *[F.round(f"m_{k}", 6).alias(f"m_{k}") for k in ("x0", "y0", "x1", "y1")],
-    )
+    found = c("edge").isNotNull() & (c("core_pages") >= needed) & (c("_oks") / c("core") >= 0.95) & (c("_stable") / c("core") >= 0.95)
+    d = d.withColumns({"decorative": F.coalesce(found, F.lit(False))} | {f"m_{k}": F.round(f"m_{k}", 6) for k in _SIDES})
+    return d.drop("_core", "_new", "_n", "_first", "_main", "_ok", "_oks", "_stable", "core")
 
 
-def page_graphics(graphics: DataFrame, rules: DataFrame, most_area: float = 0.05, tolerance: float = 0.025) -> DataFrame:
-    """Images per page: all, decorative by the rules, and content. Graphics of one fingerprint count by the largest weight."""
+def repeated_graphics(graphics: DataFrame, **options) -> DataFrame:
+    """Decorative graphics per document, one row each. See with_rules()."""
     c = F.col
-    near = F.lit(True)
-    for k in ("x0", "y0", "x1", "y1"):
-        near = near & (F.abs(c(k) - c(f"m_{k}")) <= tolerance)
-    rule = rules.select("doc_id", "fingerprint", c("position").alias("edge"), *[c(f"m_{k}") for k in ("x0", "y0", "x1", "y1")])
-    d = graphics.join(rule, ["doc_id", "fingerprint"], "left")
-    match = F.coalesce((c("position") == c("edge")) & (c("area_ratio") <= most_area) & near, F.lit(False))
-    per = d.groupBy("doc_id", "page_number", "fingerprint").agg(F.max("image_weight").alias("w"), F.bool_or(match).alias("d"))
-    return per.groupBy("doc_id", "page_number").agg(F.sum("w").alias("raw_images"), F.coalesce(F.sum(F.when(c("d"), c("w"))), F.lit(0)).alias("decorative_images")).withColumn(
-        "content_images", F.greatest(c("raw_images") - c("decorative_images"), F.lit(0))
-    )
-
-
-def refined_graphics(graphics: DataFrame, rules: DataFrame, pages: DataFrame, most_area: float = 0.05, band: float = 0.15) -> DataFrame:
-    """pages (of page_graphics) with confirmed decoration counted wherever it is small and near an edge; counts only grow."""
+    first = F.row_number().over(Window.partitionBy("doc_id", "fingerprint").orderBy("page_number", "ordinal"))
+    d = with_rules(graphics, **options).where("decorative").withColumn("_k", first).where("_k = 1")
+    return d.select(
+        "doc_id", "fingerprint", F.concat(F.lit("graphic-"), F.left("fingerprint", F.lit(12))).alias("graphic_id"), "occurrences", "pages_with_it",
+        F.round(c("pages_with_it") / F.greatest("page_count", F.lit(1)), 6).alias("page_ratio"), c("edge").alias("position"), *[f"m_{k}" for k in _SIDES],
+    )
+
+
+def page_graphics(graphics: DataFrame, most_area: float = 0.05, tolerance: float = 0.025, refined: bool = False, band: float = 0.15, **options) -> DataFrame:
+    """Images per page: all, decorative by the rules, and content. Graphics of one fingerprint count by the largest weight.
+
+    refined: a graphic that is decoration anywhere counts as such wherever it is small and near an edge; counts only grow.
+    """
     c = F.col
-    wide = with_geometry(graphics.drop("position", "area_ratio"), band)
-    known = rules.select("doc_id", "fingerprint", F.lit(True).alias("known")).distinct()
-    d = wide.join(known, ["doc_id", "fingerprint"], "left")
-    small = F.coalesce(c("known") & (c("position") != "interior") & (c("area_ratio") <= most_area), F.lit(False))
-    per = d.groupBy("doc_id", "page_number", "fingerprint").agg(F.max("image_weight").alias("w"), F.bool_or(small).alias("d"))
-    now = per.groupBy("doc_id", "page_number").agg(F.sum("w").alias("r"), F.coalesce(F.sum(F.when(c("d"), c("w"))), F.lit(0)).alias("k"))
-    merged = pages.join(now, ["doc_id", "page_number"], "left").withColumns({"_r": F.greatest("raw_images", "r"), "_k": F.greatest("decorative_images", "k")})
-    return merged.select("doc_id", "page_number", c("_r").alias("raw_images"), F.least("_k", "_r").alias("decorative_images"), F.greatest(c("_r") - c("_k"), F.lit(0)).alias("content_images"))
+    d = with_rules(graphics, most_area=most_area, tolerance=tolerance, **options)
+    match = c("decorative") & (c("area_ratio") <= most_area) & F.coalesce((c("position") == c("edge")) & _near(tolerance), F.lit(False))
+    wide = c("decorative") & (c("area_ratio") <= most_area) & (position(c("x0"), c("y0"), c("x1"), c("y1"), band) != "interior")
+    per = d.groupBy("doc_id", "fingerprint", "page_number").agg(F.max("image_weight").alias("w"), F.bool_or(match).alias("d"), F.bool_or(wide).alias("e"))
+    sums = per.groupBy("doc_id", "page_number").agg(F.sum("w").alias("raw_images"), *[F.coalesce(F.sum(F.when(c(k), c("w"))), F.lit(0)).alias(k) for k in ("d", "e")])
+    decorative = F.least(F.greatest("d", "e"), "raw_images") if refined else c("d")
+    return sums.select("doc_id", "page_number", "raw_images", decorative.alias("decorative_images")).withColumn("content_images", F.greatest(c("raw_images") - c("decorative_images"), F.lit(0)))

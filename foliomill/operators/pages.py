@@ -35,13 +35,17 @@ def cell_starts(line: Column) -> Column:
 
 
 def _line(line: Column) -> Column:
-    folded, trimmed = T.fold_upper(line), T.fold_upper(T.strip(line))
-    starts, numbers = cell_starts(line), F.regexp_count(line, F.lit(L.NUMBER))
-    words = T.word_count(line)
+    return _measured(F.struct(line.alias("text"), T.fold_upper(line).alias("folded")))
+
+
+def _measured(x: Column) -> Column:
+    """What a line (text, folded) shows. Folding comes in a step of its own, as a lambda's parts are evaluated wherever they stand."""
+    line, folded = x["text"], x["folded"]
+    trimmed = T.strip(folded)
+    prefixed = trimmed.rlike(L.LEGAL_PREFIX)
     return F.struct(
-        line.alias("text"), folded.alias("folded"), starts.alias("starts"), words.alias("words"), numbers.alias("numbers"), _title(T.fold_upper(T.squeeze(line))).alias("title"),
-        trimmed.rlike(L.LEGAL_PREFIX).alias("prefixed"), (trimmed.rlike(L.LEGAL_PREFIX) | trimmed.endswith(";")).alias("legal"),
-        line.rlike(L.COORDINATE_LINE).alias("coordinate"), folded.rlike(L.ZONE_CODE).alias("zone"), F.size(T.hits(folded, L.HEADERS)).alias("headers"),
+        line.alias("text"), folded.alias("folded"), cell_starts(line).alias("starts"), T.word_count(line).alias("words"), F.regexp_count(line, F.lit(L.NUMBER)).alias("numbers"), _title(T.squeeze(folded)).alias("title"),
+        prefixed.alias("prefixed"), (prefixed | trimmed.endswith(";")).alias("legal"), line.rlike(L.COORDINATE_LINE).alias("coordinate"), folded.rlike(L.ZONE_CODE).alias("zone"), F.size(T.hits(folded, L.HEADERS)).alias("headers"),
     )
 
 
@@ -54,14 +58,19 @@ def _compact(x: Column) -> Column:
 
 
 def _window(lines: Column, start: Column, width: int) -> Column:
-    """Rank of the header window of that width, or null if it is none."""
+    """A run of lines that may be a header: its text and place, or null where there is too little structure."""
     part = F.slice(lines, start + 1, width)
-    together = F.concat_ws(" ", F.transform(part, lambda x: x["folded"]))
-    hits = T.hits(together, L.HEADERS)
     gaps = F.aggregate(part, F.lit(0), lambda a, x: a + F.greatest(F.size(x["starts"]) - 1, F.lit(0)))
-    fits = (start + width <= F.size(lines)) & ~F.exists(part, lambda x: x["prefixed"])
-    rank = F.struct((F.size(hits) + F.size(T.hits(together, L.URBAN))).alias("hits"), gaps.alias("gaps"), (-start).alias("before"), F.lit(-width).alias("narrow"), hits.alias("headers"), T.hits(together, L.URBAN).alias("urban"))
-    return F.when(fits & (F.size(hits) >= 2) & (gaps >= 2), rank)
+    fits = (start + width <= F.size(lines)) & (gaps >= 2) & ~F.exists(part, lambda x: x["prefixed"])
+    return F.when(fits, F.struct(F.concat_ws(" ", F.transform(part, lambda x: x["folded"])).alias("text"), gaps.alias("gaps"), (-start).alias("before"), F.lit(-width).alias("narrow")))
+
+
+def _best_header(lines: Column, starts: Column) -> Column:
+    """The window of the most hits; then of more gaps, earlier, narrower. Each window's words are looked up once."""
+    windows = F.filter(F.flatten(F.transform(starts, lambda s: F.array(*[_window(lines, s, w) for w in (1, 2, 3)]))), lambda w: w.isNotNull())
+    looked = F.transform(windows, lambda w: F.struct(T.hits(w["text"], L.HEADERS).alias("headers"), T.hits(w["text"], L.URBAN).alias("urban"), w["gaps"].alias("gaps"), w["before"].alias("before"), w["narrow"].alias("narrow")))
+    ranked = F.transform(F.filter(looked, lambda w: F.size(w["headers"]) >= 2), lambda w: F.struct((F.size(w["headers"]) + F.size(w["urban"])).alias("hits"), w["gaps"].alias("gaps"), w["before"].alias("before"), w["narrow"].alias("narrow"), w["headers"].alias("headers"), w["urban"].alias("urban")))
+    return F.array_max(ranked)
 
 
 def assess_tables(pages: DataFrame, text: str = "text") -> DataFrame:
@@ -70,7 +79,8 @@ def assess_tables(pages: DataFrame, text: str = "text") -> DataFrame:
     Null and empty texts are prose; no text is cut short.
     """
     lines = F.filter(F.transform(T.split_lines(F.coalesce(F.col(text), F.lit(""))), T.rstrip), lambda x: x != "")
-    d = pages.withColumn("_l", F.transform(lines, _line))
+    pairs = F.transform(lines, lambda x: F.struct(x.alias("text"), T.fold_upper(x).alias("folded")))
+    d = pages.withColumn("_l", F.transform(pairs, _measured))
     one, n = F.col("_l"), F.size("_l")
     page = F.concat_ws("\n", F.transform(one, lambda x: x["folded"]))
     d = d.withColumns(
@@ -82,8 +92,7 @@ def assess_tables(pages: DataFrame, text: str = "text") -> DataFrame:
         }
     )
     starts = F.when(F.col("_n") >= 3, F.sequence(F.lit(0), F.col("_n") - 1)).otherwise(F.array().cast("array<int>"))
-    best = F.array_max(F.flatten(F.transform(starts, lambda s: F.array(*[_window(F.col("_l"), s, w) for w in (1, 2, 3)]))))
-    d = d.withColumn("_best", best)
+    d = d.withColumn("_best", _best_header(F.col("_l"), starts))
     head = -F.col("_best.before")
     stop = head - F.col("_best.narrow")
     d = d.withColumns({"_head": head, "_stop": stop, "_data": F.slice("_l", F.coalesce(stop, F.lit(0)) + 1, 45)})
@@ -204,11 +213,16 @@ def vector_grids(operations: DataFrame, *keys: str) -> DataFrame:
     counts = operations.groupBy(*keys).agg(
         F.count("*").cast("int").alias("rectangle_count"), F.count_if((h <= 2.5) & (w >= 20)).cast("int").alias("horizontal_lines"), F.count_if((w <= 2.5) & (h >= 8)).cast("int").alias("vertical_lines")
     )
-    n, a, b = F.col("rectangle_count"), F.col("horizontal_lines"), F.col("vertical_lines")
+    return counts.select(*keys, grid_evidence(F.col("rectangle_count"), F.col("horizontal_lines"), F.col("vertical_lines")).alias("g")).select(*keys, "g.*")
+
+
+def grid_evidence(n: Column, a: Column, b: Column) -> Column:
+    """Struct of what a number of rectangles, of thin horizontal and of thin vertical ones say of a grid."""
     found, strong = (n >= 10) & (a >= 4) & (b >= 3), (n >= 16) & (a >= 8) & (b >= 6)
     score = F.when(found, 3).otherwise(0) + F.when(strong, 3).otherwise(0) + F.floor(F.least(a, F.lit(20)) / 4) + F.floor(F.least(b, F.lit(20)) / 3)
-    return counts.select(
-        *keys, found.alias("detected"), strong.alias("strong"), score.cast("int").alias("score"), n, a, b, said((found, L.REASONS["grid"]), (strong, L.REASONS["strong_grid"])).alias("reasons")
+    return F.struct(
+        found.alias("detected"), strong.alias("strong"), score.cast("int").alias("score"), n.alias("rectangle_count"), a.alias("horizontal_lines"), b.alias("vertical_lines"),
+        said((found, L.REASONS["grid"]), (strong, L.REASONS["strong_grid"])).alias("reasons"),
     )
 
 
@@ -238,32 +252,87 @@ def merge_grid(table: Column, grid: Column, text: Column) -> Column:
 
 def legal_false_positive(text: Column, table: Column) -> Column:
     """Whether a table candidate is legal prose after all."""
-    marks = F.regexp_count(text, F.lit("(?iu)" + L.LEGAL_OCCURRENCE))
+    marks = F.regexp_count(text, F.lit("(?iu)" + L.LEGAL_MARKER))
     weak = table["classification"].isin("candidate", "mixed_candidate", "continuation_candidate") & (F.size(table["header_hits"]) <= 2) & (F.size(table["urban_parameter_hits"]) <= 1)
     return F.coalesce(~table["visual_grid_detected"] & (marks >= 3) & weak & ~table["content_profile"].isin("urban_matrix", "mixed_urban_matrix"), F.lit(False))
 
 
+def diagram_words(text: Column) -> Column:
+    return T.fold_upper(F.coalesce(text, F.lit(""))).rlike(L.DIAGRAM_WORDS)
+
+
+def table_words(text: Column) -> Column:
+    return T.fold_upper(F.coalesce(text, F.lit(""))).rlike(L.TABLE_WORDS)
+
+
 def raster_decision(h: Column, v: Column, crossings: Column, regions: Column, boxes: Column, area: Column, table_text: Column, diagram_text: Column, context: Column) -> Column:
-    """Class of a page image from the counts of its lines, crossings, regions and boxes."""
+    """Class of a page image from the counts of its lines, crossings, regions and boxes, with its score and reasons.
+
+    A diagram counts as detected too. A partial grid is a table only in context, and else stays latent evidence.
+    """
+    R = L.REASONS
     regular = (crossings / F.greatest(h + v, F.lit(1)) >= 1.15) & (crossings >= 8)
     whole = (h >= 4) & (v >= 3) & (crossings >= 6) & (area >= 0.04) & (regular | table_text)
     partial = (h >= 3) & (v >= 2) & (crossings >= 4) & (regions >= 2) & (area >= 0.02) & ~diagram_text
     strong = (h >= 8) & (v >= 6) & (crossings >= 20) & (area >= 0.08) & regular
     drawn = diagram_text | (~partial & (~regular | (crossings < F.greatest(F.lit(12), 4 * boxes))))
     diagram = (boxes >= 2) & (h + v >= 4) & area.between(0.008, 0.60) & drawn & ~strong
-    table = whole | (partial & context)
+    promoted = partial & context
+    table = whole | promoted
     is_diagram = diagram & (diagram_text | ~table)
-    kind = F.when(is_diagram, "diagram_candidate").when(table, "raster_table_candidate").otherwise("none")
-    return F.struct(kind.alias("classification"), (table & ~is_diagram).alias("detected"), (strong & table & ~is_diagram).alias("strong"), partial.alias("partial_grid_detected"), regular.alias("regular"))
+    is_table = table & ~is_diagram
+    kind = F.when(is_diagram, "diagram_candidate").when(is_table, "raster_table_candidate").otherwise("none")
+    step = lambda x, most, width: F.floor(F.least(x, F.lit(most)) / width)
+    table_score = F.lit(4) + step(h, 20, 4) + step(v, 20, 3) + step(crossings, 40, 8) + F.when(table_text, 2).otherwise(0) + F.when(strong, 4).otherwise(0)
+    score = F.when(is_diagram, F.lit(4) + F.least(boxes, F.lit(10)) + F.when(diagram_text, 3).otherwise(0)).when(is_table, table_score).otherwise(0)
+    why = F.when(strong, R["raster_strong"]).when(~whole, R["raster_context"]).otherwise(R["raster_cells"])
+    reasons = said((is_diagram & diagram_text, R["diagram_words"]), (is_diagram, R["boxes"]), (is_table, why), (~is_diagram & ~is_table & partial, R["raster_latent"]))
+    return F.struct(
+        kind.alias("classification"), (is_diagram | is_table).alias("detected"), (strong & is_table).alias("strong"), score.cast("int").alias("score"), partial.alias("partial_grid_detected"), promoted.alias("contextual_continuation"),
+        regular.alias("regular"), table_text.alias("table_text_evidence"), diagram_text.alias("diagram_text_evidence"), reasons.alias("reasons"),
+    )
 
 
 def map_visual(ink: Column, edges: Column, parts: Column) -> Column:
-    """Whether a page image is dense or varied enough for a map, or sparse enough for a cover."""
+    """Whether a page image is dense or varied enough for a map, or sparse enough for a cover; the reason is one of three."""
     dense, varied, full = (ink >= 0.045) & (edges >= 0.025), (ink >= 0.055) & (edges >= 0.012) & (parts >= 18), (ink >= 0.09) & (parts >= 12)
     complex_ = dense | varied | full
     cover = ~complex_ & ((ink <= 0.035) | ((parts <= 8) & (edges <= 0.012)) | ((ink <= 0.05) & (edges <= 0.010)))
-    reasons = said((dense, L.REASONS["dense"]), (varied | full, L.REASONS["diverse"]), (cover, L.REASONS["cover"]))
-    return F.struct(complex_.alias("visual_complexity"), cover.alias("cover_like"), reasons.alias("reasons"))
+    reasons = said((dense, L.REASONS["dense"]), (~dense & complex_, L.REASONS["diverse"]), (cover, L.REASONS["cover"]))
+    return F.struct(
+        complex_.alias("visual_complexity"), cover.alias("cover_like"), F.round(ink, 6).alias("ink_ratio"), F.round(edges, 6).alias("edge_ratio"), parts.alias("component_count"), reasons.alias("reasons")
+    )
+
+
+def confirmed_map(text: Column, images: Column, visual: Column) -> Column:
+    """map_class() of a page with the evidence of its image (map_visual): a sparse page that isn't confirmed is a cover."""
+    kind = map_class(text, F.greatest(F.coalesce(images, F.lit(0)), F.lit(1)), visual["visual_complexity"])
+    return F.when(visual["cover_like"] & (kind != "map_confirmed"), "map_cover").otherwise(kind)
+
+
+def ocr_evidence(pages: DataFrame, doc: str = "doc_id", page: str = "page_number") -> DataFrame:
+    """Pages with the raster decision after the second pass over their neighbours: a latent grid beside a table is a table.
+
+    pages: doc, page, text, and raster counts as of raster.metrics in a struct column ``m``; page_type and route of the diagnosis. Only pages of
+    route ocr have raster evidence. Adds raster (struct) and promoted. One window per document.
+    """
+    c = F.col
+    own = (c("route") == "ocr") & c("m").isNotNull()
+    m = c("m")
+
+    # what the decision looks at again and again are columns of their own
+    counts = {f"_{k}": F.coalesce(m[k], F.lit(0)) for k in ("horizontal_lines", "vertical_lines", "intersections", "closed_regions", "boxes", "area")}
+    helpers = [*counts, "_table_words", "_diagram_words"]
+
+    def decided(context: Column) -> Column:
+        return raster_decision(*[c(k) for k in helpers], context)
+
+    pages = pages.withColumns(counts | {"_table_words": table_words(c("text")), "_diagram_words": diagram_words(c("text"))})
+    d = pages.withColumn("_first", F.when(own, decided(F.lit(False))))
+    seed = c("page_type").isin("table", "table_candidate") | F.coalesce(c("_first.classification") == "raster_table_candidate", F.lit(False))
+    latent = F.coalesce(c("_first.partial_grid_detected") & ~c("_first.detected"), F.lit(False))
+    d = promote_by_context(d.withColumns({"_latent": latent, "_seed": seed}), doc, page, "_latent", "_seed")
+    return d.withColumn("raster", F.when(own, decided(c("promoted")))).drop("_first", "_latent", "_seed", *helpers)
 
 
 def promote_by_context(pages: DataFrame, doc: str = "doc_id", page: str = "page_number", latent: str = "latent", seed: str = "seed") -> DataFrame:

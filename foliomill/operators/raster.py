@@ -1,7 +1,7 @@
 """Pixel kernels for page images, in numpy. They count; classes are decided on columns (pages.raster_decision, pages.map_visual).
 
-Thresholding uses the mean of a 31-pixel box, and boxes are closed regions that fill their bounding rectangle; a contour
-library would give slightly other counts.
+Thresholding uses the mean of a 31-pixel box instead of a Gaussian one, edges are steep gradients, and closed regions are those that fill their
+bounding rectangle; a contour library would give slightly other counts.
 """
 
 from __future__ import annotations
@@ -87,27 +87,34 @@ def measure(rgb: np.ndarray) -> dict[str, float]:
     h, w = grey.shape
     dark = grey < _box_mean(grey, 31) - 15
     if h >= 200 and w >= 200:
-        a, b = int(h * 0.055), int(w * 0.035)
+        a, b = max(8, round(h * 0.055)), max(8, round(w * 0.035))
         dark[:a] = dark[h - a :] = False
         dark[:, :b] = dark[:, w - b :] = False
     across, down = _open(dark, max(20, w // 30)), _open(dark.T, max(12, h // 45)).T
-    lines = [components(x)[1] for x in (across, down)]
+    least = (max(12, w // 80), max(12, h // 100))
+    lines = [x[x[:, 0] >= n] for x, n in zip((components(across)[1], components(down)[1]), least)]
     crossings = components(across & down)[1]
+    crossings = crossings[crossings[:, 0] >= 2]
+    # closed rectangles: holes of the grid with the lines around them, and parts of it whose outline is a full rectangle
     grid = across | down
     holes = components(~grid, diagonal=False)[1]
-    inner = holes[(holes[:, 1] > 0) & (holes[:, 2] > 0) & (holes[:, 3] < h) & (holes[:, 4] < w) & (holes[:, 0] >= 60)] if len(holes) else holes
-    rectangle = inner[:, 0] / np.maximum((inner[:, 3] - inner[:, 1]) * (inner[:, 4] - inner[:, 2]), 1) > 0.95 if len(inner) else np.zeros(0, bool)
-    area = 0.0
-    if grid.any():
-        rows, columns = np.flatnonzero(grid.any(axis=1)), np.flatnonzero(grid.any(axis=0))
-        area = float((rows[-1] - rows[0] + 1) * (columns[-1] - columns[0] + 1) / (h * w))
-    core = grey[int(h * 0.05) : h - int(h * 0.05), int(w * 0.04) : w - int(w * 0.04)]
+    inner = holes[(holes[:, 1] > 0) & (holes[:, 2] > 0) & (holes[:, 3] < h) & (holes[:, 4] < w)]
+    tall, wide = inner[:, 3] - inner[:, 1], inner[:, 4] - inner[:, 2]
+    filled = inner[:, 0] > 0.95 * tall * wide
+    boxes = np.stack([tall[filled] + 2, wide[filled] + 2], axis=1)
+    label, parts = components(grid)
+    framed = [(d - a, e - b) for k, (_, a, b, d, e) in enumerate(parts, 1) if all((x == k).all() for x in (label[a, b:e], label[d - 1, b:e], label[a:d, b], label[a:d, e - 1]))]
+    boxes = np.concatenate([boxes, np.array(framed, np.int64).reshape(-1, 2)])
+    share = boxes[:, 0] * boxes[:, 1] / (h * w)
+    boxes, share = boxes[(share >= 0.0005) & (share <= 0.9)], share[(share >= 0.0005) & (share <= 0.9)]
+    area = float(min(share.sum(), 1.0))
+    core = grey[round(h * 0.05) : round(h * 0.95), round(w * 0.04) : round(w * 0.96)]
     ink = core <= 225
     gy, gx = np.gradient(core)
     spots = components(ink)[1]
     return {
-        "horizontal_lines": len(lines[0]), "vertical_lines": len(lines[1]), "intersections": len(crossings), "closed_regions": len(inner), "boxes": int(rectangle.sum()), "area": area,
-        "ink": float(ink.mean()), "edges": float((np.hypot(gx, gy) > 40).mean()), "components": int((spots[:, 0] >= max(8, 2e-5 * core.size)).sum()),
+        "horizontal_lines": len(lines[0]), "vertical_lines": len(lines[1]), "intersections": len(crossings), "closed_regions": len(boxes), "boxes": int(((boxes[:, 1] >= 0.04 * w) & (boxes[:, 0] >= 0.025 * h)).sum()), "area": area,
+        "ink": float(ink.mean()), "edges": float((np.hypot(gx, gy) > 40).mean()), "components": int((spots[:, 0] >= max(8, round(2e-5 * core.size))).sum()),
     }
 
 

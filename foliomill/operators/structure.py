@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import lexicon as L
-from ..functions import text as T
+from ..functions import metrics, text as T
 
 PAGE = ("doc_id", "page_number")
 
@@ -39,12 +39,16 @@ def read_tokens(tokens: DataFrame) -> DataFrame:
     return tokens.where(T.strip(F.col("text")) != "").withColumn("confidence", F.when(number >= 0, number))
 
 
+def _mean_confidence() -> Column:
+    return metrics.mean_to_thousandths(F.sum(metrics.millionths(F.col("confidence"))), F.count("confidence"))
+
+
 def token_lines(tokens: DataFrame) -> DataFrame:
     """One row per line: ordered text, type, mean confidence, count and extent."""
     c = F.col
     item = F.struct("left", "word_number", "text")
     lines = tokens.groupBy(*PAGE, "block_number", "paragraph_number", "line_number").agg(
-        F.array_sort(F.collect_list(item)).alias("items"), F.round(F.avg("confidence"), 3).alias("confidence"), F.count("*").cast("int").alias("tokens"),
+        F.array_sort(F.collect_list(item)).alias("items"), _mean_confidence().alias("confidence"), F.count("*").cast("int").alias("tokens"),
         F.min("left").alias("left"), F.min("top").alias("top"), F.max(c("left") + c("width")).alias("right"), F.max(c("top") + c("height")).alias("bottom"),
     )
     lines = lines.withColumn("text", join_tokens(F.transform("items", lambda x: x["text"]))).drop("items")
@@ -83,7 +87,7 @@ def blocks(lines: DataFrame) -> DataFrame:
     c = F.col
     item = F.struct("top", "left", "line_order", "text", "line_type", "confidence")
     d = lines.groupBy(*PAGE, "column_number", "block_number", "paragraph_number").agg(
-        F.array_sort(F.collect_list(item)).alias("lines"), F.round(F.avg("confidence"), 3).alias("confidence"), F.count("*").cast("int").alias("line_count"),
+        F.array_sort(F.collect_list(item)).alias("lines"), _mean_confidence().alias("confidence"), F.count("*").cast("int").alias("line_count"),
         F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"),
     )
     kinds = F.filter(F.transform("lines", lambda x: x["line_type"]), lambda k: k != "texto")

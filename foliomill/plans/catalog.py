@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import lexicon as L
-from ..functions import metrics, text as T
-from ..operators import batch, canary, graphics, pages, products, quality, raster, structure
-from ..sources import readers
+from ..functions import language, metrics, text as T
+from ..operators import batch, canary, conversion, diagnosis, graphics, pages, products, quality, raster, structure
+from ..sources import office, pdf, readers
 from . import lenses as V
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,7 +64,7 @@ q AS (SELECT lang, (n < 80 OR w < 15 OR CASE WHEN s > 0 THEN a / s ELSE 0 END <
 SELECT lang, CASE WHEN low THEN 'low' ELSE 'high' END AS quality, low AS requires_review, count(*) AS documents FROM q GROUP BY ALL
 """)
 def document_quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = V.view(spark, sf_dir, "documents").select("lang", quality.ocr_quality(c("text")).alias("q"))
+    d = quality.with_ocr_quality(V.view(spark, sf_dir, "documents", "lang", "text"), "q")
     return d.groupBy("lang", c("q.quality").alias("quality"), c("q.requires_review").alias("requires_review")).agg(F.count("*").alias("documents"))
 
 
@@ -74,7 +74,7 @@ l AS (SELECT doc_id, list_transform(string_split({_CLEAN}, chr(10)), lambda x: r
 SELECT doc_id, md5(regexp_replace({_STRIPPED.format("array_to_string(ls, chr(10))")}, '\\n{{3,}}', chr(10) || chr(10), 'g')) AS prose_md5 FROM l
 """)
 def prose_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = V.view(spark, sf_dir, "documents")
+    d = V.view(spark, sf_dir, "documents", "doc_id", "text")
     wide = F.concat(F.replace("text", F.lit(". "), F.lit(".   ")), F.lit("\n\n\n  x"))
     return d.select("doc_id", F.md5(T.prose(wide)).alias("prose_md5"))
 
@@ -95,19 +95,21 @@ def native_mode_arbitration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "selected_mode", "layout_character_count", "simple_character_count", "rotated_text", "warnings", F.md5("text").alias("text_md5"))
 
 
-@query("SELECT n.p_partkey, round(1.0::DOUBLE * levenshtein(m.p_name, n.p_name) / length(m.p_name), 9) AS cer FROM part n JOIN part m ON m.p_partkey = n.p_partkey - 1")
+# Every mark put in costs an edit, and so does every character left out: the distance is known without a table.
+@query("SELECT doc_id, round((length(text) - length(translate(text, 'ez', '')))::DOUBLE / length(text), 9) AS cer FROM documents WHERE text <> ''")
 def char_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = V.view(spark, sf_dir, "part")
-    before = p.select((c("p_partkey") + 1).alias("p_partkey"), c("p_name").alias("reference"))
-    return p.join(before, "p_partkey").select("p_partkey", F.round(metrics.char_error_rate(c("reference"), c("p_name")), 9).alias("cer"))
+    """Whole texts against themselves with one letter misread throughout and another lost."""
+    d = V.view(spark, sf_dir, "documents", "doc_id", "text").where("text <> ''")
+    return d.select("doc_id", F.round(metrics.char_error_rate(c("text"), F.translate("text", "ez", "☃")), 9).alias("cer"))
 
 
-@query("""WITH p AS (SELECT n.p_partkey, string_split(m.p_name, ' ') AS a, string_split(n.p_name, ' ') AS b FROM part n JOIN part m ON m.p_partkey = n.p_partkey - 1)
-SELECT p_partkey, round(1.0::DOUBLE * ((a[1] <> b[1])::INT + (a[2] <> b[2])::INT) / 2, 9) AS wer FROM p""")
+@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM documents)
+SELECT doc_id, round(len(list_filter(ws, lambda x: length(x) IN (3, 5)))::DOUBLE / len(ws), 9) AS wer FROM w WHERE len(ws) > 0""")
 def word_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = V.view(spark, sf_dir, "part")
-    before = p.select((c("p_partkey") + 1).alias("p_partkey"), c("p_name").alias("reference"))
-    return p.join(before, "p_partkey").select("p_partkey", F.round(metrics.word_error_rate(c("reference"), c("p_name")), 9).alias("wer"))
+    """Whole texts against themselves with words of 3 letters misread and those of 5 lost."""
+    d = V.view(spark, sf_dir, "documents", "doc_id", "text").withColumn("ws", metrics.words(c("text"))).where(F.size("ws") > 0)
+    read = F.transform(F.filter("ws", lambda x: F.length(x) != 5), lambda x: F.when(F.length(x) == 3, F.lit("☃")).otherwise(x))
+    return d.select("doc_id", F.round(metrics.word_error_rate(c("text"), F.array_join(read, " ")), 9).alias("wer"))
 
 
 # --- archives
@@ -122,7 +124,7 @@ o AS (SELECT f.*, CASE WHEN pdf THEN CASE WHEN one THEN substr(path, strpos(path
 t AS (SELECT *, row_number() OVER (PARTITION BY archive, pdf, lower(output_path) ORDER BY position) > 1 AS taken FROM o),
 e AS (SELECT *, CASE WHEN unsafe THEN 'rejected' WHEN NOT pdf THEN 'ignored' WHEN taken THEN 'failed' WHEN attributes <> 0 THEN 'rejected' WHEN ordinal % 5 = 0 THEN 'resumed' END AS early FROM t),
 h AS (SELECT *, first_value(path) OVER (PARTITION BY archive, early IS NULL, sha ORDER BY position) AS owner FROM e),
-plan AS (SELECT archive, member, output_path, coalesce(early, CASE WHEN owner <> path THEN 'duplicate' ELSE 'to_convert' END) AS status, CASE WHEN early IS NULL AND owner <> path THEN owner END AS duplicate_of, position::INTEGER AS position FROM h)
+plan AS (SELECT archive, member, output_path, coalesce(early, CASE WHEN owner <> path THEN 'duplicate' ELSE 'to_convert' END) AS status, CASE WHEN early IS NULL AND owner <> path THEN owner END AS duplicate_of, position::INTEGER AS position, CASE WHEN pdf THEN count(*) OVER (PARTITION BY archive, pdf)::INTEGER END AS selected FROM h)
 """
 
 
@@ -133,8 +135,8 @@ def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.plan_batch(m, old.dropDuplicates(["archive", "member"]))
 
 
-@query(_PLAN + """SELECT archive, count(position) AS pdf_count, count_if(status IN ('to_convert', 'resumed')) AS success_count, count_if(status IN ('rejected', 'failed')) AS failure_count, count_if(status = 'ignored') AS skipped_count,
-count_if(status = 'duplicate') AS duplicate_count, count_if(status = 'pending') AS pending_count, CASE WHEN count_if(status IN ('rejected', 'failed')) > 0 THEN 'completed_with_failures' ELSE 'completed' END AS final_status FROM plan GROUP BY archive""")
+@query(_PLAN + """SELECT archive, count(position) AS pdf_count, count_if(status IN ('success', 'resumed')) AS success_count, count_if(status = 'to_convert') AS to_convert_count, count_if(status IN ('rejected', 'failed')) AS failure_count, count_if(status = 'ignored') AS skipped_count,
+count_if(status = 'duplicate') AS duplicate_count, count_if(status = 'pending') AS pending_count, CASE WHEN count_if(status IN ('rejected', 'failed')) > 0 THEN 'completed_with_failures' WHEN count_if(status = 'to_convert') > 0 THEN 'running' ELSE 'completed' END AS final_status FROM plan GROUP BY archive""")
 def batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.batch_counts(batch_plan(spark, sf_dir))
 
@@ -150,16 +152,20 @@ def path_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.lens(spark, sf_dir, V.MEMBERS, "documents").select("ordinal", batch.is_unsafe(c("member")).alias("unsafe"))
 
 
-@query(f"SELECT ordinal, member AS path FROM ({V.MEMBERS}) WHERE member LIKE '%.txt'")
+@query(f"""WITH f AS ({V.FILES}), x AS (SELECT *, string_split(path, '/') AS parts, regexp_extract(string_split(path, '/')[-1], '.(\\.[^.]*)$', 1) AS ending FROM f)
+SELECT ordinal, path FROM x WHERE lower(ending) IN ('.md', '.csv', '.json', '.jsonl', '.txt', '.yaml', '.yml') AND NOT list_has_any(parts, ['ativos', '{batch.STAGING}', '__pycache__'])""")
 def analysis_package_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = V.lens(spark, sf_dir, V.MEMBERS, "documents")
-    return d.where(batch.is_packed(c("member"))).select("ordinal", c("member").alias("path"))
+    return V.lens(spark, sf_dir, V.FILES, "documents").where(batch.is_packed(c("path"))).select("ordinal", "path")
 
 
-@query(f"SELECT ordinal FROM ({V.MEMBERS}) WHERE ordinal % 5 <> 0")
+@query(f"""WITH m AS ({V.MEMBERS}), old AS (SELECT archive, ordinal, sha256(text) AS sha, CASE ordinal % 4 WHEN 0 THEN 'success' WHEN 1 THEN 'duplicate' WHEN 2 THEN 'failed' ELSE 'success' END AS status, CASE WHEN ordinal % 3 = 0 THEN 200 ELSE 300 END AS dpi FROM m WHERE ordinal % 5 <> 0)
+SELECT m.archive, m.ordinal FROM m LEFT JOIN old o ON o.archive = m.archive AND o.ordinal = m.ordinal AND o.sha = sha256(m.text) AND o.status IN ('success', 'duplicate') AND o.dpi = 300 WHERE o.ordinal IS NULL""")
 def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = V.lens(spark, sf_dir, V.MEMBERS, "documents")
-    return d.select("ordinal").join(d.where("ordinal % 5 = 0").select("ordinal"), "ordinal", "left_anti")
+    """Members that an earlier run didn't finish with the same content and resolution."""
+    m = V.lens(spark, sf_dir, V.MEMBERS, "documents").select("archive", "ordinal", F.sha2("text", 256).alias("sha256"))
+    status = F.element_at(F.array(*[F.lit(x) for x in ("success", "duplicate", "failed", "success")]), (c("ordinal") % 4 + 1).cast("int"))
+    old = m.where("ordinal % 5 <> 0").select("archive", "ordinal", "sha256", status.alias("status"), F.when(c("ordinal") % 3 == 0, 200).otherwise(300).alias("dpi"))
+    return m.join(old.where(batch.is_finished(300)), ["archive", "ordinal", "sha256"], "left_anti").select("archive", "ordinal")
 
 
 # --- tokens
@@ -167,7 +173,7 @@ def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TYPE = "CASE " + " ".join(f"WHEN {_has('u', p)} THEN '{k}'" for k, p in L.LINE_TYPES) + " ELSE 'texto' END"
 _TOKENS = f"tk AS (SELECT *, CASE WHEN confidence::DOUBLE >= 0 THEN confidence::DOUBLE END AS conf FROM ({V.TOKENS}) WHERE trim(txt) <> '')"
 _LINES = f"""{_TOKENS},
-g AS (SELECT doc_id, page_number, block_number, paragraph_number, line_number, list_transform(list_sort(list({{'a': lft, 'b': word_number, 'c': txt}})), lambda x: x.c) AS items, round(avg(conf), 3) AS confidence, count(*)::INTEGER AS tokens,
+g AS (SELECT doc_id, page_number, block_number, paragraph_number, line_number, list_transform(list_sort(list({{'a': lft, 'b': word_number, 'c': txt}})), lambda x: x.c) AS items, {metrics.mean_sql('sum(round(conf * 1000000)::BIGINT)', 'count(conf)')} AS confidence, count(*)::INTEGER AS tokens,
   min(lft) AS x_left, min(tp) AS y_top, max(lft + wd) AS x_right, max(tp + ht) AS y_bottom FROM tk GROUP BY ALL),
 j AS (SELECT * EXCLUDE (items), list_reduce(list_prepend('', items), lambda a, t: CASE WHEN a = '' THEN t WHEN t <> '-' AND (contains('{L.NO_SPACE_BEFORE}', left(t, 1)) OR contains('{L.NO_SPACE_AFTER}/', right(a, 1))) THEN a || t ELSE a || ' ' || t END) AS text FROM g),
 lines AS (SELECT * EXCLUDE (u), {_TYPE} AS line_type FROM (SELECT *, upper(translate(trim(text), 'º', 'o')) AS u FROM j))"""
@@ -199,7 +205,7 @@ def line_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_COLUMNS},
 bl AS (SELECT doc_id, page_number, column_number, block_number, paragraph_number, string_agg(text, chr(10) ORDER BY y_top, x_left, line_order) AS text, coalesce(first(line_type ORDER BY y_top, x_left, line_order) FILTER (line_type <> 'texto'), 'texto') AS block_type,
-  round(avg(confidence), 3) AS confidence, count(*)::INTEGER AS line_count, min(x_left) AS x_left, min(y_top) AS y_top, max(x_right) AS x_right, max(y_bottom) AS y_bottom FROM placed GROUP BY ALL)
+  {metrics.mean_sql('sum(round(confidence * 1000000)::BIGINT)', 'count(confidence)')} AS confidence, count(*)::INTEGER AS line_count, min(x_left) AS x_left, min(y_top) AS y_top, max(x_right) AS x_right, max(y_bottom) AS y_bottom FROM placed GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY y_top, column_number, x_left, block_number, paragraph_number)::INTEGER AS block_order FROM bl""")
 def token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = structure.assign_columns(structure.token_lines(structure.read_tokens(V.tokens(spark, sf_dir))))
@@ -211,15 +217,15 @@ def ocr_token_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.read_tokens(V.tokens(spark, sf_dir)).groupBy("doc_id", "page_number").agg(F.count("*").alias("tokens"), F.count("confidence").alias("confident"))
 
 
-@query(f"""WITH {_LINES}, pg AS (SELECT doc_id, page_number, string_agg(text, ' ' ORDER BY line_number, block_number) AS t, list(confidence) FILTER (confidence IS NOT NULL) AS cs FROM lines GROUP BY ALL),
-q AS (SELECT doc_id, page_number, length(t) AS n, {_n("t", "[A-Za-zÀ-ÖØ-öø-ÿ0-9]+")} AS w, length(replace(t, ' ', '')) AS s, length(regexp_replace(t, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS a, round(list_avg(cs), 3) AS mc FROM pg),
-z AS (SELECT *, n < 80 OR w < 15 OR (CASE WHEN s > 0 THEN a / s ELSE 0 END) < 0.6 OR coalesce(mc < 55, false) AS low FROM q)
-SELECT doc_id, page_number, w::INTEGER AS word_count, mc AS mean_confidence, CASE WHEN low THEN 'low' WHEN mc < 75 THEN 'medium' ELSE 'high' END AS quality FROM z""")
+@query(f"""WITH {_LINES}, pg AS (SELECT doc_id, page_number, string_agg(text, ' ' ORDER BY line_number, block_number) AS t, sum(round(confidence * 1000000)::BIGINT) AS total, count(confidence) AS cn FROM lines GROUP BY ALL),
+q AS (SELECT doc_id, page_number, length(t) AS n, {_n("t", "[A-Za-zÀ-ÖØ-öø-ÿ0-9]+")} AS w, length(replace(t, ' ', '')) AS s, length(regexp_replace(t, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS a, {metrics.mean_sql('total', 'cn')} AS mc, total / (cn * 1000000) AS exact FROM pg),
+z AS (SELECT *, n < 80 OR w < 15 OR (CASE WHEN s > 0 THEN a / s ELSE 0 END) < 0.6 OR coalesce(exact < 55, false) AS low FROM q)
+SELECT doc_id, page_number, w::INTEGER AS word_count, mc AS mean_confidence, CASE WHEN low THEN 'low' WHEN exact < 75 THEN 'medium' ELSE 'high' END AS quality FROM z""")
 def ocr_page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = structure.token_lines(structure.read_tokens(V.tokens(spark, sf_dir)))
     ordered = F.array_sort(F.collect_list(F.struct("line_number", "block_number", "text")))
     p = lines.groupBy("doc_id", "page_number").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("text"), F.collect_list("confidence").alias("confidences"))
-    return p.select("doc_id", "page_number", quality.ocr_quality(c("text"), c("confidences")).alias("q")).select("doc_id", "page_number", "q.word_count", "q.mean_confidence", "q.quality")
+    return quality.with_ocr_quality(p, "q", "text", "confidences").select("doc_id", "page_number", "q.word_count", "q.mean_confidence", "q.quality")
 
 
 _MARKS = ["TITULO I ", "Capítulo 2 ", "SUBSEÇÃO IV ", "Seção 1 ", "Art. 5º ", "§ 1º ", "IV - ", "b) ", "3. ", ""]
@@ -229,7 +235,7 @@ _MARKS = ["TITULO I ", "Capítulo 2 ", "SUBSEÇÃO IV ", "Seção 1 ", "Art. 5º
 m AS (SELECT ([{", ".join(_q(m) for m in _MARKS)}])[pos % 10 + 1] || line AS line FROM l), f AS (SELECT upper(translate(strip_accents(trim(line)), 'ºª', 'oa')) AS u FROM m)
 SELECT {_TYPE} AS line_type, count(*) AS lines FROM f GROUP BY ALL""")
 def line_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = V.view(spark, sf_dir, "documents").select(F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    l = V.view(spark, sf_dir, "documents", "text").select(F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     marked = F.concat(F.get(F.array(*[F.lit(m) for m in _MARKS]), c("pos") % 10), c("line"))
     return l.select(structure.line_type(marked).alias("line_type")).groupBy("line_type").agg(F.count("*").alias("lines"))
 
@@ -271,15 +277,12 @@ def repeated_graphics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_PAGE_GRAPHICS} SELECT doc_id, page_number, raw_images, decorative_images, greatest(raw_images - decorative_images, 0) AS content_images FROM pg")
 def page_graphics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _graphics(spark, sf_dir)
-    return graphics.page_graphics(g, graphics.repeated_graphics(g))
+    return graphics.page_graphics(_graphics(spark, sf_dir))
 
 
 @query(f"WITH {_PAGE_GRAPHICS} SELECT doc_id, page_number, raw_images, least(greatest(decorative_images, more), raw_images) AS decorative_images, greatest(raw_images - greatest(decorative_images, more), 0) AS content_images FROM pg")
 def graphics_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _graphics(spark, sf_dir)
-    rules = graphics.repeated_graphics(g)
-    return graphics.refined_graphics(g, rules, graphics.page_graphics(g, rules))
+    return graphics.page_graphics(_graphics(spark, sf_dir), refined=True)
 
 
 # --- classifiers
@@ -305,12 +308,76 @@ def table_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+def _hits(column: str, patterns: dict[str, str]) -> str:
+    return _all(*[(_has(column, p), k) for k, p in patterns.items()])
+
+
+_WHY = L.REASONS
+_TITLE_SQL = "length({0}) <= 220 AND NOT " + _has("{0}", "@P") + " AND (" + " OR ".join(_has("{0}", f"@{k}") for k in range(3)) + ")"
+for _k, _p in (("@P", L.LEGAL_PREFIX), ("@0", L.TITLE_TABLE), ("@1", L.TITLE_ANNEX), ("@2", L.TITLE_NOMINAL)):
+    _TITLE_SQL = _TITLE_SQL.replace(_k, _p.replace("'", "''").replace("{", "{{").replace("}", "}}"))
+_MANY, _FEW = "len(starts) >= 3", "len(starts) < 3"
+_COMPACT = "len(starts) >= 3 AND words <= 24 AND (numbers >= 2 OR zone)"
+_NONE = "[]::VARCHAR[]"
+_POINTS = [
+    ("title", 3, "title"), ("nh >= 3", 3, "headers"), ("nh = 2 AND vocabulary", 2, "special"), ("r >= 4", 2, "rows"), ("columns_", 2, "columns"), ("num >= 2", 1, "numeric"), ("cmp >= 3", 2, "compact"), ("vocabulary", 3, "matrix"),
+    ("zones >= 2", 2, "zones"), ("lr >= 0.30", -4, "legal"), ("pr >= 0.30", -2, "prose"),
+]
+_TABLES = f"""tl0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM ({V.LAW_PAGES})),
+tl1 AS (SELECT doc_id, rtrim(line) AS line, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM tl0 WHERE rtrim(line) <> ''),
+tl2 AS (SELECT *, upper(line) AS u, trim(upper(line)) AS t, trim(regexp_replace(upper(line), '\\s+', ' ', 'g')) AS sq, regexp_extract_all(line, ' +|[^ ]+(?: [^ ]+)*') AS parts FROM tl1),
+tl AS (SELECT doc_id, k, line, u, list_filter(list_transform(range(1, len(parts) + 1), lambda j: CASE WHEN NOT starts_with(parts[j], ' ') THEN length(array_to_string(parts[1:j - 1], '')) END), lambda x: x IS NOT NULL) AS starts,
+  {_n("line", "[^ ]+")} AS words, {_n("line", L.NUMBER)} AS numbers, {_TITLE_SQL.format("sq")} AS title, {_has("t", L.LEGAL_PREFIX)} AS prefixed, {_has("t", L.LEGAL_PREFIX)} OR ends_with(t, ';') AS legal,
+  {_has("line", L.COORDINATE_LINE)} AS coordinate, {_has("u", L.ZONE_CODE)} AS zone, len({_hits("u", L.HEADERS)}) AS headers FROM tl2),
+tp0 AS (SELECT doc_id, count(*) AS n, count_if(coordinate) AS coords, count_if(legal) AS legals, count_if({_MANY}) AS multi, count_if({_COMPACT}) AS compacts, count_if({_MANY} AND numbers >= 2) AS numerics, bool_or(title AND k < 8) AS titled,
+  bool_or({_MANY} AND headers >= 2) AS signed, string_agg(u, chr(10) ORDER BY k) AS page FROM tl GROUP BY doc_id),
+tp AS (SELECT *, {_n("page", L.ZONE_CODE)} AS zones, {_hits("page", L.URBAN)} AS urban, {_has("page", L.TITLE_TABLE)} OR {_has("page", L.TITLE_ANNEX)} AS opens FROM tp0),
+tw AS (SELECT a.doc_id, a.k AS s, w, string_agg(b.u, ' ' ORDER BY b.k) AS t, sum(greatest(len(b.starts) - 1, 0)) AS gaps FROM tl a CROSS JOIN (VALUES (1), (2), (3)) v(w) JOIN tl b ON b.doc_id = a.doc_id AND b.k >= a.k AND b.k < a.k + w
+  GROUP BY a.doc_id, a.k, w HAVING count(*) = w AND NOT bool_or(b.prefixed)),
+th AS (SELECT *, {_hits("t", L.HEADERS)} AS hh, {_hits("t", L.URBAN)} AS hu FROM tw WHERE gaps >= 2),
+tb AS (SELECT *, s + w AS stop FROM th WHERE len(hh) >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY len(hh) + len(hu) DESC, gaps DESC, s, w) = 1),
+td AS (SELECT tl.*, NOT legal AND {_MANY} AS is_row FROM tl JOIN tb USING (doc_id) WHERE k >= stop AND k < stop + 45),
+ta AS (SELECT doc_id, count(*) AS m, count_if(legal) AS legal_rows, count_if(NOT legal AND {_FEW} AND words >= 14) AS proses, count_if(is_row) AS r, count_if(is_row AND numbers >= 1) AS num, count_if(is_row AND {_COMPACT}) AS cmp FROM td GROUP BY doc_id),
+tk AS (SELECT doc_id, bucket, count(*) AS n FROM (SELECT doc_id, unnest(list_distinct(list_transform(starts, lambda p: round_even(p / 4, 0)))) AS bucket FROM td WHERE is_row) GROUP BY ALL),
+ts AS (SELECT doc_id, count_if(tk.n >= greatest(3, ceil(ta.r * 0.35::DOUBLE))) AS stable FROM tk JOIN ta USING (doc_id) GROUP BY doc_id),
+tt AS (SELECT tb.doc_id, bool_or(title) AS near FROM tb JOIN tl ON tl.doc_id = tb.doc_id AND k >= s - 5 AND k < stop GROUP BY tb.doc_id),
+t1 AS (SELECT tp.*, tb.s AS head, tb.stop, hh, len(hh) AS nh, titled OR coalesce(near, false) AS title, list_sort(list_distinct(list_concat(urban, coalesce(hu, {_NONE})))) AS page_urban, coalesce(legal_rows, 0) / greatest(coalesce(m, 0), 1) AS lr,
+  coalesce(proses, 0) / greatest(coalesce(m, 0), 1) AS pr, coalesce(r, 0) AS r, coalesce(num, 0) AS num, coalesce(cmp, 0) AS cmp, coalesce(stable, 0) AS stable, legals / greatest(n, 1) AS ratio
+  FROM tp LEFT JOIN tb USING (doc_id) LEFT JOIN ta USING (doc_id) LEFT JOIN ts USING (doc_id) LEFT JOIN tt USING (doc_id)),
+t2 AS (SELECT *, stable BETWEEN 2 AND 14 AS columns_, len(page_urban) >= 4 OR (list_contains(hh, 'territorial') AND list_contains(hh, 'uso') AND len(page_urban) >= 2) AS vocabulary FROM t1),
+t3 AS (SELECT *, vocabulary AND r >= 3 AND cmp >= 2 AND (zones >= 1 OR num >= 3) AND lr <= 0.30 AS strong, title AND nh >= 3 AND r >= 4 AND num >= 3 AND lr <= 0.20 AND pr <= 0.25 AS listing FROM t2),
+t4 AS (SELECT *, r >= 3 AND (columns_ OR strong OR listing OR (multi >= 5 AND zones >= 2)) AND lr <= 0.35 AND pr <= 0.35 AND (title OR num >= 2 OR strong) AS cand FROM t3),
+t5 AS (SELECT *, cand AND (head >= 10 OR pr > 0.20) AS mixed, cand AND (listing OR (r >= 4 AND cmp >= 3 AND lr <= 0.20 AND pr <= 0.25 AND (title OR nh >= 3 OR strong))) AS conf FROM t4),
+t6 AS (SELECT *, CASE WHEN n < 3 THEN 'short' WHEN coords >= greatest(4, floor(n / 3)) AND NOT opens THEN 'coordinates' WHEN compacts >= 3 AND zones >= 2 AND (len(urban) >= 2 OR compacts >= 4) AND ratio <= 0.25 AND NOT titled AND NOT signed THEN 'more'
+  WHEN head IS NULL THEN 'empty' ELSE 'full' END AS kind FROM t5),
+tables AS (SELECT doc_id, CASE kind WHEN 'more' THEN 'continuation_candidate' WHEN 'full' THEN CASE WHEN conf AND NOT mixed THEN 'confirmed' WHEN mixed THEN 'mixed_candidate' WHEN cand THEN 'candidate' ELSE 'not_table' END ELSE 'not_table' END AS classification,
+  kind = 'full' AND conf AND NOT mixed AS suspected, (CASE kind WHEN 'more' THEN 7 WHEN 'full' THEN {" + ".join(f"CASE WHEN {k} THEN {v} ELSE 0 END" for k, v, _ in _POINTS)} ELSE 0 END)::INTEGER AS score,
+  (CASE kind WHEN 'more' THEN multi WHEN 'full' THEN r ELSE 0 END)::INTEGER AS row_count, (CASE kind WHEN 'full' THEN stable ELSE 0 END)::INTEGER AS stable_columns, CASE kind WHEN 'full' THEN hh ELSE {_NONE} END AS header_hits,
+  CASE kind WHEN 'more' THEN [{_q(_WHY["continuation"])}] WHEN 'full' THEN {_all(*[(k, _WHY[w]) for k, _, w in _POINTS])} ELSE {_NONE} END AS reasons, CASE kind WHEN 'full' THEN (head + 1)::INTEGER END AS header_line_index,
+  CASE kind WHEN 'more' THEN round_even(ratio, 4) WHEN 'full' THEN round_even(lr, 4) ELSE 0::DOUBLE END AS legal_list_ratio, CASE kind WHEN 'full' THEN round_even(pr, 4) ELSE 0::DOUBLE END AS prose_ratio,
+  (CASE kind WHEN 'more' THEN numerics WHEN 'full' THEN num ELSE 0 END)::INTEGER AS numeric_rows, (CASE kind WHEN 'more' THEN compacts WHEN 'full' THEN cmp ELSE 0 END)::INTEGER AS compact_value_rows,
+  (CASE WHEN kind IN ('more', 'full', 'coordinates') THEN multi ELSE 0 END)::INTEGER AS multi_column_lines, CASE kind WHEN 'more' THEN urban WHEN 'full' THEN page_urban ELSE {_NONE} END AS urban_parameter_hits,
+  (CASE WHEN kind IN ('more', 'full') THEN zones ELSE 0 END)::INTEGER AS zone_code_count,
+  CASE kind WHEN 'short' THEN 'prose' WHEN 'coordinates' THEN 'coordinates' WHEN 'more' THEN 'urban_matrix_continuation' WHEN 'empty' THEN CASE WHEN legals >= n * 0.3 THEN 'legal_list' ELSE 'prose' END
+  ELSE CASE WHEN mixed THEN 'mixed_urban_matrix' WHEN vocabulary THEN 'urban_matrix' ELSE 'generic_table' END END AS content_profile FROM t6)"""
+
+
+@query(f"WITH {_TABLES} SELECT * FROM tables")
 def table_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.assess_tables(V.law_pages(spark, sf_dir)).select("doc_id", "table.*")
 
 
-@query()
+_PRESENT = " + ".join(f"{_has('u', p)}::INT" for p in L.LEGAL_PRESENCE)
+
+
+@query(f"""WITH {_TABLES}, {_GRID}, px AS (SELECT doc_id, text, upper(text) AS u FROM ({V.LAW_PAGES})),
+mg AS (SELECT t.*, coalesce(g.detected, false) AS found, coalesce((g.detected::INT * 3 + g.strong::INT * 3 + least(g.horizontal_lines, 20) // 4 + least(g.vertical_lines, 20) // 3), 0) AS gscore, g.detected AS gd, g.strong AS gs, px.text AS text, {_PRESENT} AS present FROM tables t JOIN px USING (doc_id) LEFT JOIN grid g USING (doc_id)),
+mh AS (SELECT *, found AND classification = 'not_table' AS visual, NOT found AND classification = 'candidate' AND content_profile = 'generic_table' AND legal_list_ratio >= 0.20 AND len(header_hits) <= 2 AND NOT list_contains(reasons, {_q(_WHY["title"])}) AND present >= 3 AS prose FROM mg),
+mi AS (SELECT doc_id, CASE WHEN visual THEN 'visual_candidate' WHEN prose THEN 'not_table' ELSE classification END AS classification, (score + CASE WHEN visual THEN gscore ELSE 0 END)::INTEGER AS score,
+  CASE WHEN visual THEN 'visual_grid' WHEN prose THEN 'legal_amendment' ELSE content_profile END AS content_profile, list_concat(reasons, list_concat({_all(("coalesce(gd, false)", _WHY["grid"]), ("coalesce(gs, false)", _WHY["strong_grid"]))}, CASE WHEN prose THEN [{_q(_WHY["amendment"])}] ELSE {_NONE} END)) AS reasons,
+  header_hits, urban_parameter_hits, found, text FROM mh)
+SELECT doc_id, classification, score, content_profile, reasons, NOT found AND {_n("text", "(?i)" + L.LEGAL_MARKER)} >= 3 AND classification IN ('candidate', 'mixed_candidate', 'continuation_candidate') AND len(header_hits) <= 2 AND len(urban_parameter_hits) <= 1
+AND content_profile NOT IN ('urban_matrix', 'mixed_urban_matrix') AS false_positive FROM mi""")
 def table_vector_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     grids = pages.vector_grids(V.lens(spark, sf_dir, V.VECTORS, "lineitem"), "doc_id")
     p = pages.assess_tables(V.law_pages(spark, sf_dir)).join(grids.select("doc_id", F.struct("detected", "strong", "score", "rectangle_count", "horizontal_lines", "vertical_lines", "reasons").alias("grid")), "doc_id", "left")
@@ -329,7 +396,8 @@ def coordinate_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.law_pages(spark, sf_dir).select("doc_id", pages.coordinates(c("text")).alias("x")).select("doc_id", "x.detected", "x.score", "x.pair_count", "x.numeric_coordinate_count", "x.keyword_hits")
 
 
-@query()
+@query(f"""WITH {_TABLES}, {_COORD} SELECT t.doc_id, detected, detected AND doc_id % 9 <> 0 AND NOT (classification = 'confirmed' AND stable_columns >= 3 AND (len(header_hits) >= 2 OR len(urban_parameter_hits) >= 2 OR row_count >= 4)) AS coordinate_register
+FROM tables t JOIN cd USING (doc_id)""")
 def coordinate_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pages.assess_tables(V.law_pages(spark, sf_dir)).withColumn("x", pages.coordinates(c("text")))
     return p.select("doc_id", "x.detected", pages.is_coordinate_register(c("x"), c("table"), c("doc_id") % 9 == 0).alias("coordinate_register"))
@@ -345,7 +413,12 @@ def map_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.law_pages(spark, sf_dir).select("doc_id", pages.map_class(c("text"), c("doc_id") % 3, c("doc_id") % 5 == 0).alias("map_class"))
 
 
-@query()
+_TRIM_MARKS = "regexp_replace(regexp_replace({0}, '^[ .;:-]+', ''), '[ .;:-]+$', '')"
+
+
+@query(f"""WITH x AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda l: {_squeeze("l")}), lambda l: l <> '') AS ls FROM ({V.LAW_PAGES})),
+y AS (SELECT doc_id, list_filter(list_transform(ls, lambda l: regexp_extract(l, {_q("(?i)" + L.MAP_TITLE)})), lambda l: l <> '')[1] AS named, left(list_filter(ls, lambda l: {_has("l", "(?i)" + L.SPATIAL)})[1], 160) AS placed, left(list_filter(ls, lambda l: {_TITLE_SQL.format("upper(l)")})[1], 180) AS tabled FROM x)
+SELECT doc_id, coalesce({_TRIM_MARKS.format("named")}, {_TRIM_MARKS.format("placed")}, 'Mapa da página ' || doc_id) AS map_title, coalesce({_TRIM_MARKS.format("tabled")}, 'Tabela ou quadro da página ' || doc_id) AS table_title FROM y""")
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.law_pages(spark, sf_dir).select("doc_id", pages.map_title(c("text"), c("doc_id")).alias("map_title"), pages.table_title(c("text"), c("doc_id")).alias("table_title"))
 
@@ -353,7 +426,12 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RASTER = f"""rp AS (SELECT *, (crossings / greatest(h + v, 1) >= 1.15 AND crossings >= 8) AS regular, priority LIKE '1%' AS tt, priority LIKE '2%' AS dt, priority LIKE '3%' AS cx FROM ({V.PAGES})),
 rd AS (SELECT *, h >= 4 AND v >= 3 AND crossings >= 6 AND area >= 0.04 AND (regular OR tt) AS whole, h >= 3 AND v >= 2 AND crossings >= 4 AND regions >= 2 AND area >= 0.02 AND NOT dt AS partial, h >= 8 AND v >= 6 AND crossings >= 20 AND area >= 0.08 AND regular AS strong FROM rp),
 rt AS (SELECT *, whole OR (partial AND cx) AS tbl, boxes >= 2 AND h + v >= 4 AND area >= 0.008 AND area <= 0.6 AND (dt OR (NOT partial AND (NOT regular OR crossings < greatest(12, 4 * boxes)))) AND NOT strong AS dia FROM rd),
-raster AS (SELECT doc_id, page_number, CASE WHEN dia AND (dt OR NOT tbl) THEN 'diagram_candidate' WHEN tbl THEN 'raster_table_candidate' ELSE 'none' END AS classification, tbl AND NOT (dia AND (dt OR NOT tbl)) AS detected, strong AND tbl AND NOT (dia AND (dt OR NOT tbl)) AS strong, partial AS partial_grid_detected, regular FROM rt)"""
+ru AS (SELECT *, dia AND (dt OR NOT tbl) AS isd, tbl AND NOT (dia AND (dt OR NOT tbl)) AS ist FROM rt),
+raster AS (SELECT doc_id, page_number, CASE WHEN isd THEN 'diagram_candidate' WHEN ist THEN 'raster_table_candidate' ELSE 'none' END AS classification, isd OR ist AS detected, strong AND ist AS strong,
+  (CASE WHEN isd THEN 4 + least(boxes, 10) + dt::INT * 3 WHEN ist THEN 4 + least(h, 20) // 4 + least(v, 20) // 3 + least(crossings, 40) // 8 + tt::INT * 2 + strong::INT * 4 ELSE 0 END)::INTEGER AS score, partial AS partial_grid_detected, partial AND cx AS contextual_continuation,
+  regular, tt AS table_text_evidence, dt AS diagram_text_evidence,
+  list_filter([CASE WHEN isd AND dt THEN {_q(L.REASONS["diagram_words"])} END, CASE WHEN isd THEN {_q(L.REASONS["boxes"])} END, CASE WHEN ist THEN CASE WHEN strong THEN {_q(L.REASONS["raster_strong"])} WHEN NOT whole THEN {_q(L.REASONS["raster_context"])} ELSE {_q(L.REASONS["raster_cells"])} END END,
+  CASE WHEN NOT isd AND NOT ist AND partial THEN {_q(L.REASONS["raster_latent"])} END], lambda x: x IS NOT NULL) AS reasons FROM ru)"""
 
 
 def _raster_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,11 +449,11 @@ _MV = f"""mv AS (SELECT doc_id, page_number, h / 100e0 AS ink, v / 300e0 AS edge
 mw AS (SELECT *, ink >= 0.045 AND edges >= 0.025 AS dense, (ink >= 0.055 AND edges >= 0.012 AND parts >= 18) OR (ink >= 0.09 AND parts >= 12) AS varied FROM mv)"""
 
 
-@query(f"WITH {_MV} SELECT doc_id, page_number, dense OR varied AS visual_complexity, NOT (dense OR varied) AND (ink <= 0.035 OR (parts <= 8 AND edges <= 0.012) OR (ink <= 0.05 AND edges <= 0.01)) AS cover_like FROM mw")
+@query(f"WITH {_MV} SELECT doc_id, page_number, dense OR varied AS visual_complexity, NOT (dense OR varied) AND (ink <= 0.035 OR (parts <= 8 AND edges <= 0.012) OR (ink <= 0.05 AND edges <= 0.01)) AS cover_like, {_all(("dense", L.REASONS["dense"]), ("varied AND NOT dense", L.REASONS["diverse"]), ("NOT (dense OR varied) AND (ink <= 0.035 OR (parts <= 8 AND edges <= 0.012) OR (ink <= 0.05 AND edges <= 0.01))", L.REASONS["cover"]))} AS reasons FROM mw")
 def map_visual_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = V.lens(spark, sf_dir, V.PAGES, "orders")
     m = pages.map_visual(c("h") / F.lit(100.0), c("v") / F.lit(300.0), c("crossings"))
-    return p.select("doc_id", "page_number", m.alias("m")).select("doc_id", "page_number", "m.visual_complexity", "m.cover_like")
+    return p.select("doc_id", "page_number", m.alias("m")).select("doc_id", "page_number", "m.visual_complexity", "m.cover_like", "m.reasons")
 
 
 @query()
@@ -471,7 +549,36 @@ def page_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _products(spark, sf_dir).select("doc_id", "page_number", "product")
 
 
-@query()
+_N2, _P = "chr(10) || chr(10)", "page_number::VARCHAR"
+
+
+def _head(*fields: tuple[str, str]) -> str:
+    return f"'<!-- pagina_original: ' || {_P}" + "".join(f" || '; {k}: ' || {v}" for k, v in fields) + f" || ' -->' || {_N2} || '## Página ' || {_P}"
+
+
+_FENCE = "'```text' || chr(10) || {0} || chr(10) || '```' || chr(10)"
+_REVIEW = ("revisao", "'sim'")
+_IMG = "'](<' || img || '>)'"
+_LAID, _PROSE = "'Texto  da  pagina ' || priority", "'Texto da pagina ' || priority"
+_NOTE = {k: _q(v) for k, v in products.NOTICES.items()}
+
+
+def _table_sql(sort: str, source: str) -> str:
+    note = f"'> **Revisão estrutural necessária:** estrutura tabular {sort} identificada em fonte {source}. O texto linear e a imagem foram preservados; as relações entre linhas e colunas devem ser conferidas.'"
+    top = _head(("tipo", f"'tabela_{sort}'"), ("origem", f"'{source}'"), ("rota", "'structured:preservacao'"), _REVIEW)
+    return f"{top} || ' — Mapa [' || k || ']' || {_N2} || {note} || {_N2} || '![Página tabular ' || {_P} || {_IMG} || {_N2} || {_FENCE.format(_LAID)}"
+
+
+@query(f"""WITH {_PRODUCT}, ck AS (SELECT *, printf('pagina_%04d_pagina.png', page_number) AS img FROM pk),
+ch AS (SELECT doc_id, page_number, CASE product
+WHEN 'visual' THEN {_head(("tipo", "page_type"), ("rota", "'imagem+texto:layout'"), _REVIEW)} || ' — Mapa [' || k || ']' || {_N2} || '> Conteudo visual.' || {_N2} || '![Mapa (' || k || ')' || {_IMG} || {_N2} || '> ' || {_NOTE["visual"]} || {_N2} || {_FENCE.format(_PROSE)}
+WHEN 'table' THEN {_table_sql("confirmada", "nativa/vetorial")} WHEN 'table_candidate' THEN {_table_sql("candidata", "nativa/vetorial")} WHEN 'raster_table' THEN {_table_sql("confirmada", "raster")}
+WHEN 'coordinates' THEN {_head(("tipo", "'coordinate_register'"), ("rota", "'structured:preservacao'"), _REVIEW)} || ' — Registro de coordenadas' || {_N2} || '> ' || {_NOTE["coordinates"]} || {_N2} || '![Registro de coordenadas da página ' || {_P} || {_IMG} || {_N2} || {_FENCE.format(_LAID)}
+WHEN 'ocr_review' THEN {_head(("tipo", "'ocr_review'"), ("qualidade", "'low'"), ("rota", "'ocr:tesseract+pdfium'"), _REVIEW)} || ' — OCR com revisão necessária' || {_N2} || '> ' || {_NOTE["ocr"]} || {_N2} || '![Página ' || {_P} || ' para revisão de OCR' || {_IMG} || {_N2} || {_FENCE.format(_PROSE)}
+WHEN 'decorative' THEN {_head(("tipo", "page_type"), ("rota", "'decorative'"), ("revisao", "'nao'"))} || ' — ' || CASE page_type WHEN 'back_cover' THEN 'Contracapa' ELSE 'Página decorativa' END || {_N2} || '> ' || {_NOTE["decorative"]} || chr(10)
+WHEN 'ocr' THEN {_head(("rota", "'ocr:tesseract+pdfium'"), ("revisao", "'nao'"))} || {_N2} || {_PROSE} || chr(10) ELSE {_head(("rota", "'native:pypdf'"), ("modo", "'layout'"))} || {_N2} || {_LAID} || chr(10) END AS chunk FROM ck),
+md AS (SELECT doc_id, string_agg(chunk, {_N2} ORDER BY page_number) AS markdown, count(*) AS page_count FROM ch GROUP BY doc_id)
+SELECT doc_id, page_count, sha256(markdown) AS markdown_sha256, strlen(markdown)::BIGINT AS markdown_size_bytes FROM md""")
 def document_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products.assemble(_products(spark, sf_dir)).select("doc_id", "page_count", "markdown_sha256", "markdown_size_bytes")
 
@@ -530,7 +637,7 @@ def variant_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages)
 SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))) AS text_md5 FROM a""")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.view(spark, sf_dir, "pages").select("page_id", F.md5(readers.html_text(c("html"))).alias("text_md5"))
+    return V.view(spark, sf_dir, "pages", "page_id", "html").select("page_id", F.md5(readers.html_text(c("html"))).alias("text_md5"))
 
 
 @query("SELECT event_type, count(*) AS events, sum((props->>'$.k')::BIGINT)::BIGINT AS k_total FROM events GROUP BY ALL")
@@ -539,6 +646,92 @@ def events_props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.count("*").alias("events"), F.sum("k").alias("k_total"))
 
 
+_PDF_LINES = f"""ln AS (SELECT doc_id, unnest(string_split(p, chr(10))) AS line, generate_subscripts(string_split(p, chr(10)), 1) - 1 AS i FROM (SELECT doc_id, {V.PLAIN} AS p FROM documents)),
+pl AS (SELECT doc_id, i // {V.PAGE_LINES} + 1 AS page_number, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (line <> ''), '') AS t FROM ln GROUP BY ALL)"""
+
+
+@query(f"""WITH {_PDF_LINES} SELECT doc_id::VARCHAR AS doc_id, page_number::INTEGER AS page_number, count(*) OVER (PARTITION BY doc_id)::INTEGER AS page_count, md5({_STRIPPED.format("t")}) AS text_md5, (doc_id % 23)::INTEGER AS rectangles,
+(doc_id % 23 // 2)::INTEGER AS across, ((doc_id % 2 = 0)::INT + ((doc_id + page_number) % 5 = 0)::INT)::INTEGER AS image_count FROM pl""")
+def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document written as a PDF file and read back: text, rectangles and images of each page."""
+    p = pdf.pdf_pages(V.files(spark, sf_dir, "pdf"))
+    across = F.size(F.filter("rectangles", lambda r: r["width"] > r["height"]))
+    return p.select("doc_id", "page_number", "page_count", F.md5("simple_text").alias("text_md5"), F.size("rectangles").alias("rectangles"), across.alias("across"), "image_count")
+
+
+@query(f"""WITH {_PDF_LINES}, pg AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM pl),
+g AS (SELECT doc_id, page_number, n, (doc_id % 2 = 0) AS logo, (doc_id + page_number) % 5 = 0 AS own FROM pg)
+SELECT doc_id::VARCHAR AS doc_id, page_number::INTEGER AS page_number, (logo::INT + own::INT)::BIGINT AS raw_images, (logo AND n - 2 >= greatest(5, ceil(greatest(n - 2, 1) * 0.7)))::BIGINT AS decorative_images,
+(logo::INT + own::INT - (logo AND n - 2 >= greatest(5, ceil(greatest(n - 2, 1) * 0.7)))::INT)::BIGINT AS content_images FROM g WHERE logo OR own""")
+def pdf_graphics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images drawn on the pages of every document's PDF file; a logo that recurs in a long one is decoration."""
+    return diagnosis.image_counts(pdf.pdf_pages(V.files(spark, sf_dir, "pdf")))
+
+
+@query()
+def pdf_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = diagnosis.diagnose(pdf.pdf_pages(V.files(spark, sf_dir, "pdf")))
+    return d.select("doc_id", "page_number", "route", "page_type", "selected_mode", "characters", "content_images", "warnings", F.col("table_assessment").isNull().alias("no_table"), F.col("coordinate_assessment").isNull().alias("no_coordinates"))
+
+
+@query()
+def pdf_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests of every document's PDF file; pages without text are left for review, as no OCR is at hand."""
+    found = conversion.with_evidence(diagnosis.diagnose(pdf.pdf_pages(V.files(spark, sf_dir, "pdf"))))
+    return conversion.published(conversion.manifests(conversion.convert(found))).drop("markdown")
+
+
+@query(f"""WITH m AS (SELECT doc_id, {V.CLEAN} AS t FROM documents),
+x AS (SELECT doc_id, unnest(['x/notes.txt', 'x/law.pdf', 'x/fake.PDF']) AS member, unnest([0, 1, 2]) AS ordinal, unnest([t, '%PDF-1.4' || chr(10) || t, t]) AS body FROM m)
+SELECT doc_id::VARCHAR AS archive, member, ordinal::INTEGER AS ordinal, strlen(body)::BIGINT AS size, sha256(body) AS sha256, contains(left(body, 1024), '%PDF-') AS signed FROM x""")
+def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = readers.archive_members(V.files(spark, sf_dir, "zip").withColumnRenamed("doc_id", "path"))
+    return a.select("archive", "member", "ordinal", "size", F.sha2("content", 256).alias("sha256"), readers.is_pdf(c("content")).alias("signed"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, string_split({V.CLEAN}, chr(10)) AS ls FROM documents)
+SELECT doc_id || '.docx' AS doc_id, md5(array_to_string(list_filter(ls, lambda x: {_STRIPPED.format("x")} <> ''), chr(10) || chr(10))) AS text_md5 FROM d""")
+def docx_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return office.office_text(V.files(spark, sf_dir, "docx", ".docx")).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+_EPUB_PART = "coalesce(array_to_string(list_filter(list_transform({0}, lambda x: " + _STRIPPED.format("x") + "), lambda x: x <> ''), chr(10)), '')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, string_split({V.CLEAN}, chr(10)) AS ls FROM documents)
+SELECT doc_id || '.epub' AS doc_id, md5({_EPUB_PART.format("ls[len(ls) // 2 + 1:]")} || chr(10) || chr(10) || {_EPUB_PART.format("ls[:len(ls) // 2]")}) AS text_md5 FROM d""")
+def epub_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters in the order of the spine, which here isn't that of the files."""
+    return office.office_text(V.files(spark, sf_dir, "epub", ".epub")).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+_VOTES = ", ".join(f"{{'hits': len(list_filter(ws, lambda w: w IN ({', '.join(map(_q, own))}))), 'language': '{name}'}}" for name, own in language.WORDS.items())
+
+
+@query(f"""WITH d AS (SELECT doc_id, regexp_split_to_array(lower(translate(left(text, {language.LOOK}), chr(10) || chr(13) || chr(9) || '.,;:!?()[]"' || chr(39), repeat(' ', 15))), ' +') AS ws FROM documents),
+v AS (SELECT doc_id, unnest([{_VOTES}]) AS v FROM d), b AS (SELECT doc_id, v.language AS language, v.hits AS hits, sum(v.hits) OVER (PARTITION BY doc_id) AS total, row_number() OVER (PARTITION BY doc_id ORDER BY v.hits DESC, v.language) AS k FROM v)
+SELECT doc_id, CASE WHEN total > 0 THEN language ELSE 'und' END AS language, CASE WHEN total > 0 AND language IN ('pt', 'en') THEN language ELSE 'outros' END AS bucket, round(CASE WHEN total > 0 THEN hits / total ELSE 0 END, 9) AS probability FROM b WHERE k = 1""")
+def language_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = V.view(spark, sf_dir, "documents", "doc_id", "text").withColumn("l", language.language(c("text")))
+    return d.select("doc_id", "l.language", language.bucket(c("l.language")).alias("bucket"), F.round("l.probability", 9).alias("probability"))
+
+
+@query(f"""WITH m AS ({V.MEMBERS}), e AS (SELECT archive, 'm' || (ordinal // 2) AS member, ordinal, CASE ordinal % 4 WHEN 0 THEN 'success' WHEN 1 THEN 'duplicate' WHEN 2 THEN 'failed' ELSE 'success' END AS status, sha256(text) AS sha256, CASE WHEN ordinal % 3 = 0 THEN 200 ELSE 300 END::INTEGER AS dpi, 'o/' || ordinal || '.md' AS markdown_path FROM m)
+SELECT archive, member, status, sha256, dpi, '1' AS version, markdown_path FROM e QUALIFY row_number() OVER (PARTITION BY archive, member ORDER BY ordinal DESC) = 1""")
+def manifest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Earlier manifests, one per archive, written as JSON and read back; damaged ones beside them give nothing."""
+    m = V.lens(spark, sf_dir, V.MEMBERS, "documents")
+    status = F.element_at(F.array(*[F.lit(x) for x in ("success", "duplicate", "failed", "success")]), (c("ordinal") % 4 + 1).cast("int"))
+    entry = F.struct(
+        F.concat(F.lit("m"), F.floor(c("ordinal") / 2).cast("string")).alias("member"), status.alias("status"), F.sha2("text", 256).alias("source_sha256"), F.when(c("ordinal") % 3 == 0, 200).otherwise(300).alias("dpi"), F.lit("1").alias("converter_version"),
+        F.concat(F.lit("o/"), c("ordinal").cast("string"), F.lit(".md")).alias("markdown_path"),
+    )
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", entry.alias("e")))), lambda x: x["e"])
+    whole = m.groupBy("archive").agg(F.to_json(F.struct(listed.alias("entries"))).alias("value"))
+    damaged = whole.select("archive", F.left("value", F.lit(50)).alias("value")).union(whole.select("archive", F.lit("[]")))
+    return readers.parse_manifests(whole.union(damaged)).drop("manifest_path")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

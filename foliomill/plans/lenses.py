@@ -5,9 +5,16 @@ Each is one SQL text that Spark and DuckDB both read, so that a query and its ch
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import io
+import zipfile
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import pdf
+
 
 def div(a: str, b: int) -> str:
     return f"CAST(floor({a} / {b}) AS BIGINT)"
@@ -32,6 +39,10 @@ MEMBERS = """SELECT CASE WHEN lang = 'en' THEN 'en.zip' ELSE 'more.zip' END AS a
   CASE WHEN doc_id % 53 = 0 THEN '../up/doc.pdf' WHEN doc_id % 59 = 0 THEN 'C:/doc.pdf' WHEN doc_id % 61 = 0 THEN '/abs/doc.pdf' WHEN doc_id % 67 = 0 THEN concat('Root/', source, '/SAME.pdf')
     ELSE concat('root/', source, '/doc_', CAST(doc_id AS VARCHAR(20)), CASE doc_id % 7 WHEN 0 THEN '.txt' WHEN 1 THEN '.PDF' ELSE '.pdf' END) END AS member FROM documents"""
 
+#: Files of a result tree: every ending and folder that the package's rule knows, and near misses.
+FILES = """SELECT doc_id AS ordinal, concat(CASE doc_id % 7 WHEN 0 THEN 'analise/' WHEN 1 THEN 'ativos/' WHEN 2 THEN 'a/.staging/' WHEN 3 THEN 'Ativos/' WHEN 4 THEN 'b/__pycache__/' WHEN 5 THEN 'x/ativos/y/' ELSE '' END, source, '_', CAST(doc_id AS VARCHAR(20)),
+  CASE doc_id % 13 WHEN 0 THEN '.md' WHEN 1 THEN '.CSV' WHEN 2 THEN '.json' WHEN 3 THEN '.jsonl' WHEN 4 THEN '.txt' WHEN 5 THEN '.yaml' WHEN 6 THEN '.yml' WHEN 7 THEN '.log' WHEN 8 THEN '.png' WHEN 9 THEN '.md.tmp' WHEN 10 THEN '' WHEN 11 THEN '.tar.YML' ELSE '.pdf' END) AS path FROM documents"""
+
 #: Lines of made-up law pages: a matrix, its continuation, legal prose, coordinates, plain words, a map title.
 LAW = f"""WITH b AS (SELECT {div("p_partkey", 14)} AS doc_id, CAST(p_partkey % 14 AS INT) AS ln, CAST({div("p_partkey", 14)} % 6 AS INT) AS kind, CAST(p_size AS VARCHAR(9)) AS s, CAST(p_partkey AS VARCHAR(20)) AS k, p_partkey, p_name, p_type FROM part)
 SELECT doc_id, ln, kind, CASE
@@ -54,8 +65,16 @@ PAGES = """SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_cu
   o_orderkey % 17 = 0 AS coordinate_register, o_orderkey % 17 < 2 AS coordinates_detected, o_orderkey % 19 = 0 AS grid_detected, o_orderkey % 23 = 0 AS rotated FROM orders"""
 
 
-def view(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as the cluster has cores, where its files make fewer; larger tables are left alone and not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+def view(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+    """A table, or some columns of it that heavy functions are to run on, spread over all cores."""
+    found = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(found.select(*columns)) if columns else found
 
 
 def lens(spark: SparkSession, sf_dir: str, sql: str, table: str) -> DataFrame:
@@ -70,7 +89,80 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def law_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = lens(spark, sf_dir, LAW, "part")
     ordered = F.array_sort(F.collect_list(F.struct("ln", "line")))
+    # few bytes, much work per page: a fixed number of partitions, which aren't merged by their size
+    lines = lines.repartition(spark.sparkContext.defaultParallelism, "doc_id", "kind")
     return lines.groupBy("doc_id", "kind").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
 
 
 LAW_PAGES = f"SELECT doc_id, kind, string_agg(line, chr(10) ORDER BY ln) AS text FROM ({LAW}) GROUP BY doc_id, kind"
+
+
+# --- generated binaries: whole texts of documents as PDF, ZIP, DOCX and EPUB files
+
+PAGE_LINES = 40
+#: What a PDF page can hold of a text: tabs, line ends and printable Latin-1.
+_NOT_PLAIN = r"[^\x09\x0A\x20-\x7E\xA1-\xFF]"
+PLAIN = f"regexp_replace(text, '{_NOT_PLAIN}', '?', 'g')"
+#: What XML can't hold.
+_CONTROL = r"[\x00-\x08\x0B-\x1F]"
+CLEAN = f"regexp_replace(text, '{_CONTROL}', '?', 'g')"
+
+
+def binary(make: Callable[[int, str], bytes], key: str, text: str) -> Column:
+    @F.arrow_udf("binary")
+    def run(keys: pa.Array, texts: pa.Array) -> pa.Array:
+        return pa.array([make(k, t or "") for k, t in zip(keys.to_pylist(), texts.to_pylist())], pa.binary())
+
+    return run(F.col(key), F.col(text))
+
+
+def _pdf(key: int, text: str) -> bytes:
+    lines = text.split("\n")
+    pages = []
+    for n, at in enumerate(range(0, len(lines), PAGE_LINES), 1):
+        page: dict = {"lines": [(50, 780 - 12 * i, x) for i, x in enumerate(lines[at : at + PAGE_LINES])]}
+        page["rectangles"] = [(10, 10 + 5 * i, 100, 1) if i % 2 else (10 + 5 * i, 10, 1, 60) for i in range(key % 23)]
+        page["images"] = [(10, 10, 20, 20, "logo")] * (key % 2 == 0) + [(200, 300, 200, 200, f"own {key} {n}")] * ((key + n) % 5 == 0)
+        pages.append(page)
+    return pdf.build(pages)
+
+
+def _zip(members: dict[str, bytes]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("x/", b"")
+        for name, data in members.items():
+            z.writestr(name, data)
+    return out.getvalue()
+
+
+def _archive(key: int, text: str) -> bytes:
+    raw = text.encode()
+    return _zip({"x/notes.txt": raw, "x/law.pdf": b"%PDF-1.4\n" + raw, "x/fake.PDF": raw})
+
+
+def _escaped(text: str) -> str:
+    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+
+
+def _docx(key: int, text: str) -> bytes:
+    name = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{_escaped(x)}</w:t></w:r></w:p>' for x in text.split("\n"))
+    return _zip({"word/document.xml": f'<w:document xmlns:w="{name}"><w:body>{body}</w:body></w:document>'.encode()})
+
+
+def _epub(key: int, text: str) -> bytes:
+    half = text.split("\n")
+    parts = [half[: len(half) // 2], half[len(half) // 2 :]]
+    chapters = {f"O/c{k}.xhtml": ("<html><head><style>p {}</style></head><body>" + "".join(f"<p>{_escaped(x)}</p>" for x in part) + "</body></html>").encode() for k, part in enumerate(parts)}
+    items = "".join(f'<item id="i{k}" href="c{k}.xhtml" media-type="application/xhtml+xml"/>' for k in range(2))
+    package = f'<package xmlns="http://www.idpf.org/2007/opf"><manifest>{items}</manifest><spine><itemref idref="i1"/><itemref idref="i0"/></spine></package>'
+    box = '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="O/p.opf"/></rootfiles></container>'
+    return _zip({"META-INF/container.xml": box.encode(), "O/p.opf": package.encode(), **chapters})
+
+
+def files(spark: SparkSession, sf_dir: str, kind: str, ending: str = "") -> DataFrame:
+    """doc_id (the document's number and the ending) and content: each document as a file of that kind."""
+    make = {"pdf": _pdf, "zip": _archive, "docx": _docx, "epub": _epub}[kind]
+    d = view(spark, sf_dir, "documents", "doc_id", "text").withColumn("plain", F.regexp_replace("text", _NOT_PLAIN if kind == "pdf" else _CONTROL, "?"))
+    return d.select(F.concat(F.col("doc_id").cast("string"), F.lit(ending)).alias("doc_id"), binary(make, "doc_id", "plain").alias("content"))

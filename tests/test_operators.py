@@ -112,7 +112,7 @@ def test_raster_grid():
         page[80 + 60 * i : 82 + 60 * i, 60:422] = 0
         page[80:442, 60 + 60 * i : 62 + 60 * i] = 0
     m = raster.measure(page)
-    assert (m["horizontal_lines"], m["vertical_lines"], m["intersections"], m["closed_regions"], m["boxes"]) == (7, 7, 49, 36, 36)
+    assert (m["horizontal_lines"], m["vertical_lines"], m["intersections"], m["closed_regions"], m["boxes"]) == (7, 7, 49, 37, 37)
     assert raster.measure(np.full((300, 300, 3), 255, np.uint8))["horizontal_lines"] == 0
     mask = np.array(random.Random(1).choices([0, 1], k=400), bool).reshape(20, 20)
     labels, stats = raster.components(mask)
