@@ -79,20 +79,32 @@ def diagnose(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
-def evidence(spark: SparkSession, documents: DataFrame, parsed: DataFrame, dpi: int, every_page: bool = False) -> tuple[DataFrame, DataFrame | None]:
+def staged(df: DataFrame, target: str, name: str) -> DataFrame:
+    """df written beside the target and read back: what follows neither plans nor runs it again."""
+    path = f"{target.rstrip('/')}{batch.STAGING}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unstage(spark: SparkSession, target: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target.rstrip('/')}{batch.STAGING}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def evidence(spark: SparkSession, documents: DataFrame, parsed: DataFrame, dpi: int, target: str, every_page: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """Pages with OCR and raster evidence where adapters are there, and the OCR tokens."""
-    diagnosed = diagnosis.diagnose(parsed)
+    diagnosed = staged(diagnosis.diagnose(parsed), target, "diagnosis")
     wanted = diagnosed.where(F.lit(every_page) | F.col("route").isin("ocr", "map")).select("doc_id", "page_number", "page_count", "route").join(documents, "doc_id")
     tokens = measured = recognised = None
     if "ocr" in readers.ADAPTERS:
-        tokens = readers.ocr_tokens(readers.recognise(wanted.where(F.lit(every_page) | (F.col("route") == "ocr")), readers.ADAPTERS["ocr"], dpi))
+        tokens = staged(readers.ocr_tokens(readers.recognise(wanted.where(F.lit(every_page) | (F.col("route") == "ocr")), readers.ADAPTERS["ocr"], dpi)), target, "tokens")
         seen = readers.recognised_pages(tokens)
         # a page on which nothing was recognised has been recognised all the same
         recognised = wanted.where("route = 'ocr'").select("doc_id", "page_number").join(seen, ["doc_id", "page_number"], "left").withColumns({"text": F.coalesce("text", F.lit("")), "confidences": F.coalesce("confidences", F.array().cast("array<double>"))})
     if "render" in readers.ADAPTERS:
         images = readers.page_images(wanted, readers.ADAPTERS["render"], min(150, dpi))
         measured = images.select("doc_id", "page_number", raster.metrics(F.col("height"), F.col("width"), F.col("data")).alias("m"))
-    return conversion.with_evidence(diagnosed, recognised, measured), tokens
+    return staged(conversion.with_evidence(diagnosed, recognised, measured), target, "evidence"), tokens
 
 
 def convert_documents(spark: SparkSession, documents: DataFrame, target: str, dpi: int) -> DataFrame:
@@ -100,13 +112,14 @@ def convert_documents(spark: SparkSession, documents: DataFrame, target: str, dp
 
     A document that can't be opened, or that needs OCR where no engine is registered, fails; the others are published all the same.
     """
-    parsed = pdf.pdf_pages(documents, _parse())
-    found, tokens = evidence(spark, documents, parsed, dpi)
+    parsed = staged(pdf.pdf_pages(documents, _parse()), target, "pages")
+    found, tokens = evidence(spark, documents, parsed, dpi, target)
     broken = parsed.where("page_number IS NULL").select("doc_id", "error")
     unread = conversion.missing_ocr(found).select("doc_id", F.concat(F.lit("no OCR engine is registered for pages "), F.array_join(F.col("pages").cast("array<string>"), ", ")).alias("error"))
     failed = broken.union(unread)
     good = found.join(failed.select("doc_id"), "doc_id", "left_anti")
-    made = conversion.published(conversion.manifests(conversion.convert(good), dpi, __version__))
+    pages = staged(conversion.convert(good), target, "converted")
+    made = staged(conversion.published(conversion.manifests(pages, dpi, __version__)), target, "manifests")
     hashes = documents.select("doc_id", F.sha2("content", 256).alias("source_sha256"))
     writers.publish(made.join(hashes, "doc_id").withColumn("source_path", F.col("doc_id")), target)
     if tokens is not None:
@@ -116,7 +129,10 @@ def convert_documents(spark: SparkSession, documents: DataFrame, target: str, dp
         order = F.array_sort(F.collect_list(F.struct("pagina", "ordem", writers.manifest_json(*[c for c in blocks.columns if c != "doc_id"]).alias("value"))))
         files = blocks.groupBy("doc_id").agg(F.array_join(F.transform(order, lambda x: x["value"]), "\n").alias("value"))
         writers.write_files(files.select(F.concat(F.lit("analise/"), conversion.document_stem(F.col("doc_id")), F.lit(".estrutura_ocr.jsonl")).alias("path"), "value"), target)
-    return documents.select("doc_id").join(failed.groupBy("doc_id").agg(F.first("error").alias("error")), "doc_id", "left").withColumn("status", F.when(F.col("error").isNull(), "success").otherwise("failed"))
+    outcome = documents.select("doc_id").join(failed.groupBy("doc_id").agg(F.first("error").alias("error")), "doc_id", "left").withColumn("status", F.when(F.col("error").isNull(), "success").otherwise("failed"))
+    known = [(r["doc_id"], r["error"], r["status"]) for r in outcome.toLocalIterator()]  # a line per file
+    unstage(spark, target)
+    return spark.createDataFrame(known, "doc_id string, error string, status string")
 
 
 def convert(spark: SparkSession, a: argparse.Namespace) -> int:
@@ -211,7 +227,7 @@ def convert_folder(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.limite:
         files = files.orderBy("doc_id").limit(a.limite)
     is_pdf_name = F.lower("doc_id").endswith(".pdf")
-    native, _ = evidence(spark, files.where(is_pdf_name), pdf.pdf_pages(files.where(is_pdf_name), _parse()), 300, a.forcar)
+    native, _ = evidence(spark, files.where(is_pdf_name), pdf.pdf_pages(files.where(is_pdf_name), _parse()), 300, a.saida, a.forcar)
     shown = F.coalesce(F.when(F.lit(a.forcar), F.col("ocr_text")), F.when(F.col("text") != "", F.col("text")), F.col("ocr_text"), F.lit(""))
     each = native.select("doc_id", "page_number", F.concat(F.lit("### Página "), F.col("page_number").cast("string"), F.lit("\n\n"), T.strip(shown)).alias("chunk"))
     from_pdf = each.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "chunk"))), lambda x: x["chunk"]), "\n\n").alias("text"))
@@ -223,7 +239,9 @@ def convert_folder(spark: SparkSession, a: argparse.Namespace) -> int:
         return 0
     name = F.element_at(F.split("doc_id", "/"), -1)
     head = F.concat(F.lit("<!-- arquivo_original: "), name, F.lit(" -->\n<!-- idioma_detectado: "), F.col("l.language"), F.lit(" ("), F.format_string("%.2f", "l.probability"), F.lit(") -->\n\n"))
-    writers.write_by_language(texts.select("doc_id", F.col("l.language").alias("language"), F.concat(head, T.strip(F.col("text"))).alias("markdown")), a.saida)
+    unstaged = texts.select("doc_id", F.col("l.language").alias("language"), F.concat(head, T.strip(F.col("text"))).alias("markdown"))
+    writers.write_by_language(staged(unstaged, a.saida, "texts"), a.saida)
+    unstage(spark, a.saida)
     return 0
 
 

@@ -35,7 +35,7 @@ def with_evidence(diagnosed: DataFrame, recognised: DataFrame | None = None, mea
     keys = list(diagnosis.KEYS)
     empty = diagnosed.sparkSession.createDataFrame([], "doc_id string, page_number int, text string, confidences array<double>")
     recognised = empty if recognised is None else recognised
-    judged = quality.with_ocr_quality(recognised.select(*keys, "text", "confidences"), "ocr", "text", "confidences").select(*keys, c("text").alias("ocr_text"), "ocr")
+    judged = quality.with_ocr_quality(recognised.select(*keys, T.nfc(c("text")).alias("text"), "confidences"), "ocr", "text", "confidences").select(*keys, c("text").alias("ocr_text"), "ocr")
     judged = P.assess_tables(judged, "ocr_text").withColumnsRenamed({"table": "ocr_table"})
     d = diagnosed.join(judged, keys, "left")
     if measured is None:
@@ -118,6 +118,8 @@ def manifests(converted: DataFrame, dpi: int = 300, version: str = "1") -> DataF
         "map_cover_pages": c("page_type") == "map_cover", "ocr_review_image_pages": is_("ocr_review"),
     }
     assets = F.transform(F.array_sort(F.collect_list(F.when(c("image").isNotNull(), F.struct("page_number", "image")))), lambda x: x["image"])
+    # by document, as both aggregations need it; beyond the exchange a page's product is a value, not an expression repeated in every list
+    converted = converted.repartition("doc_id")
     pages = converted.groupBy("doc_id").agg(*[F.array_sort(F.collect_set(F.when(k, c("page_number")))).alias(name) for name, k in lists.items()], assets.alias("asset_paths"))
     return products.assemble(converted.select("doc_id", "page_number", "chunk")).join(pages, "doc_id").withColumns({"dpi": F.lit(dpi), "converter_version": F.lit(version)})
 

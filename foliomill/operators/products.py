@@ -31,7 +31,7 @@ def fenced(text: Column) -> Column:
 
 
 def visual_page(page: Column, title: Column, text: Column, image: Column, mode: Column, kind: Column, notice: Column) -> Column:
-    prose = T.prose(F.coalesce(text, F.lit("")))
+    prose = T.prose(F.coalesce(text, F.lit("")), composed=True)
     shown = F.when(prose != "", _join("\n\n> ", NOTICES["visual"], "\n\n", fenced(prose))).otherwise("")
     top = head(page, [("tipo", kind), ("rota", _join("imagem+texto:", mode)), ("revisao", "sim")])
     return _join(top, " — ", title, "\n\n> ", notice, "\n\n", T.markdown_image(title, image), shown)
@@ -41,19 +41,19 @@ def table_page(page: Column, title: Column, text: Column, image: Column, candida
     sort, source = F.when(candidate, "candidata").otherwise("confirmada"), F.when(raster, "raster").otherwise("nativa/vetorial")
     top = head(page, [("tipo", _join("tabela_", sort)), ("origem", source), ("rota", "structured:preservacao"), ("revisao", "sim")])
     note = _join("**Revisão estrutural necessária:** estrutura tabular ", sort, " identificada em fonte ", source, ". O texto linear e a imagem foram preservados; ", "as relações entre linhas e colunas devem ser conferidas.")
-    return _join(top, " — ", title, "\n\n> ", note, "\n\n", T.markdown_image(_join("Página tabular ", page.cast("string")), image), "\n\n", fenced(T.strip(T.clean_invisible(text))))
+    return _join(top, " — ", title, "\n\n> ", note, "\n\n", T.markdown_image(_join("Página tabular ", page.cast("string")), image), "\n\n", fenced(T.strip(T.clean_invisible(text, composed=True))))
 
 
 def coordinate_page(page: Column, text: Column, image: Column) -> Column:
     top = head(page, [("tipo", "coordinate_register"), ("rota", "structured:preservacao"), ("revisao", "sim")])
     picture = T.markdown_image(_join("Registro de coordenadas da página ", page.cast("string")), image)
-    return _join(top, " — Registro de coordenadas\n\n> ", NOTICES["coordinates"], "\n\n", picture, "\n\n", fenced(T.strip(T.clean_invisible(text))))
+    return _join(top, " — Registro de coordenadas\n\n> ", NOTICES["coordinates"], "\n\n", picture, "\n\n", fenced(T.strip(T.clean_invisible(text, composed=True))))
 
 
 def ocr_review_page(page: Column, text: Column, image: Column, quality: Column) -> Column:
     top = head(page, [("tipo", "ocr_review"), ("qualidade", quality), ("rota", "ocr:tesseract+pdfium"), ("revisao", "sim")])
     picture = T.markdown_image(_join("Página ", page.cast("string"), " para revisão de OCR"), image)
-    return _join(top, " — OCR com revisão necessária\n\n> ", NOTICES["ocr"], "\n\n", picture, "\n\n", fenced(T.prose(text)))
+    return _join(top, " — OCR com revisão necessária\n\n> ", NOTICES["ocr"], "\n\n", picture, "\n\n", fenced(T.prose(text, composed=True)))
 
 
 def decorative_page(page: Column, kind: Column) -> Column:
@@ -62,7 +62,7 @@ def decorative_page(page: Column, kind: Column) -> Column:
 
 
 def ocr_page(page: Column, text: Column) -> Column:
-    return _join(head(page, [("rota", "ocr:tesseract+pdfium"), ("revisao", "nao")]), "\n\n", T.prose(text), "\n")
+    return _join(head(page, [("rota", "ocr:tesseract+pdfium"), ("revisao", "nao")]), "\n\n", T.prose(text, composed=True), "\n")
 
 
 def native_page(page: Column, text: Column, mode: Column) -> Column:
@@ -87,7 +87,7 @@ def product_kind(pages: DataFrame) -> DataFrame:
 
 
 def render(pages: DataFrame) -> DataFrame:
-    """pages (page_number, product, page_type, text, title, image, mode, quality, notice) with chunk, the page's Markdown."""
+    """pages (page_number, product, page_type, text in NFC, title, image, mode, quality, notice) with chunk, the page's Markdown."""
     c = F.col
     page, text, image = c("page_number"), F.coalesce("text", F.lit("")), c("image")
     chunk = (

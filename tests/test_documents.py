@@ -80,18 +80,18 @@ def test_diagnosis(spark):
     assert len(whole["d3.pdf"]["pages"]) == 8 and whole["d3.pdf"]["repeated_graphics"][0]["position"] == "bottom" and whole["d0.pdf"]["repeated_graphics"] == []
 
 
-def test_conversion_lists_and_links(spark):
+def test_conversion_lists_and_links(spark, tmp_path):
     raw = pdf.build([page(LAW), {}, page("Mapa 01 de zoneamento. Legenda. Escala", images=[(50, 50, 400, 400, "m")]), {}, {}])
     found = diagnosis.diagnose(pdf.pdf_pages(files(spark, raw)))
     seen = spark.createDataFrame([("d0.pdf", 2, LAW + " repetido para dar palavras que bastem a uma pagina inteira de texto legal", [91.0]), ("d0.pdf", 4, "@@", [20.0]), ("d0.pdf", 5, "FLUXOGRAMA do processo", [80.0])], "doc_id string, page_number int, text string, confidences array<double>")
     boxes = spark.createDataFrame([("d0.pdf", 5, (3, 2, 2, 1, 3, 0.1, 0.1, 0.1, 5))], "doc_id string, page_number int, m struct<horizontal_lines:int,vertical_lines:int,intersections:int,closed_regions:int,boxes:int,area:double,ink:double,edges:double,components:int>")
-    made = conversion.convert(conversion.with_evidence(found, seen, boxes))
-    assert [r["product"] for r in made.orderBy("page_number").collect()] == ["native", "ocr", "map_cover", "ocr_review", "diagram"] or [r["product"] for r in made.orderBy("page_number").collect()][:2] == ["native", "ocr"]
+    made = cli.staged(conversion.convert(cli.staged(conversion.with_evidence(cli.staged(found, str(tmp_path), "a"), seen, boxes), str(tmp_path), "b")), str(tmp_path), "c")
+    assert [r["product"] for r in made.orderBy("page_number").collect()] == ["native", "ocr", "map", "ocr_review", "diagram"]
     m = conversion.published(conversion.manifests(made)).first()
     assert m["used_ocr_pages"] == [2, 4, 5] and m["ocr_review_image_pages"] == [4] and m["diagram_pages"] == [5] and m["review_pages"] == [3, 4, 5] and m["visual_text_preserved_pages"] == [3]
     assert "(<../ativos/d0/pagina_0004_ocr_revisao.png>)" in m["markdown"] and "d0_assets" not in m["markdown"]
     assert m["asset_paths"][-1] == "ativos/d0/pagina_0005_diagrama.png" and set(conversion.LISTS) <= set(m.asDict())
-    assert [r["pages"] for r in conversion.missing_ocr(conversion.with_evidence(found)).collect()] == [[2, 4, 5]]
+    assert [r["pages"] for r in conversion.missing_ocr(conversion.with_evidence(cli.staged(found, str(tmp_path), "d"))).collect()] == [[2, 4, 5]]
 
 
 def test_latent_grid_beside_a_table_is_promoted(spark):
@@ -216,11 +216,7 @@ def test_registered_engines_do_the_pages_that_need_them(spark, tmp_path, monkeyp
         words = (LAW + " palavra" * 20).split()
         return {"text": [*words, " "], "conf": ["92"] * len(words) + ["-1"], **{k: [1] * (len(words) + 1) for k in ("block_num", "par_num", "line_num", "top", "height", "width")}, "word_num": list(range(len(words) + 1)), "left": [10 * k for k in range(len(words) + 1)]}
 
-    def render(content, page_number, dpi):
-        return 40, 30, b"\xff" * (40 * 30 * 3)
-
     monkeypatch.setitem(readers.ADAPTERS, "ocr", engine)
-    monkeypatch.setitem(readers.ADAPTERS, "render", render)
     (tmp_path / "branca.pdf").write_bytes(pdf.build([{}]))
     assert cli.main(["converter", "--entrada", str(tmp_path), "--saida", str(tmp_path / "o")]) == 0
     assert "rota: ocr" in (tmp_path / "o/analise/branca.md").read_text()
