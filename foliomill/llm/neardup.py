@@ -99,19 +99,40 @@ def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x | (x >> np.uint64(1))) & _EVEN)
 
 
+FEW = 64  # rows up to which every pair of sketches is looked at
+
+
 def alike(packed: np.ndarray, most: float) -> np.ndarray:
-    """Root of each row's set, where rows that differ in at most that many coordinates are joined."""
+    """Root of each row's set, where rows that differ in at most that many coordinates are joined.
+
+    A row that was reached is not compared again, so a set of rows that are all alike costs little more than its size.
+    """
     same, inverse = np.unique(packed, axis=0, return_inverse=True)
-    sets = Sets(len(same))
-    block = max(1, (1 << 20) // max(1, len(same)))
-    for a in range(0, len(same), block):
-        apart = np.zeros((len(same[a : a + block]), len(same) - a), np.uint16)
+    n = len(same)
+    if n <= FEW:
+        sets, apart = Sets(n), np.zeros((n, n), np.uint16)
         for k in range(same.shape[1]):
-            apart += differing(same[a : a + block, None, k], same[None, a:, k])
+            apart += differing(same[:, None, k], same[None, :, k])
         for i, j in zip(*np.nonzero(apart <= most)):
             if j > i:
-                sets.join(a + int(i), a + int(j))
-    return sets.roots()[inverse.reshape(-1)]
+                sets.join(int(i), int(j))
+        return sets.roots()[inverse.reshape(-1)]
+    roots, left, words = np.arange(n), np.arange(n), np.ascontiguousarray(same.T)
+    reached: list[int] = []
+    while len(left):
+        if not reached:
+            reached, root = [int(left[0])], int(left[0])
+            left, words = left[1:], words[:, 1:]
+        v = same[reached.pop()]
+        apart = np.zeros(len(left), np.uint16)
+        for k in range(len(v)):
+            apart += differing(v[k], words[k])
+        near = apart <= most
+        if near.any():
+            roots[left[near]] = root
+            reached += left[near].tolist()
+            left, words = left[~near], words[:, ~near]
+    return roots[inverse.reshape(-1)]
 
 
 def _nodes(size: int, least: float, leaf: float):
@@ -169,32 +190,50 @@ def jaccard_sets(hashes: np.ndarray, count: np.ndarray, threshold: float) -> np.
     used = np.bincount(code) >= 2
     keep = used[code]
     doc, code = doc[keep], (np.cumsum(used) - 1)[code[keep]]
-    n = int(used.sum())
-    sets = Sets(m)
-    step, width = 2048, 4096
-    by_code = np.argsort(code, kind="stable")
-    doc, code = doc[by_code], code[by_code]
-    edges = np.searchsorted(code, np.arange(0, n + width, width))
-    for a in range(0, m, step):
-        for b in range(a, m, step):
-            both = np.zeros((min(step, m - a), min(step, m - b)), np.float32)
-            for c, (i, j) in enumerate(zip(edges[:-1], edges[1:])):
-                d, k = doc[i:j], code[i:j] - c * width
-                wide = min(width, n - c * width)
-                left, right = (d >= a) & (d < a + step), (d >= b) & (d < b + step)
-                x = np.zeros((both.shape[0], wide), np.float32)
-                x[d[left] - a, k[left]] = 1
-                if a == b:
-                    y = x
-                else:
-                    y = np.zeros((both.shape[1], wide), np.float32)
-                    y[d[right] - b, k[right]] = 1
-                both += x @ y.T
-            union = size[a : a + step, None] + size[None, b : b + step] - both
-            for i, j in zip(*np.nonzero((both >= threshold * union - 1e-6) & (both > 0))):
-                if a + i < b + j:
-                    sets.join(a + int(i), b + int(j))
-    return sets.roots()
+    # shingles by rarity: a text that is near v has one of v's rarest, as many as it may lack and one more (prefix filter)
+    often = np.bincount(code, minlength=int(used.sum()))
+    rank = np.empty_like(often)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    code = rank[code]
+    order = np.lexsort((code, doc))
+    row, own = code[order], np.bincount(doc, minlength=m)
+    row_at = np.cumsum(own) - own
+    prefix = np.minimum(own, np.maximum(0, size - np.ceil(threshold * size - 1e-6).astype(np.int64) + 1 - (size - own)))
+
+    def by_shingle(live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Texts of each shingle that are not reached yet: all, and where those of a shingle begin and how many they are."""
+        kept = np.flatnonzero(live[doc])
+        n = np.bincount(code[kept], minlength=len(often))
+        return doc[kept[np.argsort(code[kept], kind="stable")]], np.cumsum(n) - n, n
+
+    # each text is asked once for those near it that no other has reached; sets are found from their least text on
+    roots, live, mark = np.arange(m), np.ones(m, bool), np.zeros(len(often), bool)
+    (posted, at, n), listed, open_ = by_shingle(live), m, m
+    for seed in range(m):
+        if not live[seed]:
+            continue
+        live[seed], reached, open_ = False, [seed], open_ - 1
+        while reached:
+            v = reached.pop()
+            mine = row[row_at[v] : row_at[v] + own[v]]
+            rare = mine[: prefix[v]]
+            if not len(rare):
+                continue
+            found = posted[ranges(at[rare], n[rare])]
+            found = np.unique(found[live[found]])
+            found = found[(size[found] >= threshold * size[v] - 1e-6) & (size[v] >= threshold * size[found] - 1e-6)]
+            if not len(found):
+                continue
+            mark[mine] = True
+            ends = np.cumsum(own[found])
+            both = np.add.reduceat(mark[row[ranges(row_at[found], own[found])]].astype(np.int64), ends - own[found])
+            mark[mine] = False
+            near = found[both >= threshold * (size[v] + size[found] - both) - 1e-6]
+            live[near], roots[near], open_ = False, seed, open_ - len(near)
+            reached += near.tolist()
+            if 2 * open_ < listed:
+                (posted, at, n), listed = by_shingle(live), open_
+    return roots
 
 
 def _verify(n: int, threshold: float):
