@@ -39,7 +39,8 @@ RATE = 0.01
 MOST = 3.0  # bound of an output weight, which keeps exponentials finite
 BLOCK = 4096
 PIECE = 1 << 15  # weights that are moved at once, to fit the cache
-CHUNK = 512  # rows whose class probabilities are held at once, to fit the cache
+CELLS = 1 << 16  # probabilities that are held at once, to fit the cache
+SCORED = 1 << 23  # tokens that a task scores at once: the more, the fewer steps have lanes that wait for the longest text
 DENSE = 1 << 24  # most cells of the table of spellings
 HELD = 2_000_000  # words or bytes whose counts a task sends on at once
 
@@ -283,7 +284,8 @@ def encoded(docs: DataFrame, words: np.ndarray, spelling: Spelling) -> DataFrame
 
 # --- the network
 
-TRAINED = ("b", "emb", "u", "w", "wc", "ww")
+OUTPUT = ("wc", "ww")  # weights of classes, and of tokens within their class
+TRAINED = ("b", "emb", "u", "w", *OUTPUT)
 
 
 def class_edges(counts: np.ndarray) -> np.ndarray:
@@ -296,7 +298,7 @@ def class_edges(counts: np.ndarray) -> np.ndarray:
 
 
 def fresh(counts: np.ndarray) -> dict[str, np.ndarray]:
-    """Weights before training; output biases (the last column of wc and ww) are the log frequencies of counts."""
+    """Weights before training; output biases (the last column of OUTPUT) are the log frequencies of counts."""
     rng = np.random.Generator(np.random.PCG64(5))
     edges = class_edges(counts)
     p = (counts + 1.0) / (counts.sum() + len(counts))
@@ -333,76 +335,88 @@ def _gates(p: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return p["w"].T * half, p["u"].T * half, p["b"][:, None] * half
 
 
-def _step(u: np.ndarray, x: np.ndarray, h: np.ndarray) -> tuple:
-    """One step of the gated unit: x is the input's projection (3H x lanes), h the state before (H x lanes); u as of _gates()."""
-    k = HIDDEN
-    a = u @ h
-    zr = x[: 2 * k] + a[: 2 * k]
-    np.tanh(zr, out=zr)
-    zr *= 0.5
-    zr += 0.5
-    z, r, an = zr[:k], zr[k:], a[2 * k :]
-    n = r * an
-    n += x[2 * k :]
-    np.tanh(n, out=n)
-    new = h - n
-    new *= z
-    new += n
-    return new, z, r, n, an
-
-
-def _spans(edges: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
-    """Class of each target, order of the targets by class, and for each class of several tokens that occurs (first token, end token, start, end in that order)."""
+def _spans(edges: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, list[tuple[str, np.ndarray, list[tuple[int, int, int, int]]]]]:
+    """Order of the targets by class, and for each of OUTPUT its name, what is chosen for each target in that order, and the runs (first choice, end choice, start, end in that order).
+
+    A run has about CELLS probabilities at most. A class of one token is no choice and has none.
+    """
     cls = np.searchsorted(edges, target, side="right") - 1
     order = np.argsort(cls.astype(np.int16 if len(edges) < 1 << 15 else np.int32), kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(len(edges)))
+    cls = cls[order]
+    ends = np.searchsorted(cls, np.arange(len(edges)))
     at = np.flatnonzero((np.diff(ends) > 0) & (np.diff(edges) > 1))
-    return cls, order, list(zip(edges[at].tolist(), edges[at + 1].tolist(), ends[at].tolist(), ends[at + 1].tolist()))
+
+    def cut(lo: int, hi: int, a: int, b: int) -> list[tuple[int, int, int, int]]:
+        rows = max(128, CELLS // (hi - lo))
+        return [(lo, hi, i, min(b, i + rows)) for i in range(a, b, rows)]
+
+    within = [run for own in zip(edges[at].tolist(), edges[at + 1].tolist(), ends[at].tolist(), ends[at + 1].tolist()) for run in cut(*own)]
+    return order, [("wc", cls, cut(0, len(edges) - 1, 0, len(target))), ("ww", target[order], within)]
+
+
+def _cells(chosen: np.ndarray, lo: int, hi: int, a: int, b: int) -> np.ndarray:
+    """Places of the choices of a run among all its probabilities, row by row."""
+    own = np.arange(0, (b - a) * (hi - lo), hi - lo)
+    own += chosen[a:b]
+    own -= lo
+    return own
 
 
 def log_probabilities(p: dict, h1: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log probability of each target token after a state; h1 has the states and a last column of ones, which meets the biases."""
-    cls, order, spans = _spans(p["edges"], target)
-    h1, target, cls = h1[order], target[order], cls[order]
-    odds = np.empty((2, len(h1)), h1.dtype)
-
-    def settle(k: int, a: int, b: int, own: np.ndarray, weights: np.ndarray) -> None:
-        e = h1[a:b] @ weights.T
-        np.exp(e, out=e)
-        odds[k, a:b] = e[np.arange(b - a), own] / (e @ np.ones(len(weights), e.dtype))
-
-    for a in range(0, len(h1), CHUNK):
-        b = min(a + CHUNK, len(h1))
-        settle(0, a, b, cls[a:b], p["wc"])
-    odds[1] = 1
-    for lo, hi, a, b in spans:
-        for i in range(a, b, CHUNK):
-            j = min(b, i + CHUNK)
-            settle(1, i, j, target[i:j] - lo, p["ww"][lo:hi])
+    order, levels = _spans(p["edges"], target)
+    h1 = h1.take(order, axis=0)
+    odds = np.ones((len(levels), len(h1)), h1.dtype)
+    for k, (name, chosen, runs) in enumerate(levels):
+        for lo, hi, a, b in runs:
+            e = h1[a:b] @ p[name][lo:hi].T
+            np.exp(e, out=e)
+            odds[k, a:b] = e.reshape(-1).take(_cells(chosen, lo, hi, a, b)) / (e @ np.ones(hi - lo, e.dtype))
     out = np.empty(len(h1), h1.dtype)
     out[order] = np.log(np.maximum(odds, 1e-30)).sum(axis=0)
     return out
 
 
 def forward(p: dict, x: np.ndarray, starts: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """States of a window (steps x lanes x H + 1, the last column 1), and the state (H x lanes) after it. keep gets what gradients() needs of each step."""
-    steps, lanes = x.shape
+    """States of a window (steps x lanes x H + 1, the last column 1), and the state (H x lanes) after it.
+
+    Steps go in blocks of about LANES states, which fit the cache: what needs no earlier state is done for a block at once. keep gets of each
+    block what gradients() needs of it.
+    """
+    (steps, lanes), k, kind = x.shape, HIDDEN, h.dtype
     w, u, bias = _gates(p)
-    rows = np.ones((steps, lanes, HIDDEN + 1), h.dtype)
-    for t in range(steps):
-        fed = p["emb"][x[t]]
+    rows = np.ones((steps, lanes, k + 1), kind)
+    begins, block = starts.any(axis=1).tolist(), max(1, LANES // lanes)
+    for a in range(0, steps, block):
+        b = min(a + block, steps)
+        fed = p["emb"].take(x[a:b].reshape(-1), axis=0)
+        if any(begins[a:b]):
+            fed[starts[a:b].reshape(-1)] = 0
         inputs = w @ fed.T
         inputs += bias
-        begins = starts[t]
-        if begins.any():
-            inputs[:, begins] = bias
-            fed[begins] = 0
-            h = h * ~begins
-        before = h
-        h, z, r, n, an = _step(u, inputs, before)
-        rows[t, :, :HIDDEN] = h.T
+        inputs = inputs.reshape(3 * k, b - a, lanes)
+        before, zr, n, an = np.empty((b - a, k, lanes), kind), np.empty((b - a, 2 * k, lanes), kind), np.empty((b - a, k, lanes), kind), np.empty((b - a, k, lanes), kind)
+        for t in range(b - a):
+            own, gates, new = before[t], zr[t], n[t]
+            if begins[a + t]:
+                np.multiply(h, ~starts[a + t], out=own)
+            else:
+                own[:] = h
+            fits = u @ own
+            np.add(inputs[: 2 * k, t], fits[: 2 * k], out=gates)
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            an[t] = fits[2 * k :]
+            np.multiply(gates[k:], fits[2 * k :], out=new)
+            new += inputs[2 * k :, t]
+            np.tanh(new, out=new)
+            h = own - new
+            h *= gates[:k]
+            h += new
+            rows[a + t, :, :k] = h.T
         if keep is not None:
-            keep.append((fed, before, z, r, n, an))
+            keep.append((a, b, fed, before, zr, n, an))
     return rows, h
 
 
@@ -410,8 +424,8 @@ def gradients(p: dict, x: np.ndarray, y: np.ndarray, starts: np.ndarray, real: n
     """Gradients of the mean loss over one window, the state (H x lanes) after it, and the summed loss.
 
     x, y: input and target tokens (window x lanes); starts: where a document begins (no input, state 0); real: what is no padding.
-    The gradient of emb is a pair: the tokens that occur, and a row for each. What a step needs is small enough for the cache, so nothing
-    but the softmax works on the whole window.
+    The gradient of emb is a pair: the tokens that occur, and a row for each. What a block of forward() needs is small enough for the cache,
+    so nothing but the softmax works on the whole window.
     """
     (steps, lanes), k, kind = x.shape, HIDDEN, h.dtype
     saved: list[tuple] = []
@@ -419,76 +433,69 @@ def gradients(p: dict, x: np.ndarray, y: np.ndarray, starts: np.ndarray, real: n
     at = np.flatnonzero(real.reshape(-1))
     total = max(len(at), 1)
     target = y.reshape(-1)[at]
-    cls, order, spans = _spans(p["edges"], target)
+    order, levels = _spans(p["edges"], target)
     place = at[order]
-    h1, target, cls = rows.reshape(-1, k + 1)[place], target[order], cls[order]
-    g = {"wc": np.zeros_like(p["wc"]), "ww": np.zeros_like(p["ww"])}
-    odds, dh = np.ones((2, len(at)), kind), np.empty((len(at), k), kind)
-
-    def settle(part: int, a: int, b: int, own: np.ndarray, weights: np.ndarray, grad: np.ndarray) -> np.ndarray:
-        """Losses, gradients of weights and of states of a softmax; a row's scale meets its state, not its many exponentials."""
-        e = h1[a:b] @ weights.T
-        np.exp(e, out=e)
-        sums = e @ np.ones(len(weights), kind)
-        each = np.arange(b - a)
-        odds[part, a:b] = e[each, own] / sums
-        e[each, own] -= sums
-        scale = (1 / (sums * total))[:, None]
-        grad += e.T @ (h1[a:b] * scale)
-        back = e @ weights[:, :k]
-        back *= scale
-        return back
-
-    for a in range(0, len(at), CHUNK):
-        b = min(a + CHUNK, len(at))
-        dh[a:b] = settle(0, a, b, cls[a:b], p["wc"], g["wc"])
-    for lo, hi, a, b in spans:
-        for i in range(a, b, CHUNK):
-            j = min(b, i + CHUNK)
-            dh[i:j] += settle(1, i, j, target[i:j] - lo, p["ww"][lo:hi], g["ww"][lo:hi])
+    h1 = rows.reshape(-1, k + 1).take(place, axis=0)
+    g = {name: np.zeros_like(p[name]) for name in OUTPUT}
+    odds, dh = np.ones((len(levels), len(at)), kind), np.zeros((len(at), k), kind)
+    for part, (name, chosen, runs) in enumerate(levels):
+        for lo, hi, a, b in runs:
+            # a row's scale meets its state, not its many exponentials
+            weights, own = p[name][lo:hi], _cells(chosen, lo, hi, a, b)
+            e = h1[a:b] @ weights.T
+            np.exp(e, out=e)
+            sums = e @ np.ones(hi - lo, kind)
+            flat = e.reshape(-1)
+            taken = flat.take(own)
+            odds[part, a:b] = taken / sums
+            flat[own] = taken - sums
+            scale = (1 / (sums * total))[:, None]
+            g[name][lo:hi] += e.T @ (h1[a:b] * scale)
+            back = e @ weights[:, :k]
+            back *= scale
+            dh[a:b] += back
     loss = -float(np.log(np.maximum(odds, 1e-30)).sum())
     dstates = np.zeros((steps * lanes, k), kind)
     dstates[place] = dh
     dstates = dstates.reshape(steps, lanes, k)
     # one buffer: gradients at n, z, r, and at what r multiplies; inputs see the first three, the state the last three
-    buffer, one, carry = np.empty((4 * k, lanes), kind), np.empty((k, lanes), kind), np.zeros((k, lanes), kind)
-    inner, outer = buffer[: 3 * k], buffer[k:]
+    carry, begins = np.zeros((k, lanes), kind), starts.any(axis=1).tolist()
     w_rows, u_rows = np.roll(p["w"].T, k, axis=0), p["u"]
-    dw, du, db, fed_back = np.zeros((3 * k, EMBEDDING), kind), np.zeros((3 * k, k), kind), np.zeros(3 * k, kind), np.empty((steps, lanes, EMBEDDING), kind)
-    ones = np.ones(lanes, kind)
-    for t in range(steps - 1, -1, -1):
-        fed, before, z, r, n, an = saved[t]
-        d, dn, dz, dr, dnr = carry, buffer[:k], buffer[k : 2 * k], buffer[2 * k : 3 * k], buffer[3 * k :]
-        d += dstates[t].T
-        np.subtract(1, z, out=one)
-        np.multiply(d, one, out=dn)
-        np.subtract(before, n, out=dz)
-        dz *= z
-        dz *= one
-        dz *= d
-        np.multiply(n, n, out=one)
-        np.subtract(1, one, out=one)
-        dn *= one
-        np.multiply(dn, r, out=dnr)
-        np.subtract(1, r, out=one)
-        np.multiply(dnr, an, out=dr)
-        dr *= one
+    dw, du, db, fed_back = np.zeros((3 * k, EMBEDDING), kind), np.zeros((3 * k, k), kind), np.zeros(3 * k, kind), np.empty((steps * lanes, EMBEDDING), kind)
+    for a, b, fed, before, zr, n, an in reversed(saved):
+        z, r, buffer = zr[:, :k], zr[:, k:], np.empty((b - a, 4 * k, lanes), kind)
+        to_z = np.subtract(1, z)
+        to_n = n * n
+        np.subtract(1, to_n, out=to_n)
+        to_n *= to_z
+        to_z *= z
+        to_z *= before - n
+        an *= 1 - r
+        for t in range(b - a - 1, -1, -1):
+            d, (dn, dz, dr, dnr) = carry, buffer[t].reshape(4, k, lanes)
+            d += dstates[a + t].T
+            np.multiply(d, to_n[t], out=dn)
+            np.multiply(d, to_z[t], out=dz)
+            np.multiply(dn, r[t], out=dnr)
+            np.multiply(dnr, an[t], out=dr)
+            d *= z[t]
+            carry = u_rows @ buffer[t, k:]
+            carry += d
+            if begins[a + t]:
+                carry *= ~starts[a + t]
+        flat, own = (v.swapaxes(0, 1).reshape(v.shape[1], -1) for v in (buffer, before))
+        inner = flat[: 3 * k]
         dw += inner @ fed
-        db += inner @ ones
-        du += outer @ before.T
-        np.matmul(inner.T, w_rows, out=fed_back[t])
-        d *= z
-        carry = u_rows @ outer
-        carry += d
-        if starts[t].any():
-            carry *= ~starts[t]
+        db += inner @ np.ones(len(fed), kind)
+        du += flat[k:] @ own.T
+        np.matmul(inner.T, w_rows, out=fed_back[a * lanes : b * lanes])
     g["w"], g["b"], g["u"] = np.roll(dw, -k, axis=0).T, np.roll(db, -k), du.T
     fed = np.flatnonzero(~starts.reshape(-1))
     tokens = x.reshape(-1)[fed]
-    order = np.argsort(tokens, kind="stable")
+    order = np.argsort(tokens.astype(token_type(len(p["emb"]))), kind="stable")  # by digits, if there are two bytes
     tokens = tokens[order]
     first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.zeros(0, np.int64)
-    sums = np.add.reduceat(fed_back.reshape(-1, EMBEDDING)[fed[order]], first, axis=0) if len(tokens) else np.zeros((0, EMBEDDING), kind)
+    sums = np.add.reduceat(fed_back.take(fed[order], axis=0), first, axis=0) if len(tokens) else np.zeros((0, EMBEDDING), kind)
     g["emb"] = (tokens[first].astype(np.int64), sums)
     return g, after, loss
 
@@ -532,30 +539,35 @@ class Lanes:
 
 
 class Adam:
-    """Adam in place, piece by piece; of emb, only the rows that occur move."""
+    """Adam in place, piece by piece; of emb, only the rows that occur move. Output weights, but not biases, are bounded.
+
+    first is ten times the mean of gradients, second a hundred times that of their squares, which saves scaling either.
+    """
 
     def __init__(self, p: dict, rate: float):
         self.p, self.rate, self.step = p, rate, 0
         self.first = {k: np.zeros_like(p[k]) for k in TRAINED}
         self.second = {k: np.zeros_like(p[k]) for k in TRAINED}
+        self.most = np.resize(np.append(np.full(HIDDEN, MOST), np.inf), PIECE + HIDDEN + 1).astype(np.float32)
+        self.least = -self.most
 
-    def _move(self, p: np.ndarray, m: np.ndarray, v: np.ndarray, g: np.ndarray, rate: float) -> None:
-        scratch = np.empty(min(PIECE, p.size), p.dtype)
+    def _move(self, p: np.ndarray, m: np.ndarray, v: np.ndarray, g: np.ndarray, rate: float, bounded: bool) -> None:
         for a in range(0, p.size, PIECE):
             pp, mm, vv, gg = (x[a : a + PIECE] for x in (p, m, v, g))
-            s = scratch[: len(pp)]
-            np.multiply(gg, gg, out=s)
-            s *= 0.01
-            vv *= 0.99
-            vv += s
-            gg *= 0.1
             mm *= 0.9
             mm += gg
-            np.sqrt(vv, out=s)
-            s += 1e-8
-            np.divide(mm, s, out=s)
-            s *= rate
-            pp -= s
+            gg *= gg
+            vv *= 0.99
+            vv += gg
+            np.sqrt(vv, out=gg)
+            gg += 1e-7
+            np.divide(mm, gg, out=gg)
+            gg *= rate
+            pp -= gg
+            if bounded:
+                at = a % (HIDDEN + 1)
+                np.minimum(pp, self.most[at : at + len(pp)], out=pp)
+                np.maximum(pp, self.least[at : at + len(pp)], out=pp)
 
     def move(self, g: dict) -> None:
         self.step += 1
@@ -565,13 +577,10 @@ class Adam:
             if k == "emb":
                 rows, grad = g[k]
                 own = [x[rows] for x in (p, m, v)]
-                self._move(*[x.reshape(-1) for x in own], grad.reshape(-1), rate)
+                self._move(*[x.reshape(-1) for x in own], grad.reshape(-1), rate, False)
                 p[rows], m[rows], v[rows] = own
             else:
-                self._move(p.reshape(-1), m.reshape(-1), v.reshape(-1), np.ascontiguousarray(g[k]).reshape(-1), rate)
-        for k in ("wc", "ww"):
-            bounded = self.p[k][:, :HIDDEN]
-            np.clip(bounded, -MOST, MOST, out=bounded)
+                self._move(p.reshape(-1), m.reshape(-1), v.reshape(-1), np.ascontiguousarray(g[k]).reshape(-1), rate, k in OUTPUT)
 
 
 def train(p: dict, ids: np.ndarray, count: np.ndarray, rate: float = RATE, width: int = LANES, window: int = WINDOW) -> float:
@@ -640,6 +649,11 @@ def schedule(words: int, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS)
     return rounds, max(1, round(words / rounds / shard_tokens))
 
 
+def by_shard(table: DataFrame, shards: int) -> DataFrame:
+    """Rows by the hash of h, a partition for each shard: by a hash of their numbers, some tasks would get several shards one after another."""
+    return table.repartitionById(shards, F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int"))
+
+
 def fit(table: DataFrame, tokens: int, rounds: int, shards: int, rate: float = RATE) -> dict[str, np.ndarray]:
     """Train on every document of an encoded table once; see schedule()."""
     counts, kind = token_counts(table, tokens), token_type(tokens)
@@ -648,15 +662,19 @@ def fit(table: DataFrame, tokens: int, rounds: int, shards: int, rate: float = R
     for k in range(rounds):
         start, pace = flatten(params), rate * (1 - 0.5 * k / rounds)
 
-        def one(part: pa.Table) -> pa.Table:
-            p = unflatten(start, params)
+        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = list(batches)
+            if not held:
+                return
+            p, part = unflatten(start, params), pa.Table.from_batches(held)
             order = np.argsort(np.asarray(part.column("h").combine_chunks()), kind="stable")
             part = part.take(pa.array(order))
             count = np.asarray(part.column("n").combine_chunks())
             train(p, _ids(part.column("ids"), kind), count, pace)
             flat = flatten(p)
             blocks = [flat[i : i + BLOCK] for i in range(0, len(flat), BLOCK)]
-            return pa.table({"block": pa.array(range(len(blocks)), pa.int32()), "tokens": pa.array([int(count.sum())] * len(blocks)), "weights": pa.array(blocks, pa.list_(pa.float32()))})
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([int(count.sum())] * len(blocks)), pa.array(blocks, pa.list_(pa.float32()))], ["block", "tokens", "weights"])
+            give_back()
 
         def mean(part: pa.Table) -> pa.Table:
             weight = np.asarray(part.column("tokens").combine_chunks(), np.float64)
@@ -667,7 +685,7 @@ def fit(table: DataFrame, tokens: int, rounds: int, shards: int, rate: float = R
             return pa.table({"block": part.column("block").slice(0, 1), "tokens": pa.array([int(weight.sum())]), "weights": pa.array([merged], pa.list_(pa.float32()))})
 
         mine = table.where(F.col("round") == k).select("h", "n", "ids")
-        trained = mine.repartition(shards, F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).groupBy(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).applyInArrow(one, rows)
+        trained = by_shard(mine, shards).mapInArrow(one, rows)
         with tidy(table.sparkSession):
             merged = trained.groupBy("block").applyInArrow(mean, rows).toArrow().sort_by("block")
         if len(merged):
@@ -680,10 +698,24 @@ def score(table: DataFrame, params: dict[str, np.ndarray]) -> DataFrame:
     kind = token_type(len(params["emb"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def scored() -> pa.RecordBatch:
+            ids = np.concatenate([_ids(batch.column(3), kind) for batch in held])
+            doc, count, spelled = (pa.concat_arrays([batch.column(k) for batch in held]) for k in range(3))
+            found = log_likelihoods(params, ids, np.asarray(count)) + np.asarray(spelled)
+            return pa.RecordBatch.from_arrays([doc, count, pa.array(found), pa.array(np.exp(-found / np.asarray(count)))], ["doc_id", "n_tokens", "log_likelihood", "perplexity"])
+
         for batch in batches:
-            count = np.asarray(batch.column(1))
-            found = log_likelihoods(params, _ids(batch.column(3), kind), count) + np.asarray(batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found), pa.array(np.exp(-found / count))], ["doc_id", "n_tokens", "log_likelihood", "perplexity"])
+            held.append(batch)
+            size += batch.column(3).nbytes
+            if size > SCORED * kind.itemsize:
+                yield scored()
+                held, size = [], 0
+        if held:
+            yield scored()
+        give_back()
 
     return table.select("doc_id", "n", "spelled", "ids").mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, perplexity double")
 
