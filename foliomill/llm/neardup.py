@@ -57,12 +57,16 @@ def signatures(hashes: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
     add = rng.integers(0, 2**63, size, dtype=np.uint64)
     full = count > 0
     starts = (np.cumsum(count) - count)[full]
-    out = np.empty((len(starts), size), np.uint32)
+    out = np.empty((size, len(starts)), np.uint64)
     if len(starts):
+        # the least number has the least upper half, so the lower halves needn't be cut off before; one buffer serves all coordinates
+        room = np.empty_like(hashes)
         with np.errstate(over="ignore"):
             for k in range(size):
-                out[:, k] = np.minimum.reduceat(((hashes * mul[k] + add[k]) >> np.uint64(32)).astype(np.uint32), starts)
-    return out
+                np.multiply(hashes, mul[k], out=room)
+                room += add[k]
+                np.minimum.reduceat(room, starts, out=out[k])
+    return np.ascontiguousarray((out >> np.uint64(32)).astype(np.uint32).T)
 
 
 def sketches(rows: np.ndarray) -> np.ndarray:
@@ -190,7 +194,8 @@ def jaccard_sets(hashes: np.ndarray, count: np.ndarray, threshold: float) -> np.
     used = np.bincount(code) >= 2
     keep = used[code]
     doc, code = doc[keep], (np.cumsum(used) - 1)[code[keep]]
-    # shingles by rarity: a text that is near v has one of v's rarest, as many as it may lack and one more (prefix filter)
+    # shingles by rarity: the rarest that two near texts share is among the rarest of either, as many as it may lack and one more
+    # (prefix filter), and leaves room for as many in common as they need after it (position filter)
     often = np.bincount(code, minlength=int(used.sum()))
     rank = np.empty_like(often)
     rank[np.argsort(often, kind="stable")] = np.arange(len(often))
@@ -199,16 +204,20 @@ def jaccard_sets(hashes: np.ndarray, count: np.ndarray, threshold: float) -> np.
     row, own = code[order], np.bincount(doc, minlength=m)
     row_at = np.cumsum(own) - own
     prefix = np.minimum(own, np.maximum(0, size - np.ceil(threshold * size - 1e-6).astype(np.int64) + 1 - (size - own)))
+    of = np.repeat(np.arange(m), prefix)
+    rare_at = ranges(row_at, prefix)
+    rare_code, room = row[rare_at], own[of] - (rare_at - row_at[of])
 
-    def by_shingle(live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Texts of each shingle that are not reached yet: all, and where those of a shingle begin and how many they are."""
-        kept = np.flatnonzero(live[doc])
-        n = np.bincount(code[kept], minlength=len(often))
-        return doc[kept[np.argsort(code[kept], kind="stable")]], np.cumsum(n) - n, n
+    def by_shingle(live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Texts not reached yet that have each shingle among their rarest, and how many of their shingles it leaves; where those of a shingle begin and how many they are."""
+        kept = np.flatnonzero(live[of])
+        n = np.bincount(rare_code[kept], minlength=len(often))
+        kept = kept[np.argsort(rare_code[kept], kind="stable")]
+        return of[kept], room[kept], np.cumsum(n) - n, n
 
     # each text is asked once for those near it that no other has reached; sets are found from their least text on
     roots, live, mark = np.arange(m), np.ones(m, bool), np.zeros(len(often), bool)
-    (posted, at, n), listed, open_ = by_shingle(live), m, m
+    (posted, left, at, n), listed, open_ = by_shingle(live), m, m
     for seed in range(m):
         if not live[seed]:
             continue
@@ -219,8 +228,10 @@ def jaccard_sets(hashes: np.ndarray, count: np.ndarray, threshold: float) -> np.
             rare = mine[: prefix[v]]
             if not len(rare):
                 continue
-            found = posted[ranges(at[rare], n[rare])]
-            found = np.unique(found[live[found]])
+            place = ranges(at[rare], n[rare])
+            found = posted[place]
+            shared = np.minimum(left[place], np.repeat(own[v] - np.arange(len(rare)), n[rare]))
+            found = np.unique(found[live[found] & (shared * (1 + threshold) >= threshold * (size[v] + size[found]) - 1e-6)])
             found = found[(size[found] >= threshold * size[v] - 1e-6) & (size[v] >= threshold * size[found] - 1e-6)]
             if not len(found):
                 continue
@@ -232,7 +243,7 @@ def jaccard_sets(hashes: np.ndarray, count: np.ndarray, threshold: float) -> np.
             live[near], roots[near], open_ = False, seed, open_ - len(near)
             reached += near.tolist()
             if 2 * open_ < listed:
-                (posted, at, n), listed = by_shingle(live), open_
+                (posted, left, at, n), listed = by_shingle(live), open_
     return roots
 
 
