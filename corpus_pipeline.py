@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomill.llm.common import shared_dir
+from foliomill.llm.common import materialise, shared_dir
 from foliomill.llm.mixing import mixed_documents
 from foliomill.llm.neardup import without_near_duplicates
 from foliomill.llm.packing import pack_documents
@@ -19,8 +19,8 @@ from foliomill.llm.toxicity import without_toxic
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, fitted on the labels table, doesn't reject."""
-    return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that the toxicity model, fitted on the labels table, doesn't reject; written here, so that texts go to Python in small batches."""
+    return materialise(without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

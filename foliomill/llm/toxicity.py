@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, packed_row, signed, slices
+from .common import Words, give_back, packed_row, signed, slices
 from .neardup import shingles, signatures
 
 FIT_ROWS = 6_000
@@ -184,9 +184,9 @@ class Model:
         return np.where(f.words > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
 
 
-def fit(texts: list[str], toxic: list[int | None], features: int = FEATURES, mined: int = MINED_VOTERS) -> Model:
+def fit(texts: list[str] | pa.Array, toxic: list[int | None], features: int = FEATURES, mined: int = MINED_VOTERS) -> Model:
     """Voters, label model and classifier from texts with labels 1, 0 or None."""
-    array = pa.array(texts, pa.string())
+    array = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
     n = len(texts)
     known = np.array([t is not None for t in toxic], bool)
     label = np.array([t or 0 for t in toxic], float)
@@ -207,7 +207,7 @@ def fit(texts: list[str], toxic: list[int | None], features: int = FEATURES, min
     loud = r >= usual[x] / 4
     votes = np.zeros((n, mined), np.int64)
     votes[d[loud], (keys[x[loud]] >> np.uint64(7)).astype(np.int64) % mined] = 1
-    fixed = np.array([fixed_votes(t) for t in texts], np.int64)
+    fixed = np.array([fixed_votes(t.as_py()) for t in array], np.int64)
     votes = np.hstack([fixed, np.where(votes > 0, 1, -1)])
     prior = (own * label).sum() / own.sum()
     posterior = LabelModel(prior).fit(votes, weight).posterior(votes)
@@ -280,7 +280,9 @@ def fit_on(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Mode
 
     def one(table: pa.Table) -> pa.Table:
         table = table.sort_by([("_id", "ascending"), ("text", "ascending")])
-        model = fit(table.column("text").to_pylist(), [int(t > 0) for t in table.column("_toxic").to_pylist()])
+        texts = table.column("text").combine_chunks()
+        model = fit(texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks), [int(t > 0) for t in table.column("_toxic").to_pylist()])
+        give_back()
         return pa.table({"key": signed(model.keys), "presence": pa.array(model.presence), "rate": pa.array(model.rate), "bias": pa.array(np.full(len(model.keys), model.bias))})
 
     # one task holds the bounded sample; the driver gets the weights alone

@@ -516,3 +516,23 @@ def test_batches_are_scored_together(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(found[1]) == 500 and all(found[0][i][0] == n and abs(found[0][i][1] - x) < 1e-3 * n for i, (n, x) in found[1].items())
+
+
+def test_toxicity_stage_reads_texts_in_small_batches(spark, tmp_path, monkeypatch):
+    """pipeline (check): the stage's texts went to Python 10,000 rows at once, whatever their size, in memory of the JVM and of the worker."""
+    spark.range(6000).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 700) AS text", "'en' AS lang", "'s' AS source", "1L AS n_chars").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen = f"{tmp_path}/seen"
+
+    class Noted:
+        def score(self, texts):
+            with open(seen, "a") as f:
+                f.write(f"{texts.buffers()[2].size}\n")
+            return np.zeros(len(texts))
+
+    monkeypatch.setattr(toxicity, "fit_on", lambda *_: Noted())
+    kept = corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    kept.write.parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 6000
+    with open(seen) as f:
+        assert max(map(int, f)) < 17 << 20
