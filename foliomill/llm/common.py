@@ -207,7 +207,7 @@ class Words:
     def __init__(self, texts: pa.Array, separators: np.ndarray = _SPACE):
         raw, offsets = buffers(texts)
         n = len(raw)
-        word = ~separators[raw]
+        word = np.frombuffer(raw.tobytes().translate((~separators).tobytes()), bool)  # an index of bytes would be widened first
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         before = np.ones(n, bool)
@@ -224,7 +224,10 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         with np.errstate(over="ignore"):
             self._sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(_TABLE[raw] * powers(n, _MUL)[:n], out=self._sums[1:])
+            own = self._sums[1:]
+            _TABLE.take(raw, out=own, mode="clip")
+            own *= powers(n, _MUL)[:n]
+            np.cumsum(own, out=own)
         self.hash = self.span_hash(self.start, self.end)
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:

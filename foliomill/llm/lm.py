@@ -140,12 +140,25 @@ def _laid(w: Words, ids: np.ndarray, kind: np.dtype) -> tuple[np.ndarray, np.nda
 
 def _strings(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """For each byte of the words, the byte and the ORDER before it in its word (0 before the first), as one number."""
-    at = ranges(start, end - start)
-    within = at - np.repeat(start, end - start)
-    out = raw[at].astype(np.int64)
+    at, mask = _preceded(start, end - start)
+    # the four bytes up to each byte of raw as one number, made for the whole buffer without an index
+    wide = raw.astype(np.uint32)
+    strings = wide.copy()
     for k in range(1, ORDER + 1):
-        out |= np.where(within >= k, raw[np.maximum(at - k, 0)], 0).astype(np.int64) << (8 * k)
-    return out
+        strings[k:] |= wide[:-k] << np.uint32(8 * k)
+    return (strings.take(at) & mask).astype(np.int64)
+
+
+_MASKS = np.array([(1 << 8 * (k + 1)) - 1 for k in range(ORDER + 1)], np.uint32)
+
+
+def _preceded(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words' bytes, and for each a mask of the four bytes up to it that leaves those of its word."""
+    at, first = ranges(start, length), np.cumsum(length) - length
+    mask = np.full(len(at), _MASKS[ORDER], np.uint32)
+    for k in range(ORDER - 1, -1, -1):
+        mask[(first + k)[length > k]] = _MASKS[k]
+    return at, mask
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,11 +234,12 @@ class Spelling:
         """Of each word (byte ranges of raw)."""
         length = end - start
         if self.place is not None:
-            at = ranges(start, length)
-            within = at - np.repeat(start, length)
-            code = self.code[raw]
-            before = tuple(np.where(within >= k, code[np.maximum(at - k, 0)], self.code[0]) for k in range(1, ORDER + 1))
-            out = self.table[self.place[before], code[at]].astype(np.float64)
+            strings = _strings(raw, start, end)
+            place, width = np.zeros(len(strings), np.int64), self.place.shape[0]
+            for k in range(1, ORDER + 1):
+                place = place * width + self.code.take((strings >> (8 * k)) & 255)
+            row = self.place.reshape(-1).take(place).astype(np.int64)
+            out = self.table.reshape(-1).take(row * self.table.shape[1] + self.code.take(strings & 255)).astype(np.float64)
         else:
             out = self._searched(_strings(raw, start, end))
         total = np.bincount(np.repeat(np.arange(len(start)), length), weights=out, minlength=len(start))

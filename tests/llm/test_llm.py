@@ -536,3 +536,22 @@ def test_toxicity_stage_reads_texts_in_small_batches(spark, tmp_path, monkeypatc
     assert spark.read.parquet(f"{tmp_path}/out").count() == 6000
     with open(seen) as f:
         assert max(map(int, f)) < 17 << 20
+
+
+def test_strings_of_words_are_made_without_an_index_for_each_byte():
+    """op6_lm (check): each of four bytes was looked up by an index of its own. Measured in memory held at once for a byte of text."""
+    import tracemalloc
+
+    from foliomill.llm.common import Words
+
+    texts = ["ab \x00c", "é ü ß 日本語", "", None, "  x\n", "q" * 100 + " zz"]
+    w = Words(pa.array(texts))
+    want = [sum(b << (8 * k) for k, b in enumerate(reversed(word[max(0, i - lm.ORDER) : i + 1]))) for t in texts if t for word in t.encode().split() for i in range(len(word))]
+    assert lm._strings(w.raw, w.start, w.end).tolist() == want
+    long = pa.array(["some words of a text " * 12_000])
+    w = Words(long)
+    tracemalloc.start()
+    strings = lm._strings(w.raw, w.start, w.end)
+    of_strings = tracemalloc.get_traced_memory()[1] / len(strings)
+    tracemalloc.stop()
+    assert of_strings < 38
