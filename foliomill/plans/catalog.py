@@ -131,8 +131,10 @@ plan AS (SELECT archive, member, output_path, coalesce(early, CASE WHEN owner <>
 @query(_PLAN + "SELECT * FROM plan")
 def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = V.lens(spark, sf_dir, V.MEMBERS, "documents").withColumn("sha256", F.sha2("text", 256)).drop("text")
-    old = m.where("ordinal % 5 = 0").select("archive", batch.clean_path(c("member")).alias("member"), F.lit("success").alias("status"), "sha256", F.lit(300).alias("dpi"), F.lit("1").alias("version"))
-    return batch.plan_batch(m, old.dropDuplicates(["archive", "member"]))
+    # of members of one path the earlier run, like this one, took the first; whichever a plan met first isn't it
+    first = m.groupBy("archive", batch.clean_path(c("member")).alias("member")).agg(F.min(F.struct("ordinal", "sha256")).alias("m"))
+    old = first.where("m.ordinal % 5 = 0").select("archive", "member", F.lit("success").alias("status"), "m.sha256", F.lit(300).alias("dpi"), F.lit("1").alias("version"))
+    return batch.plan_batch(m, old)
 
 
 @query(_PLAN + """SELECT archive, count(position) AS pdf_count, count_if(status IN ('success', 'resumed')) AS success_count, count_if(status = 'to_convert') AS to_convert_count, count_if(status IN ('rejected', 'failed')) AS failure_count, count_if(status = 'ignored') AS skipped_count,
